@@ -145,9 +145,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 class Words:
     """The words of several texts: hash, first byte, end and number of text of each; first[i] to first[i + 1] are text i's."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = True):
-        self.data = _LOWERED[data] if lower else data
-        word = ~_IS_SPACE[data]
+    def __init__(self, data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _IS_SPACE):
+        self.data = _LOWERED[data]
+        word = ~gaps[data]
         begins, ends = word.copy(), word.copy()
         cut = off[1:-1]
         cut = cut[cut < len(data)]

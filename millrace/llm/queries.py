@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from millrace.llm.bpe import op10_bpe
+from millrace.llm.lines import op3_lines
 from millrace.llm.mixing import op4_mixing
 from millrace.llm.neardup import op8_neardup
 from millrace.llm.quality import op6_quality
 
 QUERIES = {
+    "op3_lines": op3_lines,
     "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
     "op8_neardup": op8_neardup,
