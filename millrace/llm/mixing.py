@@ -74,7 +74,9 @@ def prefix(pool: DataFrame, room: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix", weight: Column | None = None, most: int = MOST_COPIES) -> DataFrame:
-    """Rows (doc_id, size, source, source_size, target, copies), one for each document.
+    """Rows (doc_id, size, source, source_size, target, copies, id, nth), one for each document.
+
+    id is a hash of doc_id and text, nth numbers the rows that share it.
 
     weight: a document's relative due within its source (all alike by default); a document is due
     at most `most` copies whatever its weight.
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     base = docs.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"),
         F.coalesce(weight if weight is not None else F.lit(1.0), F.lit(0.0)).cast("double").alias("w"),
-        F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit("-")))).alias("id"),
+        row_id(key, text).alias("id"),
     )
     base = stored(base, "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("w") * F.col("size")).alias("weighed"))
@@ -111,11 +113,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     chosen = taken.groupBy("id").agg(F.count("*").alias("times"))
     order = Window.partitionBy("id").orderBy("doc_id")
     return (
-        due.join(chosen, "id", "left").withColumn("copies", F.col("whole") + (F.row_number().over(order) <= F.coalesce("times", F.lit(0))).cast("long"))
-        .select("doc_id", "size", "source", "source_size", "target", "copies")
+        due.join(chosen, "id", "left").withColumn("nth", F.row_number().over(order)).withColumn("copies", F.col("whole") + (F.col("nth") <= F.coalesce("times", F.lit(0))).cast("long"))
+        .select("doc_id", "size", "source", "source_size", "target", "copies", "id", "nth")
     )
 
 
+def row_id(key: str, text: str) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit("-"))))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix") -> DataFrame:
+    """The mix itself: docs, each row as often as it is taken."""
+    times = mix(docs, text, source, key, seed).where("copies > 0").select(F.col("id").alias("_id"), F.col("nth").alias("_nth"), "copies")
+    numbered = docs.withColumn("_i", row_id(key, text)).withColumn("_n", F.row_number().over(Window.partitionBy("_i").orderBy("_i")))
+    both = numbered.join(times.withColumnRenamed("copies", "_copies"), (F.col("_i") == F.col("_id")) & (F.col("_n") == F.col("_nth")))
+    return both.withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(c) for c in docs.columns])
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")

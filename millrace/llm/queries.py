@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from millrace.llm.ann import op1_ann
 from millrace.llm.bpe import op10_bpe
+from millrace.llm.langid import op5_langid
+from millrace.llm.licenses import op2_licenses
 from millrace.llm.lines import op3_lines
 from millrace.llm.mixing import op4_mixing
 from millrace.llm.neardup import op8_neardup
 from millrace.llm.quality import op6_quality
 
 QUERIES = {
+    "op1_ann": op1_ann,
+    "op2_licenses": op2_licenses,
     "op3_lines": op3_lines,
     "op4_mixing": op4_mixing,
+    "op5_langid": op5_langid,
     "op6_quality": op6_quality,
     "op8_neardup": op8_neardup,
     "op10_bpe": op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
