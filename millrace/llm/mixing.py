@@ -23,6 +23,8 @@ from millrace.llm.core import WORD, stored
 
 BUCKETS = 1 << 16
 PASSES = 4
+#: Tasks over which the rows of one source are dealt in a join with its row.
+SALTS = 64
 MOST_COPIES = 3
 
 
@@ -56,10 +58,16 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     return levels.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap").cast("double"), F.coalesce("at", F.lit(0.0)) * F.col("weight"))).alias("target"))
 
 
-def by_source(left: DataFrame, right: DataFrame, how: str = "inner", also: Column | None = None) -> DataFrame:
-    """Joins on source, where null equals null."""
+def by_source(left: DataFrame, right: DataFrame, how: str = "inner", also: Column | None = None, salt: str | None = None) -> DataFrame:
+    """Joins on source, where null equals null. With salt (a column of left), a source's rows of left
+    are dealt over SALTS tasks and each row of right is copied to all of them."""
     on = F.col("source").eqNullSafe(F.col("_s"))
-    return left.join(right.withColumnRenamed("source", "_s"), on if also is None else on & also, how).drop("_s")
+    right = right.withColumnRenamed("source", "_s")
+    if salt:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+        right = right.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("_salt") == F.col("_deal"))
+    return left.join(right, on if also is None else on & also, how).drop("_s", "_salt", "_deal")
 
 
 def prefix(pool: DataFrame, room: DataFrame) -> DataFrame:
@@ -91,7 +99,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     sizes = stored(sizes, "mix-sizes")
     goal = stored(by_source(targets(sizes), sizes.select("source", "weighed")), "mix-targets")
     due = (
-        by_source(base, goal)
+        by_source(base, goal, salt="id")
         .withColumn("due", F.when(F.col("weighed") > 0, F.least(F.lit(float(most)), F.col("target") * F.col("w") / F.col("weighed"))).otherwise(0.0))
         .withColumn("whole", F.floor("due").cast("long")).withColumn("part", F.col("due") - F.col("whole"))
         .withColumn("u", uniform(F.col("doc_id"), seed))
@@ -107,7 +115,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         if taken is not None:
             left = by_source(room, taken.groupBy("source").agg(F.sum("size").alias("used")), "left").select("source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
             open_ = pool.join(taken.select("id"), "id", "left_anti")
-        open_ = by_source(open_, left, also=F.col("size") <= F.col("room")).select("source", "v", "id", "size")
+        open_ = by_source(open_, left, also=F.col("size") <= F.col("room"), salt="id").select("source", "v", "id", "size")
         more = prefix(open_, left)
         taken = stored(more if taken is None else taken.unionByName(more), "mix-taken")
     chosen = taken.groupBy("id").agg(F.count("*").alias("times"))
