@@ -11,6 +11,7 @@ from millrace.llm.lines import op3_lines
 from millrace.llm.mixing import op4_mixing
 from millrace.llm.neardup import op8_neardup
 from millrace.llm.quality import op6_quality
+from millrace.llm.repeats import op9_passages
 
 QUERIES = {
     "op1_ann": op1_ann,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_langid": op5_langid,
     "op6_quality": op6_quality,
     "op8_neardup": op8_neardup,
+    "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
