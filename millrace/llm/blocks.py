@@ -44,6 +44,14 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def planes4(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes4(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
     return planes(np.diff(a.astype(np.uint64), prepend=np.uint64(0)))
 
@@ -103,7 +111,7 @@ def from_text_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 Send = Callable[[bytes, dict[int, bytes]], list[tuple[int, bytes]]]
-Answer = Callable[[list[bytes]], list[bytes]]
+Answer = Callable[[list[bytes]], list[bytes]]  # one reply more than messages: the bucket's own figures
 
 
 def answered(blocks: DataFrame, replies: DataFrame | None, send: Send, answer: Answer, tag: str) -> DataFrame:
@@ -127,7 +135,9 @@ def answered(blocks: DataFrame, replies: DataFrame | None, send: Send, answer: A
         sent = with_replies(blocks, replies, out, shape)
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": f["bucket"], "block": f["block"], "data": answer(list(f["data"]))})
+        got = answer(list(f["data"]))
+        block = [*f["block"], FIGURES][: len(got)]
+        return pd.DataFrame({"bucket": np.full(len(got), f["bucket"].iloc[0], np.int32), "block": np.array(block, np.int64), "data": got})
 
     return stored(sent.groupBy("bucket").applyInPandas(work, shape), tag)
 
@@ -149,3 +159,7 @@ def tidy(spark: SparkSession) -> None:
 
 def ids_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+#: Replies to this block are a bucket's own figures.
+FIGURES = -1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from millrace.llm.ann import op1_ann
 from millrace.llm.bpe import op10_bpe
+from millrace.llm.katz import op7_katz
 from millrace.llm.langid import op5_langid
 from millrace.llm.licenses import op2_licenses
 from millrace.llm.lines import op3_lines
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_langid": op5_langid,
     "op6_quality": op6_quality,
+    "op7_katz": op7_katz,
     "op8_neardup": op8_neardup,
     "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
