@@ -103,7 +103,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         .withColumn("due", F.when(F.col("weighed") > 0, F.least(F.lit(float(most)), F.col("target") * F.col("w") / F.col("weighed"))).otherwise(0.0))
         .withColumn("whole", F.floor("due").cast("long")).withColumn("part", F.col("due") - F.col("whole"))
         .withColumn("u", uniform(F.col("doc_id"), seed))
-        .withColumn("odds", (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part"))))
+        .withColumn("odds", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))))
         .withColumn("v", F.col("odds") / (1 + F.col("odds")))
     )
     room = due.groupBy("source").agg(F.floor(F.first("target")).cast("long").alias("goal"), F.sum(F.col("whole") * F.col("size")).alias("sure")).select("source", (F.col("goal") - F.col("sure")).alias("room"))
