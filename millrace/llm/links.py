@@ -2,26 +2,31 @@
 
 A bucket (the ids that share a key) never emits all its pairs. In each round a few pivots of every
 bucket are compared with the members that are not yet in the pivot's component; what has been linked
-is settled, and a bucket whose members are in one component, or have all been pivots, is done.
-Pivots double up from round to round, so that buckets of any size end, and no candidate pair between
-different components is left untested: the result is that of all pairs.
+is settled, and a bucket whose members are in one component, or have all been pivots, is done. What
+is then still apart in a larger bucket is compared in cells: the members outside a cluster's largest
+component meet all its members, block by block, inside tasks that emit links only. No candidate pair
+between different components is left untested: the result is that of all pairs.
 
 Scale: pivots are picked by a rank limit that Spark applies before the shuffle; buckets are joined
-by key, where skewed keys are split at run time; every round's tables are written to the shared
-folder. Nothing is collected but counts.
+by key, where skewed keys are split at run time; a cell holds two blocks; every round's tables are
+written to the shared folder. Nothing is collected but counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.core import dropped, stored
 
 #: Pivots of a bucket that have been compared after each round.
-ROUNDS = (1, 3, 8, 20, 50, 120, 300, 800, 2_000, 5_000, 20_000, 100_000, 1_000_000, 10_000_000)
+ROUNDS = (1, 4)
+#: Members of a block of a cell, and for clusters of more than LARGE.
+BLOCK, LARGE, LARGE_BLOCK = 128, 16_384, 1_024
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,34 +56,65 @@ def shared(keys: DataFrame) -> DataFrame:
     return stored(keys.join(many, F.col("key") == F.col("k"), "left_semi"), "keys")
 
 
-def link(live: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def link(live: DataFrame, near: Callable[[DataFrame], DataFrame], payload: DataFrame, test: Callable[[list, list], np.ndarray]) -> DataFrame | None:
     """shared(keys) -> (id, label) of the ids linked with a smaller one; None if there are none.
 
-    near(pairs (a, b)) keeps the pairs that are links. Consumes live.
+    near(pairs (a, b)) keeps the pairs that are links. test(payloads, payloads) says the same of
+    every pair, as a matrix; payload (id, p) has what it needs of each id. Consumes live.
     """
     labels = None
     done = 0
-    for upto in ROUNDS:
+    for upto in (*ROUNDS, None):
         rows = live.withColumn("label", F.col("id")) if labels is None else live.join(labels.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         if labels is not None:
             split = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("apart")).where((F.col("n") > done + 1) & F.col("apart")).select("k")
             rows = stored(rows.join(split, F.col("key") == F.col("k"), "left_semi"), "open")
+            dropped(live)
             if rows.isEmpty():
                 break
-            dropped(live)
             live = rows.select("key", "id")
             live._stored_at = rows._stored_at
-        order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        pivots = rows.withColumn("r", F.row_number().over(order)).where((F.col("r") <= upto) & (F.col("r") > done)).select(F.col("key").alias("k"), F.col("id").alias("p"), F.col("label").alias("pl"))
-        pairs = rows.join(pivots, (F.col("key") == F.col("k")) & (F.col("label") != F.col("pl"))).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        linked = stored(near(pairs), "links")
-        done = upto
+        if upto is None:
+            linked = stored(in_cells(rows, payload, test), "links")
+        else:
+            order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+            pivots = rows.withColumn("r", F.row_number().over(order)).where((F.col("r") <= upto) & (F.col("r") > done)).select(F.col("key").alias("k"), F.col("id").alias("p"), F.col("label").alias("pl"))
+            pairs = rows.join(pivots, (F.col("key") == F.col("k")) & (F.col("label") != F.col("pl"))).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+            linked = stored(near(pairs), "links")
+            done = upto
         edges = linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if labels is not None:
             edges = edges.unionByName(labels.select(F.col("id").alias("u"), F.col("label").alias("v")))
-        new = components(edges)
+        labels = components(edges)
         dropped(linked)
-        labels = new
-    if labels is None or labels.isEmpty():
-        return None
-    return labels
+    return None if labels is None or labels.isEmpty() else labels
+
+
+def in_cells(rows: DataFrame, payload: DataFrame, test: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """Links (a, b) between different labels of ids that buckets connect: rows (key, id, label)."""
+    heads = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("v"))
+    spread = components(rows.join(heads, F.col("key") == F.col("k")).select(F.col("id").alias("u"), "v"))
+    nodes = rows.select("id", "label").distinct()
+    nodes = nodes.join(spread.select(F.col("id").alias("i"), F.col("label").alias("c")), F.col("id") == F.col("i"), "left").select("id", "label", F.coalesce("c", "id").alias("cluster"))
+    nodes = stored(nodes, "clusters")
+    sizes = nodes.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
+    size = F.when(F.col("all") > LARGE, LARGE_BLOCK).otherwise(BLOCK)
+    sizes = sizes.select(F.col("cluster").alias("_c"), F.col("most.label").alias("main"), F.ceil(F.col("all") / size).cast("int").alias("nr"), F.ceil((F.col("all") - F.col("most.n")) / size).cast("int").alias("nl")).where("nl > 0")
+    both = nodes.join(sizes, F.col("cluster") == F.col("_c")).join(payload, "id")
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = both.where("label != main").select("cluster", spot("nl").alias("l"), upto("nr").alias("r"), F.lit(0).alias("side"), "id", "label", "p")
+    right = both.select("cluster", upto("nl").alias("l"), spot("nr").alias("r"), F.lit(1).alias("side"), "id", "label", "p")
+
+    def cell(f: pd.DataFrame) -> pd.DataFrame:
+        x, y = f[f["side"] == 0], f[f["side"] == 1]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        near = test(list(x["p"]), list(y["p"])) & (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :])
+        i, j = np.nonzero(near)
+        # one link for each pair of components is enough
+        a, b = x["label"].to_numpy()[i], y["label"].to_numpy()[j]
+        _, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
+        return pd.DataFrame({"a": x["id"].to_numpy()[i[first]], "b": y["id"].to_numpy()[j[first]]})
+
+    return left.unionByName(right).groupBy("cluster", "l", "r").applyInPandas(cell, "a long, b long")

@@ -113,6 +113,34 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+#: Columns of a membership matrix that are held at once.
+COLUMNS = 4_096
+
+
+def all_pairs(xs: list[bytes], ys: list[bytes], percent: int) -> np.ndarray:
+    """Which of the sets xs and ys have Jaccard similarity of percent / 100 or more: the exact sizes of
+    all intersections, from products of membership matrices over the items that both sides hold."""
+    sets = [[np.frombuffer(s, "<u8") for s in side] for side in (xs, ys)]
+    held = [np.unique(np.concatenate(side)) for side in sets]
+    common = np.intersect1d(*held, assume_unique=True)
+    sizes = [np.array([len(s) for s in side]) for side in sets]
+    both = np.zeros((len(xs), len(ys)))
+    owner = [np.repeat(np.arange(len(side)), n) for side, n in zip(sets, sizes, strict=True)]
+    items = [np.concatenate(side) for side in sets]
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        m = []
+        for o, x, n in zip(owner, items, sizes, strict=True):
+            inside = (x >= part[0]) & (x <= part[-1])
+            place = np.searchsorted(part, x[inside])
+            real = part[place] == x[inside]
+            matrix = np.zeros((len(n), len(part)), np.float32)
+            matrix[o[inside][real], place[real]] = 1
+            m.append(matrix)
+        both += m[0] @ m[1].T
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
 def equal_groups(x: str, y: str) -> Column:
     """How many of the MINIMA groups of BITS bits are equal."""
     ones = (1 << 64) // ((1 << BITS) - 1) if BITS > 1 else (1 << 64) - 1
@@ -151,7 +179,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         with_b = likely.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         return confirmed(with_b.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a"), percent)
 
-    labels = link(live, near)
+    labels = link(live, near, items.withColumnRenamed("items", "p"), lambda x, y: all_pairs(x, y, percent))
     out = member.withColumn("component_id", F.coalesce("rep", "id"))
     if labels is not None:
         out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep", "id"))
