@@ -8,14 +8,13 @@ order. Equal questions of a block are one, so that a hot key is at most one entr
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.core import slices, stored
@@ -35,8 +34,17 @@ def split_parts(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def squeezed(data: bytes) -> bytes:
+    """data compressed, after its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def planes(a: np.ndarray) -> bytes:
-    """64-bit values with equal bytes side by side, which the shuffle's compression shortens."""
+    """64-bit values with equal bytes side by side, which compress better so."""
     return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
@@ -84,7 +92,7 @@ def make_blocks(docs: DataFrame, encode: Callable[[np.ndarray, np.ndarray, np.nd
 
         def full() -> pa.RecordBatch:
             off = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
-            out = encode(np.concatenate(ids), np.concatenate(data), off)
+            out = squeezed(encode(np.concatenate(ids), np.concatenate(data), off))
             ids.clear(), data.clear(), lens.clear()
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out], pa.binary())], names=["block", "data"])
 
@@ -121,21 +129,21 @@ def answered(blocks: DataFrame, replies: DataFrame | None, send: Send, answer: A
 
     def out(block: int, data: bytes, got: dict[int, bytes]) -> pd.DataFrame:
         messages = send(data, got)
-        return pd.DataFrame({"bucket": np.array([b for b, _ in messages], np.int32), "block": np.full(len(messages), block, np.int64), "data": [m for _, m in messages]})
+        return pd.DataFrame({"bucket": np.array([b for b, _ in messages], np.int32), "block": np.full(len(messages), block, np.int64), "data": [squeezed(m) for _, m in messages]})
 
     if replies is None:
 
         def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for block, data in zip(f["block"], f["data"], strict=True):
-                    yield out(block, data, {})
+                    yield out(block, unsqueezed(data), {})
 
         sent = blocks.mapInPandas(plain, shape)
     else:
         sent = with_replies(blocks, replies, out, shape)
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
-        got = answer(list(f["data"]))
+        got = [squeezed(x) for x in answer([unsqueezed(m) for m in f["data"]])]
         block = [*f["block"], FIGURES][: len(got)]
         return pd.DataFrame({"bucket": np.full(len(got), f["bucket"].iloc[0], np.int32), "block": np.array(block, np.int64), "data": got})
 
@@ -146,17 +154,11 @@ def with_replies(blocks: DataFrame, replies: DataFrame, work: Callable[[int, byt
     """work(block number, block, its replies by bucket) of every block."""
 
     def both(key: tuple, b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return work(int(key[0]), b["data"].iloc[0], dict(zip(r["bucket"], r["data"], strict=True)))
+        return work(int(key[0]), unsqueezed(b["data"].iloc[0]), dict(zip(r["bucket"], map(unsqueezed, r["data"]), strict=True)))
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(both, shape)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ids_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 

@@ -19,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a Python worker turns into numpy arrays at once.
 SLICE_BYTES = 2_000_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: set[str] = set()
 
 
@@ -56,7 +57,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         atexit.register(_clean, spark)
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     _made.add(path)
-    df.write.option("compression", "zstd").parquet(path)
+    old = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the table stands for the plan, whose shuffle files go at once
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, old)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -6,19 +6,21 @@ Every LENGTH-byte window belongs to its minimizer, the least hash of the GRAM-by
 neighbouring windows with one minimizer form a run. Equal windows have equal minimizers, so runs can
 be dealt by minimizer and all that equals a window meets in one bucket:
 
-1. Blocks of documents tell each bucket their minimizers; those of one document only go no further.
-2. The runs of the others are sent as strings, equal strings of a block once with their least
-   doc_id. A bucket splits its strings into SHARDS, builds each shard's Burrows-Wheeler transform,
-   and merges them by refining their interleave one character at a time: after k rounds it is in the
-   order of k-byte prefixes, and neighbours that were told apart in round k have a common prefix of
-   k - 1. After LENGTH rounds, intervals that were never told apart are the repeated strings, and the
-   least doc_id of an interval is its windows'. No suffix is sorted again.
+1. Blocks of documents tell each bucket their runs by hash: minimizer, string, least doc_id. A minimizer
+   of one document only goes no further; one that always stands in the same string is settled, since
+   equal strings are one with its least doc_id.
+2. The runs of the others are sent as strings, equal strings of a block once. A bucket splits its
+   strings into SHARDS, builds each shard's Burrows-Wheeler transform, and merges them by refining
+   their interleave one character at a time: after k rounds it is in the order of k-byte prefixes,
+   and neighbours that were told apart in round k have a common prefix of k - 1. After LENGTH
+   rounds, intervals that were never told apart are the repeated strings, and the least doc_id of an
+   interval is its windows'. No suffix is sorted again.
 3. Blocks mark the windows that start earlier elsewhere and remove the bytes that they cover.
 
 Scale: text is written once as blocks and shuffled twice by block; only candidates are sent. A
-minimizer that stands in more than HOT runs (a passage in a third of all documents) is sent window
+minimizer with more than HOT different strings (a passage in a third of all documents) is sent window
 by window, dealt by the window's own hash, so that no bucket has to hold its contexts. Merges run in
-chunks of at most CHUNK symbols.
+chunks of about CHUNK symbols. Strings under one minimizer are told apart by 48 bits of hash.
 
 Defined results: null and empty texts have 0 bytes and lose nothing; rows that share a doc_id do not
 remove each other's bytes; a null doc_id takes no part and loses nothing.
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.blocks import answered, bounds, bucket_of, from_planes, from_text_block, ids_and_text, join_parts, make_blocks, pack_sorted, planes, split_parts, text_block, tidy, unpack_sorted, with_replies
+from millrace.llm.blocks import answered, bounds, bucket_of, from_planes, from_text_block, ids_and_text, join_parts, make_blocks, pack_sorted, planes, split_parts, text_block, unpack_sorted, with_replies
 from millrace.llm.core import mix, prefix_hash, span_hash
 
 LENGTH = 50
@@ -39,20 +41,35 @@ GRAM = 16
 #: Windows of a run at most.
 LONGEST_RUN = 128
 HOT = 1_000
-SHARDS = 4
-CHUNK = 400_000
+SHARDS = 2
+CHUNK = 30_000
 
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
-def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, end, number of text) of every run; windows never cross texts."""
-    n = len(data) - LENGTH + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+#: Bytes of text that are hashed at once, so that the arrays stay in a core's cache.
+PIECE = 96_000
+
+
+def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(minimizer, hash of its string, first window, end, number of text) of every run; windows never cross texts."""
+    parts, at, n = [], 0, len(off) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
+        if off[to] - off[at] >= LENGTH:
+            key, name, start, end, text = runs_of_piece(data[off[at] : off[to]], off[at : to + 1] - off[at])
+            parts.append((key, name, start + off[at], end + off[at], text + at))
+        at = to
+    if not parts:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
+
+
+def runs_of_piece(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
-    h = (word[: len(data) - GRAM + 1] * _A) ^ word[8 : len(data) - GRAM + 9]
+    h = word[: len(data) - GRAM + 1] * _A
+    h ^= word[8 : len(data) - GRAM + 9]
     h ^= h >> np.uint64(29)
     h *= _B
     h ^= h >> np.uint64(32)
@@ -62,84 +79,135 @@ def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         width *= 2
     if width < span:
         h = np.minimum(h[: -(span - width)], h[span - width :])
+    # a run ends where the minimizer changes, before windows that would leave the text, and with the text
     size = np.diff(off)
-    many = np.maximum(size - LENGTH + 1, 0)  # windows of each text
-    text = np.repeat(np.arange(len(size)), many)
-    if not len(text):
-        return np.zeros(0, np.uint64), text, text, text
-    at = np.arange(len(text)) + np.repeat(off[:-1] - (np.cumsum(many) - many), many)
-    m = h[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (m[1:] != m[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(at)))
-    if length.max() > LONGEST_RUN:
-        pieces = -(-length // LONGEST_RUN)
+    new = np.empty(len(h), bool)
+    new[0] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    heads = off[:-1][size >= LENGTH]
+    tails = (off[1:] - LENGTH + 1)[size >= LENGTH]
+    new[heads] = True
+    new[tails[tails < len(h)]] = True
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(h))
+    text = np.searchsorted(off, start, "right") - 1
+    inside = start + LENGTH <= off[text + 1]
+    start, end, text = start[inside], end[inside], text[inside]
+    if len(start) and (end - start).max() > LONGEST_RUN:
+        pieces = -(-(end - start) // LONGEST_RUN)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        end = np.repeat(first + length, pieces)
-        first = np.repeat(first, pieces) + nth * LONGEST_RUN
-        length = np.minimum(end - first, LONGEST_RUN)
-    return mix(m[first]), at[first], at[first] + length, text[first]
+        start, end, text = np.repeat(start, pieces) + nth * LONGEST_RUN, np.repeat(end, pieces), np.repeat(text, pieces)
+        end = np.minimum(end, start + LONGEST_RUN)
+    return mix(h[start]), span_hash(prefix_hash(data), start, end + LENGTH - 1) & _LOW48, start, end, text
+
+
+class Runs:
+    """The runs of a block, and its entries: the distinct (minimizer, string) by that order."""
+
+    def __init__(self, block: bytes):
+        self.ids, self.data, self.off = from_text_block(block)
+        self.key, self.name, self.start, self.end, text = runs(self.data, self.off)
+        self.owner = self.ids[text]
+        self.order, self.first, self.which = distinct(self.key, self.name, nearly=True)
+        self.pick = self.order[self.first]
+
+    def least(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each entry: its least id, and whether it has another."""
+        if not len(self.first):
+            return self.ids[:0], np.zeros(0, bool)
+        low = np.minimum.reduceat(self.owner[self.order], self.first)
+        return low, low != np.maximum.reduceat(self.owner[self.order], self.first)
+
+
+def distinct(key: np.ndarray, name: np.ndarray, nearly: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by (key, name), where its distinct pairs begin, and the number of each row's pair.
+
+    nearly: by the upper bits of the key and some of the name, in one sort; a pair may then, rarely,
+    count as two, which costs a message and changes no result.
+    """
+    if nearly:
+        order = np.argsort((key & ~np.uint64(0xFFFF)) | (name & np.uint64(0xFFFF)))
+    else:
+        order = np.lexsort((name, key))
+    k, n = key[order], name[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), which
 
 
-def tell_minimizers(n_buckets: int):
+def tell_runs(n_buckets: int):
     def send(block: bytes, _: dict[int, bytes]) -> list[tuple[int, bytes]]:
-        ids, data, off = from_text_block(block)
-        key, _, _, text = runs(data, off)
-        order = np.argsort(key, kind="stable")
-        key, text = key[order], text[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(new)
-        count = np.minimum(np.diff(np.append(at, len(key))), 255)
-        several = (np.maximum.reduceat(text, at) != np.minimum.reduceat(text, at)) if len(at) else np.zeros(0, bool)
-        u = key[at]
-        return [(b, join_parts([pack_sorted(u[i:j]), count[i:j].astype(np.uint8).tobytes(), np.packbits(several[i:j]).tobytes()])) for b, i, j in bounds(bucket_of(u, n_buckets))]
+        r = Runs(block)
+        low, more = r.least()
+        key, name = r.key[r.pick], r.name[r.pick]
+        six = name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        return [(b, join_parts([pack_sorted(key[i:j]), six[i:j].tobytes(), planes(low[i:j].view(np.uint64)), np.packbits(more[i:j]).tobytes()])) for b, i, j in bounds(bucket_of(key, n_buckets))]
 
     return send
 
 
-def repeated_minimizers(messages: list[bytes]) -> list[bytes]:
-    """For each key told: 0, 1 if more than one document has it, 2 if it is hot as well."""
+ALONE, SETTLED, OPEN, HOT_KEY = range(4)
+
+
+def settle_runs(messages: list[bytes]) -> list[bytes]:
+    """For each entry told: what its minimizer is, and for settled ones the least id."""
     parts = [split_parts(m) for m in messages]
     keys = [unpack_sorted(p[0]) for p in parts]
     size = [len(k) for k in keys]
-    _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    blocks = np.bincount(back)
-    total = np.bincount(back, np.concatenate([np.frombuffer(p[1], np.uint8) for p in parts]))
-    several = np.bincount(back, np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=n) for p, n in zip(parts, size, strict=True)]))
-    mark = ((blocks > 1) | (several > 0)).astype(np.uint8)
-    mark += mark * (total > HOT)
-    mark = mark[back]
-    return [x.tobytes() for x in np.split(mark, np.cumsum(size)[:-1])]
-
-
-def strings(block: bytes, replies: dict[int, bytes]) -> tuple:
-    """The candidate strings of a block: distinct (key, start, length, least id) by key, and for each
+    key = np.concatenate(keys)
+    six = np.concatenate([np.frombuffer(p[1], np.uint8).reshape(-1, 6) for p in parts])
+    name = np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
+    low = np.concatenate([from_planes(p[2]).view(np.int64) for p in parts])
+    more = np.concatenate([np.unpackbits(np.frombuffer(p[3], np.uint8), count=n) for p, n in zip(parts, size, strict=True)])
+    order, first, _ = distinct(key, name)
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    group = np.empty(len(k), np.int64)
+    group[order] = np.cumsum(new) - 1
+    variants = np.bincount(group[order[first]])
+    least = np.minimum.reduceat(low[order], at)
+    repeated = (least != np.maximum.reduceat(low[order], at)) | (np.maximum.reduceat(more[order], at) > 0)
+    mark = np.where(~repeated, ALONE, np.where(variants == 1, SETTLED, np.where(variants > HOT, HOT_KEY, OPEN))).astype(np.uint8)[group]
+    least = least[group]
+    out, done = [], 0
+    for n in size:
+        m, v = mark[done : done + n], least[done : done + n]
+        done += n
+        out.append(join_parts([m.tobytes(), planes(v[m == SETTLED].view(np.uint64))]))
+    return out
+
+
+def marks_of(replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of a block's entries, and the least ids of the settled ones (0 for others)."""
+    parts = [split_parts(replies[b]) for b in sorted(replies)]
+    if not parts:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    mark = np.frombuffer(b"".join(p[0] for p in parts), np.uint8)
+    least = np.zeros(len(mark), np.int64)
+    least[mark == SETTLED] = np.concatenate([from_planes(p[1]).view(np.int64) for p in parts])
+    return mark, least
+
+
+def strings(r: Runs, mark: np.ndarray) -> tuple:
+    """The open strings of a block: distinct (key, start, length, least id) by key, and for each
     occurrence its string, first byte and id."""
-    ids, data, off = from_text_block(block)
-    key, start, end, text = runs(data, off)
-    u, back = np.unique(key, return_inverse=True)
-    mark = np.frombuffer(b"".join(replies[b] for b in sorted(replies)), np.uint8) if replies else np.zeros(0, np.uint8)
-    mark = mark[back] if len(u) else np.zeros(0, np.uint8)
-    cold, hot = mark == 1, mark == 2
-    s = prefix_hash(data)
-    windows = (end - start)[hot]
-    each = np.repeat(start[hot], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = np.concatenate([start[cold], each])
-    length = np.concatenate([(end - start)[cold] + LENGTH - 1, np.full(len(each), LENGTH)])
-    owner = np.concatenate([ids[text[cold]], ids[np.repeat(text[hot], windows)]])
-    name = span_hash(s, at, at + length)
-    k = np.concatenate([key[cold], mix(name[len(name) - len(each) :])])
-    order = np.lexsort((name, k))
-    new = np.ones(len(order), bool)
-    new[1:] = (k[order][1:] != k[order][:-1]) | (name[order][1:] != name[order][:-1])
-    first = np.flatnonzero(new)
+    mark = mark[r.which] if len(r.which) else mark
+    cold, hot = mark == OPEN, mark == HOT_KEY
+    windows = (r.end - r.start)[hot]
+    each = np.repeat(r.start[hot], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = np.concatenate([r.start[cold], each])
+    length = np.concatenate([(r.end - r.start)[cold] + LENGTH - 1, np.full(len(each), LENGTH)])
+    owner = np.concatenate([r.owner[cold], np.repeat(r.owner[hot], windows)])
+    own = span_hash(prefix_hash(r.data), each, each + LENGTH) if len(each) else r.key[:0]
+    key, name = np.concatenate([r.key[cold], mix(own)]), np.concatenate([r.name[cold], own])
+    order, first, which = distinct(key, name, nearly=True)
     least = np.minimum.reduceat(owner[order], first) if len(first) else owner[:0]
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
     pick = order[first]
-    return ids, data, off, (k[pick], at[pick], length[pick], least), (which, at, owner)
+    return (key[pick], at[pick], length[pick], least), (which, at, owner)
 
 
 def gathered(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -150,7 +218,9 @@ def gathered(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray
 
 def send_strings(n_buckets: int):
     def send(block: bytes, replies: dict[int, bytes]) -> list[tuple[int, bytes]]:
-        _, data, _, (k, at, length, least), _ = strings(block, replies)
+        r = Runs(block)
+        (k, at, length, least), _ = strings(r, marks_of(replies)[0])
+        data = r.data
         return [
             (b, join_parts([pack_sorted(k[i:j]), length[i:j].astype(np.uint8).tobytes(), planes(least[i:j].astype(np.int64).view(np.uint64)), gathered(data, at[i:j], length[i:j]).tobytes()]))
             for b, i, j in bounds(bucket_of(k, n_buckets))
@@ -164,18 +234,20 @@ def transform(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
     terminators, which are 0 in the transform and sort first, by string. Symbols are bytes plus one."""
     k, n = len(length), len(data) + len(length)
     stop = np.cumsum(length + 1) - 1
-    symbol = np.zeros(n, np.int64)
+    symbol = np.zeros(n, np.uint8)
     body = np.ones(n, bool)
     body[stop] = False
-    symbol[body] = data.astype(np.int64) + 1
-    rank = symbol + k
-    rank[stop] = np.arange(k)
-    base, depth = k + 258, 1
-    top = np.append(rank, [0, 0]).astype(np.uint64) + np.uint64(1)
-    value = (top[:n] * np.uint64(base) + top[1 : n + 1]) * np.uint64(base) + top[2 : n + 2] if base < 1 << 21 else top[:n]
-    depth = 3 if base < 1 << 21 else 1
+    symbol[body] = data + np.uint8(1)  # no byte of UTF-8 is 255
+    rank = symbol.astype(np.uint64) + np.uint64(k)
+    rank[stop] = np.arange(k, dtype=np.uint64)
+    base = np.uint64(k + 257)
+    depth = 63 // int(base).bit_length()
+    top = np.append(rank, np.zeros(depth, np.uint64))
+    value = top[:n].copy()
+    for j in range(1, depth):
+        value = value * base + top[j : n + j]
     while True:
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         new = np.zeros(n, np.uint64)
         new[1:] = value[order][1:] != value[order][:-1]
         place = np.cumsum(new, dtype=np.uint64)
@@ -187,9 +259,9 @@ def transform(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
         ahead[: max(n - depth, 0)] = rank[depth:] + np.uint64(1)
         value = rank * np.uint64(n + 1) + ahead
         depth *= 2
-    before = np.zeros(n, np.int64)
+    before = np.zeros(n, np.uint8)
     before[1:] = symbol[:-1]  # before a string's first byte stands a terminator
-    return before[order].astype(np.uint16), order
+    return before[order], order
 
 
 def merged_intervals(data: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -204,21 +276,19 @@ def merged_intervals(data: np.ndarray, length: np.ndarray) -> np.ndarray:
     suffix = np.concatenate([o + s for (_, o), s in zip(made, shift, strict=True)])
     ends = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.uint8)
     z = np.repeat(np.arange(len(parts)), size).astype(np.uint8)
-    group = np.zeros(len(z), np.int64)
+    places = lambda: np.concatenate([np.flatnonzero(z == i) for i in range(len(parts))])
+    group, c, told = np.zeros(len(z), np.int32), np.empty(len(z), np.uint8), np.ones(len(z), bool)
     for _ in range(LENGTH):
-        mine = np.argsort(z, kind="stable")
-        c = np.empty(len(z), np.uint16)
-        c[mine] = bwt
+        c[places()] = bwt
         order = np.argsort(c, kind="stable")
-        told = np.ones(len(z), bool)
         g, by = group[order], c[order]
         told[1:] = (g[1:] != g[:-1]) | (by[1:] != by[:-1])
         z = z[order]
         z[: len(ends)] = ends  # suffixes that are a terminator only: always by shard, then string
         told[: len(ends) + 1] = True
-        group = np.cumsum(told)
+        group = np.cumsum(told, dtype=np.int32)
     out = np.empty(len(z), np.int64)
-    out[suffix] = group[np.argsort(z, kind="stable")]
+    out[suffix] = group[places()]
     return out
 
 
@@ -232,12 +302,7 @@ def earliest(messages: list[bytes]) -> list[bytes]:
     data = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
     at = np.cumsum(length) - length
     name = span_hash(prefix_hash(data), at, at + length)
-    order = np.lexsort((name, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1])
-    first = np.flatnonzero(new)
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
+    order, first, which = distinct(key, name)
     pick = order[first]
     low = np.minimum.reduceat(least[order], first)
     ukey, uat, ulen = key[pick], at[pick], length[pick]
@@ -278,8 +343,15 @@ def earliest(messages: list[bytes]) -> list[bytes]:
 
 
 def applied(marks: dict[int, bytes], replies: dict[int, bytes], block: bytes) -> pd.DataFrame:
-    ids, data, off, _, (which, at, owner) = strings(block, marks)
+    r = Runs(block)
+    ids, data, off = r.ids, r.data, r.off
+    mark, least = marks_of(marks)
     gone = np.zeros(len(data) + 1, np.int32)
+    if len(r.which):
+        cut = (mark[r.which] == SETTLED) & (least[r.which] < r.owner)
+        np.add.at(gone, r.start[cut], 1)
+        np.add.at(gone, r.end[cut] + LENGTH - 1, -1)
+    _, (which, at, owner) = strings(r, mark)
     if len(which):
         parts = [split_parts(replies[b]) for b in sorted(replies)]
         n_runs = np.concatenate([np.frombuffer(p[0], np.uint8) for p in parts]).astype(np.int64)
@@ -288,11 +360,11 @@ def applied(marks: dict[int, bytes], replies: dict[int, bytes], block: bytes) ->
         rat = np.cumsum(n_runs) - n_runs
         reach = np.cumsum(stretch)
         many = n_runs[which]
-        r = np.repeat(rat[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        begin = reach[r] - stretch[r] - np.repeat(reach[rat[which]] - stretch[rat[which]], many) + np.repeat(at, many)
-        cut = value[r] < np.repeat(owner, many)
+        x = np.repeat(rat[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        begin = reach[x] - stretch[x] - np.repeat(reach[rat[which]] - stretch[rat[which]], many) + np.repeat(at, many)
+        cut = value[x] < np.repeat(owner, many)
         np.add.at(gone, begin[cut], 1)
-        np.add.at(gone, (begin + stretch[r] + LENGTH - 1)[cut], -1)
+        np.add.at(gone, (begin + stretch[x] + LENGTH - 1)[cut], -1)
     lost = np.cumsum(gone[:-1]) > 0
     edge = lost.copy()
     edge[1:] &= ~lost[:-1]
@@ -312,10 +384,8 @@ def without_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     rows = ids_and_text(docs, key, text)
     blocks = make_blocks(rows.where("id is not null"), text_block, "passages")
     n = max(1, blocks.count() // 2)
-    marks = answered(blocks, None, tell_minimizers(n), repeated_minimizers, "minimizers")
-    tidy(spark)
+    marks = answered(blocks, None, tell_runs(n), settle_runs, "minimizers")
     least = answered(blocks, marks, send_strings(n), earliest, "intervals")
-    tidy(spark)
     # both replies at once: the marks under buckets from n on
     both = least.unionByName(marks.withColumn("bucket", F.col("bucket") + n))
 
