@@ -35,7 +35,7 @@ def last_days(rows: DataFrame, ts: str, days: int = 7) -> DataFrame:
 
 def pivoted(rows: DataFrame, day: Column, column: str, values: list[str]) -> DataFrame:
     """Counts by day with a column for each value, 0 where there is none."""
-    return rows.groupBy(day.alias("day")).pivot(column, values).agg(F.count("*")).fillna(0)
+    return rows.groupBy(day.alias("day")).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def unpivoted(wide: DataFrame, ids: list[str], values: list[str], name: str = "series", value: str = "n") -> DataFrame:

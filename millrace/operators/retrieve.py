@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.text import words
+from millrace.functions.text import let, words
 from millrace.plans import rules
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -60,8 +61,8 @@ def cosine_top(corpus: DataFrame, queries: DataFrame, n: int = 15, key: str = "c
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, dl): the inverted index; terms are the lower-cased runs between white space."""
-    ws = words(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    return docs.select(key, F.size(ws).alias("dl"), F.explode(ws).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    sized = let(words(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda ws: F.transform(ws, lambda w: F.struct(w.alias("term"), F.size(ws).alias("dl"))))
+    return docs.select(key, F.explode(sized).alias("w")).select(key, "w.term", "w.dl").groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def idf_table(index: DataFrame, n_docs: int) -> DataFrame:
@@ -164,7 +165,7 @@ def embed(rows: DataFrame, text: str, encoder: Encoder | None = None, out: str =
             parts = [encode(list(f[text].iloc[i : i + batch])) for i in range(0, len(f), batch)]
             yield f.assign(**{out: [v.astype(np.float32).tolist() for p in parts for v in p]})
 
-    return rows.select(rest).mapInPandas(work, rows.select(rest).schema.add(out, "array<float>"))
+    return rows.select(rest).mapInPandas(work, rows.select(rest).schema.add(out, T.ArrayType(T.FloatType())))
 
 
 def retrieve(corpus: DataFrame, queries: DataFrame, n_candidates: int = 15, n_final: int = 10, mode: str = "vector", scorer: Scorer | None = overlap_scorer, order_by: str = "semantic_score") -> DataFrame:
