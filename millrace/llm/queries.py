@@ -11,9 +11,12 @@ from millrace.llm.licenses import op2_licenses
 from millrace.llm.lines import op3_lines
 from millrace.llm.mixing import op4_mixing
 from millrace.llm.neardup import op8_neardup
+from millrace.llm.oracles import ORACLE
 from millrace.llm.quality import op6_quality
 from millrace.llm.repeats import op9_passages
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_licenses": op2_licenses,
@@ -28,4 +31,3 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
