@@ -32,6 +32,8 @@ FIRST, WIDER = 0.25, 1.12
 #: Candidates wanted of a block: k, LEAST and this share of its vectors.
 WANTED, LEAST = 0.20, 100
 BLOCK = 8_192
+#: Queries that are counted at once, so that the counters stay in a core's cache.
+TOGETHER = 16
 QUERY_GROUP = 2_048
 
 
@@ -51,43 +53,43 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     # the inner product's order does not change with a query's length, so queries are stretched to M
     norm = np.sqrt(np.einsum("ij,ij->i", q, q))
     centre = lines[:, :dim] @ (q * (longest / norm)[:, None]).T
+    rank = np.empty(place.shape, np.uint16 if n < 1 << 16 else np.uint32)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=rank.dtype), place.shape), axis=1)
     need, least = min(n, int(k + LEAST + WANTED * n)), int(np.ceil(THRESHOLD * PROJECTIONS))
     half = FIRST * max(float(place.std(axis=1).mean()), 1e-12)
-    hits: dict[int, np.ndarray] = {j: np.zeros(n, np.int64) for j in range(min(len(q), 8))}
-    low = high = np.stack([np.searchsorted(sorted_[i], centre[i]) for i in range(PROJECTIONS)])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    probing, left = True, np.arange(len(q))
+    probes = np.arange(min(len(q), 8))
+    rest = np.arange(len(probes), len(q))
+    left = probes
     while len(left):
-        a = np.stack([np.searchsorted(sorted_[i], centre[i] - half, "left") for i in range(PROJECTIONS)])
-        b = np.stack([np.searchsorted(sorted_[i], centre[i] + half, "right") for i in range(PROJECTIONS)])
+        # each query's window on each line, as places in the line's sorted array
+        low = np.stack([np.searchsorted(sorted_[i], centre[i, left] - half, "left") for i in range(PROJECTIONS)])
+        high = np.stack([np.searchsorted(sorted_[i], centre[i, left] + half, "right") for i in range(PROJECTIONS)])
         more = []
-        # a few queries find the width to start from; the others begin there
-        for j in list(hits) if probing else left:
-            before = hits.get(j)
-            spans = [order[i, a[i, j] : b[i, j]] for i in range(PROJECTIONS)] if before is None else [order[i, s:e] for i in range(PROJECTIONS) for s, e in ((a[i, j], low[i, j]), (high[i, j], b[i, j]))]
-            now = np.bincount(np.concatenate(spans), minlength=n)
-            now = now if before is None else now + before
-            found = np.flatnonzero(now >= least)
-            if len(found) < need and (b[:, j] - a[:, j]).min() < n:
-                hits[j] = now
-                more.append(j)
-                continue
-            hits.pop(j, None)
-            found = found[ids[found] != qids[j]]
-            s = (x[found] * q[j]).sum(axis=1)
-            if len(found) > k:
-                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                near = near[np.lexsort((ids[found[near]], -s[near]))[:k]]
-                found, s = found[near], s[near]
-            out.append((np.full(len(found), j), found, s))
-        low, high = a, b
-        if probing and len(more) < max(1, len(q[:8]) // 2 + 1):
-            probing = False
-            left = np.array([*more, *range(min(len(q), 8), len(q))], np.int64)
-            continue
-        if not probing:
-            left = np.array(more, np.int64)
-        half *= WIDER
+        for at in range(0, len(left), TOGETHER):
+            js = left[at : at + TOGETHER]
+            first, wide = low[:, at : at + TOGETHER], high[:, at : at + TOGETHER] - low[:, at : at + TOGETHER]
+            hits = np.zeros((len(js), n), np.uint8)
+            for i in range(PROJECTIONS):  # below the window's start the difference wraps to a large number
+                hits += rank[i][None, :] - first[i].astype(rank.dtype)[:, None] < wide[i].astype(rank.dtype)[:, None]
+            collided = hits >= least
+            enough = (collided.sum(axis=1) >= need) | (wide.min(axis=0) == n)
+            more.append(js[~enough])
+            for r in np.flatnonzero(enough):
+                j = js[r]
+                found = np.flatnonzero(collided[r])
+                found = found[ids[found] != qids[j]]
+                s = x[found] @ q[j]
+                if len(found) > k:  # those that may be among the best, whatever the rounding
+                    found = found[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * max(1.0, float(np.abs(s).max()))]
+                s = (x[found] * q[j]).sum(axis=1)
+                best = np.lexsort((ids[found], -s))[:k]
+                out.append((np.full(len(best), j), found[best], s[best]))
+        left = np.concatenate(more)
+        if len(rest) and len(left) <= len(probes) // 2:  # the width that served most probes is where the others start
+            left, rest = np.concatenate([left, rest]), rest[:0]
+        else:
+            half *= WIDER
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
