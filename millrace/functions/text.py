@@ -114,7 +114,7 @@ def humanized(label: Column, overrides: dict[str, str], default: str = "Unknown"
 
 def number_text(x: Column) -> Column:
     """22.0 as 22, 92.5 as 92.5, others to six significant digits without trailing zeros."""
-    return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", ""))
+    return F.when(x.isNull(), None).when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", ""))
 
 
 def percent_text(x: Column) -> Column:

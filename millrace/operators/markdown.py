@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import found, n_words
 
+# Patterns of markdown structure.
 FENCE = r"^\s*(```|~~~)"
-HEADING = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
-BOLD = r"^\s*\*\*([^*]{2,60})\*\*:?\s*$"
-STEP = r"(?i)^(?:step\s*)?(\d{1,2})[.):\s-]+(.+)$"
-ADVANCED = r"(?i)\b(tds|refractometer|extraction yield|ppm|brix)\b"
+HEADING = r"^\s{0,3}(#{1,6})\s+(.*\S)\s*$"
+BOLD = r"^\s*\*\*(.{2,80}?)\*\*\s*:?\s*$"
+STEP = r"(?i)^(?:step\s*)?(\d{1,2})\s*[.)\-–:]\s+(.+)$"
+SCIENCE = r"(?i)\b(why|science|scientific|chemistry|theory|mechanism|background|deep dive|technical (analysis|detail|note)|the science)\b"
+VALIDATING = r"(?i)\b(validation|validate|verify|verification|how to (check|test))\b"
+ADVANCED = r"(?i)\b(tds|refractomet\w*|extraction yield|brix|vst|atago|digital scale to 0\.1|puck screen)\b"
 SEPARATOR = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$"
 PARAMETER = r"(?i)^\s*[-*+]?\s*\**(current|now|before|target|goal|after|change|delta|adjust(?:ment)?)\**\s*[:：]\s*\**(.+?)\**\s*$"
-VALIDATING = r"(?i)validat|how to (check|know|tell)|did it work|verify|test"
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -86,10 +88,10 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def layouts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, title, layout): validation; step (numbered); science (several sections, 40 words or more); text."""
+    """(key, section, title, layout): validation; science (by its title, among several sections, 40 words or more); else step, text before any heading."""
     s = sections(docs, key, text)
     many = F.count_if(F.col("section") > 0).over(Window.partitionBy(key)) > 1
-    layout = F.when(F.col("title").rlike(VALIDATING), "validation").when(step_number(F.col("title")).isNotNull(), "step").when(many & (n_words(F.col("body")) >= 40), "science").otherwise("text")
+    layout = F.when(F.col("section") == 0, "text").when(F.col("title").rlike(VALIDATING), "validation").when(F.col("title").rlike(SCIENCE) & many & (n_words(F.col("body")) >= 40), "science").otherwise("step")
     return s.select(key, "section", "title", layout.alias("layout"))
 
 

@@ -361,7 +361,7 @@ def _marked(spark, sf):
 
 @query("markdown_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, unnest(range(len(string_split(md, chr(10))))) AS i FROM (SELECT doc_id, """ + _MD + r""" AS md FROM documents)),
 f AS (SELECT *, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fence FROM l),
-h AS (SELECT *, CASE WHEN NOT fence AND regexp_matches(line, '^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$') THEN trim(regexp_extract(line, '^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$', 2)) WHEN NOT fence AND line = '**Two:**' THEN 'Two' END AS heading FROM f),
+h AS (SELECT *, CASE WHEN NOT fence AND regexp_matches(line, '^\s{0,3}(#{1,6})\s+(.*\S)\s*$') THEN trim(regexp_extract(line, '^\s{0,3}(#{1,6})\s+(.*\S)\s*$', 2)) WHEN NOT fence AND line = '**Two:**' THEN 'Two' END AS heading FROM f),
 s AS (SELECT *, sum((heading IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY i)::INT AS section FROM h) SELECT doc_id, section, max(heading) AS title, count(*) FILTER (WHERE heading IS NULL) AS n_lines FROM s GROUP BY doc_id, section""")
 def markdown_sections(spark, sf):
     return markdown.sections(_marked(spark, sf), "doc_id", "md").select("doc_id", "section", "title", "n_lines")

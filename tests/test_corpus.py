@@ -137,10 +137,10 @@ def test_stats_and_sequences(spark):
 
 
 def test_markdown(spark):
-    md = "intro\n## 1. Grind\nCurrent: 3\n**Target:** 4\ntext\n```\n# no\n```\n**Test the result**\nsip\n| Parameter | Current | Target |\n|---|---|---|\n| Dose | 18 | 17 |"
+    md = "intro\n## 1. Grind\nCurrent: 3\n**Target:** 4\ntext\n```\n# no\n```\n**How to check**\nsip\n| Parameter | Current | Target |\n|---|---|---|\n| Dose | 18 | 17 |"
     df = spark.createDataFrame([(1, md), (2, None)], "i int, t string")
     got = {r.section: (r.title, r.body) for r in markdown.sections(df, "i", "t").where("i = 1").collect()}
-    assert [got[k][0] for k in sorted(got)] == [None, "1. Grind", "Test the result"] and got[0][1] == "intro" and "# no" in got[1][1]
+    assert [got[k][0] for k in sorted(got)] == [None, "1. Grind", "How to check"] and got[0][1] == "intro" and "# no" in got[1][1]
     p = markdown.parameters(df, "i", "t").collect()
     assert [(r.current, r.target) for r in p] == [("3", "4")]
     assert {r.layout for r in markdown.layouts(df, "i", "t").where("i = 1").collect()} >= {"step", "validation"}
