@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.core import _LOWERED, column_bytes, slices
+from millrace.llm.core import _LOWERED, slices
 
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
@@ -82,13 +82,12 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
         return None
     rng = np.random.default_rng(seed)
     want = np.array([names.index(x) for x in langs])
-    data, off = column_bytes(pa.array(texts, pa.string()))
     bags = []
-    each = [grams(data, off, n) for n in GRAMS]
-    for i in range(len(texts)):
-        ids, count = np.unique(np.concatenate([g[off[i] : off[i + 1]] for g in each]), return_counts=True)
-        count = count[ids < BUCKETS].astype(np.float64)
-        bags.append((ids[ids < BUCKETS], count / max(count.sum(), 1)))
+    for t in texts:
+        data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
+        ids, count = np.unique(np.concatenate([grams(data, np.array([0, len(data)]), n) for n in GRAMS]), return_counts=True)
+        count = count[ids < BUCKETS]
+        bags.append((ids[ids < BUCKETS].astype(np.int32), (count / max(count.sum(), 1)).astype(np.float32)))
     order = rng.permutation(len(texts))
     back = order[: len(texts) // 5]
     train = order[len(texts) // 5 :]
