@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with these columns, each evaluated once a row: later uses read the value, they don't repeat the expression."""
+    item = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[F.col(c) for c in df.columns if c not in columns], F.inline(F.array(item)))
+
+
 def words(text: Column) -> Column:
     """The runs between white space; none for an empty text."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import once
 from millrace.plans import rules
 
 STEP = "struct<step:int,action:string,parameter:string,direction:string,magnitude:string,priority:string>"
@@ -134,7 +135,8 @@ def diagnose(contexts: DataFrame, key: str = "query_id", causes: DataFrame | Non
     causes, steps = causes or cause_table(spark), steps or step_table(spark)
     none = F.size("symptoms") == 0
     route = F.when(F.col("goal") == "general", "general").when(F.col("goal").isin("learn", "explore") & none, "learn").when((F.col("goal") == "optimize") & none, "optimize").when(none, "no_symptoms").otherwise("rules")
-    c = contexts.withColumn("symptoms", F.coalesce("symptoms", F.array().cast("array<string>"))).withColumn("route", route).withColumn("_s", F.when(F.col("route") == "rules", merged_symptoms(F.col("symptoms"))).otherwise(F.array().cast("array<string>")))
+    c = once(contexts.withColumn("symptoms", F.coalesce("symptoms", F.array().cast("array<string>"))), {"route": route})
+    c = once(c, {"_s": F.when(F.col("route") == "rules", merged_symptoms(F.col("symptoms"))).otherwise(F.array().cast("array<string>"))})
     item = "array<struct<parameter:string,direction:string,magnitude:string,priority:string,action:string>>"
     fixed = lambda rows: F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("parameter", "direction", "magnitude", "priority", "action"), row, strict=True)]) for row in rows])
     tuned = optimize_steps()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import all_of, contains_any, first_of, fold_accents, found, tokens
+from millrace.functions.text import all_of, contains_any, first_of, fold_accents, found, once, tokens
 from millrace.plans import rules
 
 
@@ -49,17 +49,18 @@ def extract(reports: DataFrame, text: str = "raw_problem", fallback: Callable[[D
     out = reports.withColumn("_l", F.lower(raw))
     low = F.col("_l")
     model = F.coalesce(*[found(raw, p) for p in rules.MODELS])
-    out = out.withColumns(
+    out = once(
+        out,
         {
             "machine_type": first_of(low, rules.MACHINES, "unknown"), "machine_model": model, "symptoms": all_of(low, rules.SYMPTOMS),
             "extraction_time_seconds": F.floor(found(raw, rules.TIME).cast("double")).cast("int"), "dose_grams": found(raw, rules.DOSE).cast("double"), "water_temp_celsius": found(raw, rules.TEMPERATURE).cast("double"),
             "grind_size": found(low, rules.GRIND, 0), "bean_origin": F.initcap(first_of(low, {o: [o] for o in rules.ORIGINS})), "roast_level": first_of(low, rules.ROASTS),
             "bean_freshness_days": freshness(raw), "water_ratio": F.concat(F.lit("1:"), found(raw, rules.RATIO)),
-        }
+        },
     )
     # a measurement of zero counts as none
     specs = (F.coalesce(F.col("extraction_time_seconds"), F.lit(0)) != 0) | (F.coalesce(F.col("dose_grams"), F.lit(0)) != 0) | (F.coalesce(F.col("water_temp_celsius"), F.lit(0)) != 0) | F.col("grind_size").isNotNull() | F.col("water_ratio").isNotNull()
-    out = out.withColumn("_g", goal(low, F.col("symptoms")))
+    out = once(out, {"_g": goal(low, F.col("symptoms"))})
     out = out.withColumn("goal", F.when((F.size("symptoms") == 0) & specs & ~F.col("_g").isin("learn", "explore"), "optimize").otherwise(F.col("_g")))
     out = out.withColumn("needs_fallback", (F.col("machine_type") == "unknown") | ((F.size("symptoms") == 0) & (F.col("goal") == "troubleshoot"))).drop("_l", "_g")
     if fallback is None:
