@@ -17,7 +17,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a Python worker turns into numpy arrays at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: set[str] = set()
