@@ -193,6 +193,25 @@ def test_line_dedup_matches_brute_force(docs, texts):
         assert got[3 * k].text == (t if not keep else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in keep))
 
 
+def test_lines_with_changed_words_are_found(spark):
+    """Edit similarity alone decides: each line beside a copy with every tenth word replaced."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows, pairs = [], 0
+    for i in range(300):
+        ws = [word() for _ in range(rng.randint(10, 60))]
+        copy = list(ws)
+        for j in rng.sample(range(len(ws)), len(ws) // 10):
+            copy[j] = word()
+        a, b = " ".join(ws), " ".join(copy)
+        if lines.similar(a, b, 80):
+            rows += [(2 * i, a), (2 * i + 1, b)]
+            pairs += 1
+    got = lines.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert pairs > 250 and all(r.doc_id % 2 == 1 for r in got)
+    assert len(got) >= 0.95 * pairs
+
+
 def test_line_dedup_of_nothing(empty):
     assert lines.without_repeats(empty).count() == 0
 
