@@ -154,6 +154,12 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", corpus.cleaned(F.col("text")).alias("clean"))
 
 
+@query("clean_text_all")
+def clean_text_all(spark, sf):
+    """All languages; no SQL, since word boundaries at accented letters differ there."""
+    return table(spark, sf, "documents").select("doc_id", corpus.cleaned(F.col("text")).alias("clean"))
+
+
 @query("chunk_documents")
 def chunk_documents(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -190,6 +196,19 @@ def relevance_rank(spark, sf):
     return classify.ranked_by_relevance(docs, "doc_id", domains=LEXICON, methods={"none": []}).select("doc_id", "relevance", "rank")
 
 
+@query("classify_domain_all")
+def classify_domain_all(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    out = classify.classify(docs, LEXICON, LEXICON, ["was"], ["this"])
+    return out.select("doc_id", "domain", F.round("classification_confidence", 6).alias("classification_confidence"), "difficulty")
+
+
+@query("relevance_rank_all")
+def relevance_rank_all(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return classify.ranked_by_relevance(docs, "doc_id", domains=LEXICON, methods={"none": []}).select("doc_id", "relevance", "rank")
+
+
 @query("dedup_docs", "SELECT sha256(text) AS content_id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def dedup_docs(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("content_id")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
