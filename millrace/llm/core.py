@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,18 +22,34 @@ SLICE_BYTES = 1_000_000
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: set[str] = set()
+_own: list[str] = []
 
 
 def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that df does not have, whatever the case."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of this process in
+    local mode, and an error on a cluster, whose executors would write to their own disks."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        top = _own[0]
     return f"{top.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
 
 

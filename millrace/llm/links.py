@@ -3,7 +3,7 @@
 A bucket (the ids that share a key) never emits all its pairs. In each round a few pivots of every
 bucket are compared with the members that are not yet in the pivot's component; what has been linked
 is settled, and a bucket whose members are in one component, or have all been pivots, is done. What
-is then still apart in a larger bucket is compared in cells: the members outside a cluster's largest
+is then still apart in a larger bucket is compared in cells: the members outside the bucket's largest
 component meet all its members, block by block, inside tasks that emit links only. No candidate pair
 between different components is left untested: the result is that of all pairs.
 
@@ -25,10 +25,14 @@ from millrace.llm.core import dropped, stored
 
 #: Pivots of a bucket that have been compared after each round.
 ROUNDS = (1, 4)
-#: Members of a block of a cell, and for clusters of more than LARGE.
+#: Members of a block of a cell, and for buckets of more than LARGE.
 BLOCK, LARGE, LARGE_BLOCK = 128, 16_384, 1_024
 
 
+#: test(payloads, payloads, pairs to test as a matrix) gives which of those pairs are links, as a matrix.
+Test = Callable[[list, list, np.ndarray], np.ndarray]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (id, label): each node's smallest reachable node, by alternating stars."""
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "cc")
@@ -56,11 +60,11 @@ def shared(keys: DataFrame) -> DataFrame:
     return stored(keys.join(many, F.col("key") == F.col("k"), "left_semi"), "keys")
 
 
-def link(live: DataFrame, near: Callable[[DataFrame], DataFrame], payload: DataFrame, test: Callable[[list, list], np.ndarray]) -> DataFrame | None:
+def link(live: DataFrame, near: Callable[[DataFrame], DataFrame], payload: DataFrame, test: Test) -> DataFrame | None:
     """shared(keys) -> (id, label) of the ids linked with a smaller one; None if there are none.
 
-    near(pairs (a, b)) keeps the pairs that are links. test(payloads, payloads) says the same of
-    every pair, as a matrix; payload (id, p) has what it needs of each id. Consumes live.
+    near(pairs (a, b)) keeps the pairs that are links. test says the same of many pairs at once;
+    payload (id, p) has what it needs of each id. Consumes live.
     """
     labels = None
     done = 0
@@ -90,31 +94,30 @@ def link(live: DataFrame, near: Callable[[DataFrame], DataFrame], payload: DataF
     return None if labels is None or labels.isEmpty() else labels
 
 
-def in_cells(rows: DataFrame, payload: DataFrame, test: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """Links (a, b) between different labels of ids that buckets connect: rows (key, id, label)."""
-    heads = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("v"))
-    spread = components(rows.join(heads, F.col("key") == F.col("k")).select(F.col("id").alias("u"), "v"))
-    nodes = rows.select("id", "label").distinct()
-    nodes = nodes.join(spread.select(F.col("id").alias("i"), F.col("label").alias("c")), F.col("id") == F.col("i"), "left").select("id", "label", F.coalesce("c", "id").alias("cluster"))
-    nodes = stored(nodes, "clusters")
-    sizes = nodes.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
+def in_cells(rows: DataFrame, payload: DataFrame, test: Test) -> DataFrame:
+    """Links (a, b) between different labels of ids that share a bucket: rows (key, id, label).
+
+    Each bucket is compared on its own, its members outside its largest component against all of them,
+    in cells of two blocks; a chain of buckets never grows into one larger group.
+    """
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
     size = F.when(F.col("all") > LARGE, LARGE_BLOCK).otherwise(BLOCK)
-    sizes = sizes.select(F.col("cluster").alias("_c"), F.col("most.label").alias("main"), F.ceil(F.col("all") / size).cast("int").alias("nr"), F.ceil((F.col("all") - F.col("most.n")) / size).cast("int").alias("nl")).where("nl > 0")
-    both = nodes.join(sizes, F.col("cluster") == F.col("_c")).join(payload, "id")
+    sizes = sizes.select("k", F.col("most.label").alias("main"), F.ceil(F.col("all") / size).cast("int").alias("nr"), F.ceil((F.col("all") - F.col("most.n")) / size).cast("int").alias("nl")).where("nl > 0")
+    both = rows.join(sizes, F.col("key") == F.col("k")).join(payload, "id")
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = both.where("label != main").select("cluster", spot("nl").alias("l"), upto("nr").alias("r"), F.lit(0).alias("side"), "id", "label", "p")
-    right = both.select("cluster", upto("nl").alias("l"), spot("nr").alias("r"), F.lit(1).alias("side"), "id", "label", "p")
+    left = both.where("label != main").select("key", spot("nl").alias("l"), upto("nr").alias("r"), F.lit(0).alias("side"), "id", "label", "p")
+    right = both.select("key", upto("nl").alias("l"), spot("nr").alias("r"), F.lit(1).alias("side"), "id", "label", "p")
 
     def cell(f: pd.DataFrame) -> pd.DataFrame:
         x, y = f[f["side"] == 0], f[f["side"] == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": []})
-        near = test(list(x["p"]), list(y["p"])) & (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :])
-        i, j = np.nonzero(near)
+        apart = x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
+        i, j = np.nonzero(test(list(x["p"]), list(y["p"]), apart))
         # one link for each pair of components is enough
         a, b = x["label"].to_numpy()[i], y["label"].to_numpy()[j]
         _, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
         return pd.DataFrame({"a": x["id"].to_numpy()[i[first]], "b": y["id"].to_numpy()[j[first]]})
 
-    return left.unionByName(right).groupBy("cluster", "l", "r").applyInPandas(cell, "a long, b long")
+    return left.unionByName(right).groupBy("key", "l", "r").applyInPandas(cell, "a long, b long")

@@ -117,13 +117,27 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 COLUMNS = 4_096
 
 
-def all_pairs(xs: list[bytes], ys: list[bytes], percent: int) -> np.ndarray:
-    """Which of the sets xs and ys have Jaccard similarity of percent / 100 or more: the exact sizes of
-    all intersections, from products of membership matrices over the items that both sides hold."""
-    sets = [[np.frombuffer(s, "<u8") for s in side] for side in (xs, ys)]
+def all_pairs(xs: list[dict], ys: list[dict], apart: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs `apart` of xs and ys (items, sig) have Jaccard similarity of percent / 100 or more.
+
+    Pairs that sizes or estimates rule out are not tested. The rest get exact intersection sizes: of few pairs one by one, of many from
+    products of membership matrices over the items that both sides hold.
+    """
+    sizes = [np.array([len(v["items"]) // 8 for v in side]) for side in (xs, ys)]
+    test = apart & (100 * np.minimum.outer(*sizes) >= percent * np.maximum.outer(*sizes))
+    sig = [np.stack([np.asarray(v["sig"], np.int64).view(np.uint64) for v in side]) for side in (xs, ys)]
+    test &= estimates(*sig) >= percent / 100 - MARGIN
+    if not test.any():
+        return test
+    sets = [[np.frombuffer(v["items"], "<u8") for v in side] for side in (xs, ys)]
+    where = np.argwhere(test)
+    if len(where) <= 4 * (len(xs) + len(ys)):
+        for i, j in where:
+            common = len(np.intersect1d(sets[0][i], sets[1][j], assume_unique=True))
+            test[i, j] = 100 * common >= percent * (sizes[0][i] + sizes[1][j] - common)
+        return test
     held = [np.unique(np.concatenate(side)) for side in sets]
     common = np.intersect1d(*held, assume_unique=True)
-    sizes = [np.array([len(s) for s in side]) for side in sets]
     both = np.zeros((len(xs), len(ys)))
     owner = [np.repeat(np.arange(len(side)), n) for side, n in zip(sets, sizes, strict=True)]
     items = [np.concatenate(side) for side in sets]
@@ -138,7 +152,19 @@ def all_pairs(xs: list[bytes], ys: list[bytes], percent: int) -> np.ndarray:
             matrix[o[inside][real], place[real]] = 1
             m.append(matrix)
         both += m[0] @ m[1].T
-    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+    return test & (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both))
+
+
+def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity of each packed signature of x with each of y."""
+    ones = np.uint64((1 << 64) // ((1 << BITS) - 1)) if BITS > 1 else ~np.uint64(0)
+    equal = np.full((len(x), len(y)), MINIMA, np.int64)
+    for i in range(x.shape[1]):
+        d = x[:, i][:, None] ^ y[:, i][None, :]
+        for s in range(1, BITS):
+            d = d | (d >> np.uint64(s))
+        equal -= np.bitwise_count(d & ones).astype(np.int64)
+    return (equal / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
 def equal_groups(x: str, y: str) -> Column:
@@ -179,7 +205,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         with_b = likely.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         return confirmed(with_b.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a"), percent)
 
-    labels = link(live, near, items.withColumnRenamed("items", "p"), lambda x, y: all_pairs(x, y, percent))
+    payload = items.join(reps.select("id", "sig"), "id").select("id", F.struct("items", "sig").alias("p"))
+    labels = link(live, near, payload, lambda x, y, apart: all_pairs(x, y, apart, percent))
     out = member.withColumn("component_id", F.coalesce("rep", "id"))
     if labels is not None:
         out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep", "id"))

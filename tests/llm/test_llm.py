@@ -114,9 +114,12 @@ def test_membership_products_equal_set_arithmetic():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, 200).astype("<u8")) for _ in range(30)]
     raw = [s.tobytes() for s in sets]
-    got = neardup.all_pairs(raw[:10], raw[10:], 30)
     want = [[100 * len(np.intersect1d(a, b)) >= 30 * len(np.union1d(a, b)) for b in sets[10:]] for a in sets[:10]]
-    assert got.tolist() == want
+    _, sig, _ = neardup.signature(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    side = [{"items": r, "sig": x.view(np.int64).tolist()} for r, x in zip(raw, sig, strict=True)]
+    for apart in (np.ones((10, 20), bool), np.eye(10, 20, dtype=bool)):
+        got = neardup.all_pairs(side[:10], side[10:], apart, 30)
+        assert (got == (np.array(want) & apart)).all()
 
 
 def test_signature_estimate_is_unbiased(spark):
@@ -212,6 +215,56 @@ def test_lines_with_changed_words_are_found(spark):
     assert len(got) >= 0.95 * pairs
 
 
+def test_recall_of_fuzzy_lines_on_the_tables(spark):
+    """Of all pairs of different lines of sf0.001 with edit similarity 0.8, by edit distance alone, nine in ten are linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    norm = lambda x: re.sub(lines.NORMAL, " ", x).translate(AZ).strip()
+    every = sorted({norm(x) for r in docs.collect() for x in (r.text or "").split("\n")} - {""})
+    grams = lines.profiles(every).astype(np.float32)
+    grams /= np.maximum(np.sqrt((grams**2).sum(axis=1)), 1)[:, None]
+    i, j = np.nonzero(np.triu(grams @ grams.T > 0.45, 1))
+    size = np.array([len(x) for x in every])
+    close = 10 * np.minimum(size[i], size[j]) >= 8 * np.maximum(size[i], size[j])
+    i, j = i[close], j[close]
+    true = lines.similar_pairs(every, every, i, j, 80)
+    one_each = spark.createDataFrame([(n, x) for n, x in enumerate(every)], "doc_id long, text string")
+    lost = {r.doc_id for r in lines.repeats(one_each).collect()}
+    groups = defaultdict(set)
+    parent = list(range(len(every)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(i[true].tolist(), j[true].tolist(), strict=True):
+        parent[root(b)] = root(a)
+    for x in range(len(every)):
+        groups[root(x)].add(x)
+    should = {x for g in groups.values() for x in sorted(g)[1:]}
+    assert len(should) >= 20 and lost <= should and len(lost) >= 0.9 * len(should)
+
+
+def test_profile_bound_loses_no_similar_line():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    b = ["".join(c if rng.random() > 0.12 else rng.choice("xyz") for c in x) for x in a]
+    i, j = np.divmod(np.arange(3600), 60)
+    want = [5 * (max(len(a[m]), len(b[n])) - levenshtein(a[m], b[n])) >= 4 * max(len(a[m]), len(b[n])) for m, n in zip(i, j, strict=True)]
+    assert lines.similar_pairs(a, b, i, j, 80).tolist() == want
+
+
+def test_lines_edges(spark):
+    """Null and repeated ids, a very long line, and an id beside columns of clashing names."""
+    long = "word " * 60_000
+    rows = [(None, "same line of text here", 1), (1, "same line of text here", 2), (1, "same line of text here", 3), (2, "Same line, of text here", 4), (3, long, 5), (4, long, 6), (5, "", 7), (6, None, 8)]
+    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, _d long")).collect()
+    by = {r._d: r for r in got}
+    assert sorted(by) == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert [by[k]._gone for k in range(1, 9)] == [None, None, None, [0], None, [0], None, None]
+    assert by[6].text == "" and by[5].text == long
+
+
 def test_line_dedup_of_nothing(empty):
     assert lines.without_repeats(empty).count() == 0
 
