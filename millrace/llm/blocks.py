@@ -4,11 +4,22 @@ Operators that look something up for every token or byte of a corpus would shuff
 small rows. Instead documents are gathered into blocks (a stored table, one row a block); a block
 folds what it asks, sends each bucket one packed array, and gets one packed answer in the same
 order. Equal questions of a block are one, so that a hot key is at most one entry from each block.
+
+Blocks grow with the input, up to MOST_BLOCK bytes, so that FEW of them do while they can. Were each
+block to send each bucket a row of its own, rows would grow as the square of the input: beyond WIDE
+blocks, messages go in two hops. A block sends one row to each range of buckets; the rows of a group
+of blocks to a range are turned into one row for each bucket, and replies go back the same way. With
+as many groups and ranges as the root of the blocks, each row is about as large as a block over that
+root, and a task of a hop holds about one block. A bucket holds the questions of about one block.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,10 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.core import slices, stored
+from millrace.llm.core import dropped, slices, stored
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text in a block, at least and at most, and the blocks wanted.
+LEAST_BLOCK, MOST_BLOCK = 500_000, 4_000_000
+FEW = 128
+#: Blocks (or the root of blocks times buckets) beyond which messages go in two hops.
+WIDE = 1_024
 
 
 def join_parts(parts: list[bytes]) -> bytes:
@@ -83,6 +97,8 @@ def bounds(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def make_blocks(docs: DataFrame, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes], tag: str) -> DataFrame:
     """docs (id long, text) -> stored (block, data): encode(ids, bytes, offsets) of the documents of each block."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    most = min(MOST_BLOCK, max(LEAST_BLOCK, total // FEW))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -96,11 +112,11 @@ def make_blocks(docs: DataFrame, encode: Callable[[np.ndarray, np.ndarray, np.nd
             ids.clear(), data.clear(), lens.clear()
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out], pa.binary())], names=["block", "data"])
 
-        for rows, d, off in slices(batches, "text", BLOCK_BYTES // 4):
+        for rows, d, off in slices(batches, "text", LEAST_BLOCK):
             ids.append(rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
             data.append(d)
             lens.append(np.diff(off))
-            if sum(map(len, data)) >= BLOCK_BYTES:
+            if sum(map(len, data)) >= most:
                 yield full()
                 number += 1
         if ids:
@@ -120,48 +136,112 @@ def from_text_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 Send = Callable[[bytes, dict[int, bytes]], list[tuple[int, bytes]]]
 Answer = Callable[[list[bytes]], list[bytes]]  # one reply more than messages: the bucket's own figures
+Packed = list[tuple[int, bytes]]
+
+
+def packed(parts: Packed) -> bytes:
+    return squeezed(join_parts([np.array([n for n, _ in parts], "<i8").tobytes(), *(m for _, m in parts)]))
+
+
+def unpacked(data: bytes) -> Packed:
+    names, *parts = split_parts(unsqueezed(data))
+    return list(zip(np.frombuffer(names, "<i8").tolist(), parts, strict=True))
+
+
+class Answers(NamedTuple):
+    replies: DataFrame  # (to = block, sender, data = packed (bucket, reply))
+    figures: DataFrame  # (data = packed (bucket, figures))
+
+    def each_figures(self) -> Iterator[bytes]:
+        """Every bucket's own figures, one after the other."""
+        for r in self.figures.select("data").toLocalIterator():
+            yield unpacked(r["data"])[0][1]
 
 
-def answered(blocks: DataFrame, replies: DataFrame | None, send: Send, answer: Answer, tag: str) -> DataFrame:
-    """Stored (block, bucket, data): send(block, its earlier replies by bucket) gives messages to buckets,
-    answer(messages of a bucket) one reply to each."""
-    shape = "bucket int, block long, data binary"
+_ROW = "to long, sender long, data binary"
 
-    def out(block: int, data: bytes, got: dict[int, bytes]) -> pd.DataFrame:
-        messages = send(data, got)
-        return pd.DataFrame({"bucket": np.array([b for b, _ in messages], np.int32), "block": np.full(len(messages), block, np.int64), "data": [squeezed(m) for _, m in messages]})
+
+def _rows(by: dict[int, Packed], sender: int) -> pd.DataFrame:
+    return pd.DataFrame({"to": np.array(list(by), np.int64), "sender": np.full(len(by), sender, np.int64), "data": [packed(v) for v in by.values()]})
+
+
+def turned(rows: DataFrame) -> DataFrame:
+    """Rows (to, sender, packed (target, message)) -> (target, to, packed (sender, message)), one for each target of a `to`."""
+
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, Packed] = {}
+        for sender, data in zip(f["sender"], f["data"], strict=True):
+            for target, m in unpacked(data):
+                by.setdefault(target, []).append((int(sender), m))
+        return _rows(by, int(f["to"].iloc[0]))
+
+    return rows.groupBy("to").applyInPandas(work, _ROW)
+
+
+def answered(blocks: DataFrame, replies: DataFrame | None, send: Send, answer: Answer, tag: str, n_buckets: int) -> Answers:
+    """send(block, its earlier replies by bucket) gives messages to buckets, answer(messages of a bucket) one reply
+    to each, and perhaps the bucket's own figures."""
+    n_blocks = blocks.count()
+    two_hops = n_blocks * n_buckets > WIDE * WIDE
+    groups, ranges = (math.isqrt(n_blocks) + 1, math.isqrt(n_buckets) + 1) if two_hops else (1, n_buckets)
+
+    def out(block: int, data: bytes, got: list[dict[int, bytes]]) -> pd.DataFrame:
+        by: dict[int, Packed] = {}
+        group = zlib.crc32(str(block).encode()) % groups
+        for bucket, m in send(data, got[0] if got else {}):
+            to = group * ranges + bucket * ranges // n_buckets if two_hops else bucket
+            by.setdefault(to, []).append((bucket if two_hops else block, m))
+        return _rows(by, block)
 
     if replies is None:
 
         def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for block, data in zip(f["block"], f["data"], strict=True):
-                    yield out(block, unsqueezed(data), {})
+                    yield out(block, unsqueezed(data), [])
 
-        sent = blocks.mapInPandas(plain, shape)
+        sent = blocks.mapInPandas(plain, _ROW)
     else:
-        sent = with_replies(blocks, replies, out, shape)
+        sent = with_replies(blocks, [replies], out, _ROW)
+    held = []
+    if two_hops:
+        sent = stored(turned(sent), f"{tag}-there")
+        held.append(sent)
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
-        got = [squeezed(x) for x in answer([unsqueezed(m) for m in f["data"]])]
-        block = [*f["block"], FIGURES][: len(got)]
-        return pd.DataFrame({"bucket": np.full(len(got), f["bucket"].iloc[0], np.int32), "block": np.array(block, np.int64), "data": got})
-
-    return stored(sent.groupBy("bucket").applyInPandas(work, shape), tag)
-
-
-def with_replies(blocks: DataFrame, replies: DataFrame, work: Callable[[int, bytes, dict[int, bytes]], pd.DataFrame], shape: str) -> DataFrame:
-    """work(block number, block, its replies by bucket) of every block."""
+        bucket = int(f["to"].iloc[0])
+        got = [(int(sender), block, m) for sender, data in zip(f["sender"], f["data"], strict=True) for block, m in unpacked(data)]
+        made = answer([m for _, _, m in got])
+        by: dict[int, Packed] = {FIGURES: [(bucket, x) for x in made[len(got) :]]} if len(made) > len(got) else {}
+        for (sender, block, _), reply in zip(got, made, strict=False):
+            by.setdefault(sender if two_hops else block, []).append((block if two_hops else bucket, reply))
+        return _rows(by, bucket)
+
+    made = stored(sent.groupBy("to").applyInPandas(work, _ROW), tag)
+    back = made.where(F.col("to") != FIGURES)
+    if two_hops:
+        back = stored(turned(back), f"{tag}-back")
+    dropped(*held)
+    return Answers(back, made.where(F.col("to") == FIGURES))
+
+
+def with_replies(blocks: DataFrame, replies: list[DataFrame], work: Callable[[int, bytes, list[dict[int, bytes]]], pd.DataFrame], shape: str) -> DataFrame:
+    """work(block number, block, its replies by bucket from each of the tables) of every block."""
+    every = reduce(DataFrame.unionByName, [r.select("to", F.lit(i).alias("part"), "data") for i, r in enumerate(replies)])
+    n = len(replies)
 
     def both(key: tuple, b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return work(int(key[0]), unsqueezed(b["data"].iloc[0]), dict(zip(r["bucket"], map(unsqueezed, r["data"]), strict=True)))
+        got: list[dict[int, bytes]] = [{} for _ in range(n)]
+        for part, data in zip(r["part"], r["data"], strict=True):
+            got[part].update(unpacked(data))
+        return work(int(key[0]), unsqueezed(b["data"].iloc[0]), got)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(both, shape)
+    return blocks.groupBy("block").cogroup(every.groupBy("to")).applyInPandas(both, shape)
 
 
 def ids_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-#: Replies to this block are a bucket's own figures.
+#: What is sent to this block is a bucket's own figures.
 FIGURES = -1

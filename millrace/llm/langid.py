@@ -2,7 +2,8 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams (lower-cased A-Z); a linear softmax
 over it gives the languages. Both are trained by stochastic gradient descent in numpy, on a sample
-of at most SAMPLE labelled rows, drawn by hash with an equal share for each language. A fifth of the
+of about SAMPLE labelled rows (the commonest SAMPLE / 2 languages at most), drawn by hash with an
+equal share for each language, whatever their length: executors count the n-grams of whole texts. A fifth of the
 sample is kept back to fit a temperature, so that scores are probabilities, and the score below
 which a prediction is rejected.
 
@@ -30,8 +31,8 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 WIDTH = 16
 SAMPLE = 4_000
-#: Longer texts do not teach: the sample's bytes are bounded too.
-LONGEST_LESSON = 20_000
+#: Different n-grams of a lesson, the most frequent ones; what the driver holds is bounded by rows times this.
+BAG = 4_096
 EPOCHS, RATE = 4, 4.0
 #: Of held-back predictions that are accepted, at most this share may be wrong.
 ERROR_RATE = 0.01
@@ -75,22 +76,32 @@ def grams(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+Bag = tuple[np.ndarray, np.ndarray]  # buckets of n-grams, and the share of each
+
+
+def bag_of(data: np.ndarray) -> Bag:
+    ids, count = np.unique(np.concatenate([grams(data, np.array([0, len(data)]), n) for n in GRAMS]), return_counts=True)
+    ids, count = ids[ids < BUCKETS], count[ids < BUCKETS]
+    if len(ids) > BAG:
+        most = np.sort(np.argsort(-count, kind="stable")[:BAG])
+        ids, count = ids[most], count[most]
+    return ids.astype(np.uint16), (count / max(count.sum(), 1)).astype(np.float32)
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     """Trains on texts and their languages; the order given must not matter to the caller."""
+    return fit_bags([bag_of(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)) for t in texts], langs, seed)
+
+
+def fit_bags(bags: list[Bag], langs: list[str], seed: int = 7) -> Model | None:
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     want = np.array([names.index(x) for x in langs])
-    bags = []
-    for t in texts:
-        data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-        ids, count = np.unique(np.concatenate([grams(data, np.array([0, len(data)]), n) for n in GRAMS]), return_counts=True)
-        count = count[ids < BUCKETS]
-        bags.append((ids[ids < BUCKETS].astype(np.int32), (count / max(count.sum(), 1)).astype(np.float32)))
-    order = rng.permutation(len(texts))
-    back = order[: len(texts) // 5]
-    train = order[len(texts) // 5 :]
+    order = rng.permutation(len(bags))
+    back = order[: len(bags) // 5]
+    train = order[len(bags) // 5 :]
     emb = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
     out, bias = np.zeros((WIDTH, len(names))), np.zeros(len(names))
     steps, step = EPOCHS * len(train), 0
@@ -125,16 +136,23 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     return model
 
 
-def lessons(docs: DataFrame, text: str, lang: str, key: str, may: Column) -> tuple[list[str], list[str]]:
-    """At most about SAMPLE texts and their languages: those of least hash, an equal share for each."""
-    labelled = docs.where(may & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LONGEST_LESSON)).select(F.col(text).alias("x"), F.col(lang).alias("y"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("lesson")), F.lit(1 << 30)).alias("u"))
+def lessons(docs: DataFrame, text: str, lang: str, key: str, may: Column) -> tuple[list[Bag], list[str]]:
+    """The bags of about SAMPLE texts and their languages: those of least hash, an equal share for each."""
+    labelled = docs.where(may & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("y"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("lesson")), F.lit(1 << 30)).alias("u"), F.xxhash64(text).alias("h"))
     counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(SAMPLE // 2).collect()}
     if not counts:
         return [], []
     share = SAMPLE // len(counts)
     most = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, int(min(1.0, share / n) * (1 << 30)))])
-    rows = labelled.where(F.col("u") < F.get(F.array(F.try_element_at(most, F.col("y"))), F.lit(0))).orderBy("u", "x").limit(2 * SAMPLE).collect()
-    return [r["x"] for r in rows], [r["y"] for r in rows]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in slices(batches, "text"):
+            bags = [bag_of(data[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array([b[0].tobytes() for b in bags], pa.binary()), pa.array([b[1].tobytes() for b in bags], pa.binary())], names=["y", "u", "h", "ids", "shares"])
+
+    chosen = labelled.where(F.col("u") < F.get(F.array(F.try_element_at(most, F.col("y"))), F.lit(0)))
+    rows = chosen.mapInArrow(work, "y string, u long, h long, ids binary, shares binary").orderBy("u", "h", "y").limit(2 * SAMPLE).collect()
+    return [(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in rows], [r["y"] for r in rows]
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -164,5 +182,5 @@ def held_out(key: str = "doc_id", mod: int = 4) -> Column:
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(*lessons(docs, "text", "lang", "doc_id", ~held_out() & F.col("doc_id").isNotNull()))
+    model = fit_bags(*lessons(docs, "text", "lang", "doc_id", ~held_out() & F.col("doc_id").isNotNull()))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.core import WORD, stored
+from millrace.llm.core import WORD, fresh, stored
 
 BUCKETS = 1 << 16
 PASSES = 4
@@ -106,6 +106,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         .withColumn("odds", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))))
         .withColumn("v", F.col("odds") / (1 + F.col("odds")))
     )
+    due = stored(due, "mix-due")
     room = due.groupBy("source").agg(F.floor(F.first("target")).cast("long").alias("goal"), F.sum(F.col("whole") * F.col("size")).alias("sure")).select("source", (F.col("goal") - F.col("sure")).alias("room"))
     room = stored(room, "mix-room")
     pool = due.where((F.col("size") > 0) & (F.col("part") > 0)).select("source", "v", "id", "size")
@@ -131,11 +132,12 @@ def row_id(key: str, text: str) -> Column:
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """The mix itself: docs, each row as often as it is taken."""
-    times = mix(docs, text, source, key, seed).where("copies > 0").select(F.col("id").alias("_id"), F.col("nth").alias("_nth"), "copies")
-    numbered = docs.withColumn("_i", row_id(key, text)).withColumn("_n", F.row_number().over(Window.partitionBy("_i").orderBy("_i")))
-    both = numbered.join(times.withColumnRenamed("copies", "_copies"), (F.col("_i") == F.col("_id")) & (F.col("_n") == F.col("_nth")))
-    return both.withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(c) for c in docs.columns])
+    """The mix itself: docs, each row as often as it is taken; columns as they were, whatever their names."""
+    i, n, id_, nth, copies, x = fresh(docs, "_i", "_n", "_id", "_nth", "_copies", "_x")
+    times = mix(docs, text, source, key, seed).where("copies > 0").select(F.col("id").alias(id_), F.col("nth").alias(nth), F.col("copies").alias(copies))
+    numbered = docs.withColumn(i, row_id(key, text)).withColumn(n, F.row_number().over(Window.partitionBy(i).orderBy(i)))
+    both = numbered.join(times, (F.col(i) == F.col(id_)) & (F.col(n) == F.col(nth)))
+    return both.withColumn(x, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

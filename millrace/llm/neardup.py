@@ -14,7 +14,7 @@ equal sets fold in a map-side combined aggregate; buckets go through links.link;
 round to each side of a pair. Nothing is broadcast.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; rows that share
-a doc_id are one document; a null doc_id is never linked, its component is null and it is kept.
+a doc_id are one document, which links with whatever one of them links with; a null doc_id is never linked, its component is null and it is kept.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.core import Words, column_bytes, mix, shingles, slices, stored
-from millrace.llm.links import link, shared
+from millrace.llm.links import components, link, shared
 
 SHINGLE = 5
 ROWS, BANDS = 5, 25
@@ -184,11 +184,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     """One row for each row of docs: (doc_id, n_shingles, component_id, kept)."""
     known = stored(signatures(docs, text, key, k), "minhash")
     classes = known.where("n_shingles > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    member = known.select("id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left").select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("rep")).alias("rep"))
+    member = known.select("id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left").select("id", "n_shingles", "f1", "f2", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     member = stored(member, "members")
-    reps = known.join(member.where("id = rep").select(F.col("id").alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi")
-    reps = stored(reps.groupBy("id").agg(F.max_by(F.struct("n_shingles", "sig", "bands"), "n_shingles").alias("s")).select("id", "s.*"), "reps")
-    keys = reps.select(F.explode("bands").alias("key"), "id")
+    # an id whose rows have several sets stands for each set that it is the first to have
+    own = member.where("id = rep").select(F.col("id").alias("i"), F.col("n_shingles").alias("n"), F.col("f1").alias("g1"), F.col("f2").alias("g2")).distinct()
+    reps = known.join(own, (F.col("id") == F.col("i")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi")
+    reps = stored(reps.dropDuplicates(["id", "f1", "f2"]).select("id", "n_shingles", "sig", "bands"), "reps")
+    keys = reps.select(F.explode("bands").alias("key"), "id").distinct()
     live = shared(keys)
     candidates = live.select("id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi")
@@ -207,6 +209,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 
     payload = items.join(reps.select("id", "sig"), "id").select("id", F.struct("items", "sig").alias("p"))
     labels = link(live, near, payload, lambda x, y, apart: all_pairs(x, y, apart, percent))
+    several = member.where("rep is not null").groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    ties = stored(several.select(F.explode("reps").alias("u"), F.array_min("reps").alias("v")).where("u > v"), "ties")
+    if not ties.isEmpty():
+        labels = components(ties if labels is None else ties.unionByName(labels.select(F.col("id").alias("u"), F.col("label").alias("v"))))
     out = member.withColumn("component_id", F.coalesce("rep", "id"))
     if labels is not None:
         out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep", "id"))

@@ -15,7 +15,8 @@ def _text(s: str) -> str:
 
 
 def quality_sql() -> str:
-    fails = " OR ".join(f"contains(lower(line), {_text(p)})" for p in quality.BOILERPLATE)
+    says = lambda phrases: f"regexp_matches(lower(line), {_text(quality.whole_words(phrases))})"
+    fails = f"{says(quality.BOILERPLATE)} OR (len(w) < {quality.SHORT_CUE} AND {says(quality.CUES)}) OR (regexp_matches(line, '[{{}}]') AND regexp_matches(rtrim(line), '[{{}};]$'))"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),

@@ -384,15 +384,9 @@ def without_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     rows = ids_and_text(docs, key, text)
     blocks = make_blocks(rows.where("id is not null"), text_block, "passages")
     n = max(1, blocks.count() // 2)
-    marks = answered(blocks, None, tell_runs(n), settle_runs, "minimizers")
-    least = answered(blocks, marks, send_strings(n), earliest, "intervals")
-    # both replies at once: the marks under buckets from n on
-    both = least.unionByName(marks.withColumn("bucket", F.col("bucket") + n))
-
-    def work(_: int, block: bytes, got: dict[int, bytes]) -> pd.DataFrame:
-        return applied({b - n: x for b, x in got.items() if b >= n}, {b: x for b, x in got.items() if b < n}, block)
-
-    out = with_replies(blocks, both, work, SHAPE)
+    marks = answered(blocks, None, tell_runs(n), settle_runs, "minimizers", n)
+    least = answered(blocks, marks.replies, send_strings(n), earliest, "intervals", n)
+    out = with_replies(blocks, [marks.replies, least.replies], lambda _, block, got: applied(got[0], got[1], block), SHAPE)
     unnamed = rows.where("id is null").select(F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return out.unionByName(unnamed)
 

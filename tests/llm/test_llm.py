@@ -110,6 +110,19 @@ def test_near_duplicates_with_repeated_and_null_ids(spark, texts):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_an_id_with_two_texts_links_through_both(spark):
+    rng = random.Random(9)
+    make = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    a, b = make(), make()
+    near = [*b[:100], "changed", *b[101:]]
+    rows = [(1, a), (1, b), (2, near), (3, a), (4, make())]
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    rows = [(0, b), (1, a), (1, b), (2, [*a[:100], "changed", *a[101:]])]
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_membership_products_equal_set_arithmetic():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, 200).astype("<u8")) for _ in range(30)]
@@ -334,10 +347,39 @@ def test_quality_rules_by_line(spark):
     noise = "word### other$$$ thing%%% more&&& less*** again### still$$$ this%%% that&&& here***"
     rows = [(1, good), (2, nav), (3, noise), (4, f"{good}\n{nav}"), (5, f"{good}\n{good[:-1]} and so on.\nClick here"), (6, None)]
     got = by_id(quality.measured(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "_q.*"))
-    assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False} or got[4].kept is False
+    assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}  # 5: its sentence repeats
     assert got[5].clean_text == f"{good}\n{good[:-1]} and so on." and got[2].n_failed_lines == 1
 
 
+def test_phrases_are_whole_words_and_cues_need_short_lines(spark):
+    rows = [
+        (1, "The blog in question described a design in detail, with more than ten words."),
+        (2, "You log in with the key that the office gave you on the first day, then read on."),
+        (3, "Log in or subscribe to read more today."),
+        (4, "Readers of this catalog in print never saw a cookie, so the baker sent them three of each kind."),
+        (5, "We use cookies on this site so that it works better for you and for everyone else who reads it."),
+        (6, "if (a > b) { return the first of the two values that were given to it here; }"),
+    ]
+    got = by_id(quality.measured(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "_q.*"))
+    assert {i: r.n_failed_lines for i, r in got.items()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1, 6: 1}
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    text = "This is a sentence with more than ten words in it, as it should be."
+    df = spark.createDataFrame([(1, text, 5, 6, 7)], "doc_id long, text string, _w long, _l long, _q long")
+    assert quality.clean(df).collect() == df.collect()
+    df = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3, 4)], "doc_id long, text string, source string, _i long, _n long, _id long, _copies long")
+    assert set(mixing.mixed(df).collect()) <= set(df.collect()) and mixing.mixed(df).columns == df.columns
+
+
+def test_repeated_and_null_ids_in_the_mix(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "a b", "s"), (None, None, None), (2, "d " * 40, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 5 and all(0 <= r.copies <= 3 for r in got)
+    assert mixing.mixed(df).count() == sum(r.copies for r in got)
+
+
 def test_quality_of_nothing(empty):
     assert quality.clean(empty).columns == empty.columns and quality.clean(empty).count() == 0
 
@@ -422,6 +464,21 @@ def test_buckets_of_passages(texts, hot, monkeypatch):
     assert split_parts(join_parts([b"a", b"", b"xyz"])) == [b"a", b"", b"xyz"]
 
 
+def test_two_hops_give_the_same(docs, texts, monkeypatch):
+    """Messages in two hops, as beyond WIDE blocks."""
+    from millrace.llm import blocks
+
+    one = by_id(katz.katz_scores(docs))
+    monkeypatch.setattr(blocks, "WIDE", 1)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 3_000)
+    monkeypatch.setattr(blocks, "MOST_BLOCK", 3_000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_passages(docs).collect()}
+    assert got == passages_by_force(texts)
+    two = by_id(katz.katz_scores(docs))
+    for i, r in one.items():
+        assert r[:5] == two[i][:5] and math.isclose(r.score, two[i].score, rel_tol=1e-9) and math.isclose(r.base_score, two[i].base_score, rel_tol=1e-9)
+
+
 def test_passages_of_nothing_and_null_ids(spark, empty, texts):
     assert repeats.without_passages(empty).count() == 0
     got = repeats.without_passages(spark.createDataFrame([(None, texts[7]), (1, texts[7]), (1, texts[7])], "doc_id long, text string")).collect()
@@ -477,6 +534,15 @@ def test_katz_matches_brute_force_and_sums_to_one(docs, texts):
         assert math.isclose(r.base_score, w[5], rel_tol=1e-9) and math.isclose(r.score, w[6], rel_tol=1e-9)
 
 
+def test_katz_of_frequent_words_only(spark):
+    """No count is small enough to be discounted: an unknown word still has a probability."""
+    rows = [(i, "a b a b") for i in range(40)] + [(next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2), "a zebra")]
+    got = katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    uni = katz.Unigrams(30, [0] * 6)
+    assert math.isclose(float(uni.p(np.array([20, 10, 0])).sum()), 1)
+
+
 def test_katz_of_nothing(spark, empty):
     assert katz.katz_scores(empty).count() == 0
     r = katz.katz_scores(spark.createDataFrame([(None, None)], "doc_id long, text string")).first()
@@ -495,7 +561,7 @@ def test_language_identification(spark):
         rows.append((i, " ".join(rng.choice(make[lang].split()) for _ in range(rng.randint(3, 30))), lang))
     rows += [(1000, None, "aa"), (1001, "123 ... 45", "aa"), (1002, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit(*langid.lessons(df, "text", "lang", "doc_id", ~langid.held_out()))
+    model = langid.fit_bags(*langid.lessons(df, "text", "lang", "doc_id", ~langid.held_out()))
     got = by_id(langid.predict(clashing(df), model).withColumn("held", langid.held_out()))
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002))
     held = [r for r in got.values() if r.held and r.doc_id < 1000]
@@ -507,6 +573,16 @@ def test_language_identification(spark):
 def test_language_of_nothing(empty, docs):
     assert langid.fit([], []) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
+
+
+def test_languages_with_long_texts_only_are_learnt(spark):
+    rng = random.Random(2)
+    word = {"xx": lambda: "".join(rng.choice("abcde") for _ in range(5)), "yy": lambda: "".join(rng.choice("vwxyz") for _ in range(5))}
+    rows = [(i, " ".join(word["xx"]() for _ in range(30)), "xx") for i in range(60)] + [(100 + i, " ".join(word["yy"]() for _ in range(5000)), "yy") for i in range(12)]
+    df = spark.createDataFrame(rows + rows[:3] + [(999, None, "xx"), (998, "", "yy")], "doc_id long, text string, lang string")
+    model = langid.fit_bags(*langid.lessons(df, "text", "lang", "doc_id", ~langid.held_out()))
+    got = langid.predict(df, model).where("length(text) > 0").collect()
+    assert all(r.lang_pred == r.lang for r in got)
     assert langid.predict(empty, None).count() == 0
 
 
