@@ -5,6 +5,11 @@ line_dedup   repeated lines go, all but the first of each group; a document left
 near_dedup   one document of each near-duplicate group stays
 mixing       documents are taken as often as their source's target asks
 bpe          texts become token ids
+
+Defined results: null, empty and blank texts fail the quality rules and go; an empty table gives an empty
+one. Rows that share a doc_id are one document: of rows with its text as well one stays (the least), rows
+of other texts stay beside it. A row without a doc_id loses no lines and is no copy of another. Repeated
+rows are documents of their own in mixing and BPE.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, lines, mixing, neardup, quality
-from millrace.llm.core import stored
+from millrace.llm.core import dropped, fresh, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +28,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.without_repeats(docs)
-    emptied = F.col("_gone").isNotNull() & ~quality.has_word(F.col("text"))
+    (gone,) = fresh(docs, "_gone")
+    out = lines.without_repeats(docs, gone=gone)
+    emptied = F.col(gone).isNotNull() & ~quality.has_word(F.col("text"))
     out = out.where(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    rest = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    named = rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(rest.where(F.col("doc_id").isNull()))
+    n, kept, id_ = fresh(docs, "_n", "_kept", "_id")
+    marks = neardup.near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_)).agg(F.min("kept").alias(kept), F.count("*").alias(n))
+    marked = docs.join(marks.where(~F.col(kept) | (F.col(n) > 1)), F.col("doc_id") == F.col(id_), "left")
+    once = marked.where(F.col(kept).isNull()).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = marked.where(F.col(kept)).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias(n)).select("doc_id", "text", f"{n}.*")
+    return once.unionByName(again.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +68,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
