@@ -8,8 +8,8 @@ THRESHOLD of the windows has collided often enough and is a candidate. When a bl
 WANTED candidates (or has given all), they are verified by the inner product itself, in double
 precision, and each query keeps its best.
 
-Scale: the projections and M come from one small aggregate; vectors are blocked by hash, queries
-by hash into groups that bound what a task holds, and each group meets each block, the stated query
+Scale: the projections and M come from one small aggregate; vectors are blocked by a hash of id and vector, queries
+likewise into groups that bound what a task holds, and each group meets each block, the stated query
 set against all rows, in blocks. A block gives at most k rows for a query. There is no cap on
 collisions: ties and copies in the last window are all verified.
 
@@ -104,8 +104,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     good = good.where(F.size("v") == facts["dim"])
     longest = float(np.sqrt(facts["m"]))
     blocks, groups = -(-facts["n"] // BLOCK), max(1, -(-facts["q"] // QUERY_GROUP))
-    rows = good.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = good.where("is_query").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int"))
+    rows = good.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    asked = good.where("is_query").withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int"))
     # every block meets every group of queries: the block is copied for each group, the queries for each block
     left = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "part", "id", "v")
     right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "part", "id", "v")

@@ -64,7 +64,7 @@ def link(live: DataFrame, near: Callable[[DataFrame], DataFrame], payload: DataF
     """shared(keys) -> (id, label) of the ids linked with a smaller one; None if there are none.
 
     near(pairs (a, b)) keeps the pairs that are links. test says the same of many pairs at once;
-    payload (id, p) has what it needs of each id. Consumes live.
+    payload (id, p) has what it needs of each id, and p.keys all keys of the id in one order. Consumes live.
     """
     labels = None
     done = 0
@@ -94,6 +94,16 @@ def link(live: DataFrame, near: Callable[[DataFrame], DataFrame], payload: DataF
     return None if labels is None or labels.isEmpty() else labels
 
 
+def shared_before(key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each x and y (their keys in one order): whether they share a key before this one. Its bucket tests
+    them: it was either small enough for the pivots or holds both in different components."""
+    at = int(np.flatnonzero((x == key).any(axis=0))[0])
+    out = np.zeros((len(x), len(y)), bool)
+    for i in range(at):
+        out |= x[:, i][:, None] == y[:, i][None, :]
+    return out
+
+
 def in_cells(rows: DataFrame, payload: DataFrame, test: Test) -> DataFrame:
     """Links (a, b) between different labels of ids that share a bucket: rows (key, id, label).
 
@@ -114,6 +124,7 @@ def in_cells(rows: DataFrame, payload: DataFrame, test: Test) -> DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": []})
         apart = x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
+        apart &= ~shared_before(int(f["key"].iloc[0]), *(np.stack([np.asarray(v["keys"]) for v in side["p"]]) for side in (x, y)))
         i, j = np.nonzero(test(list(x["p"]), list(y["p"]), apart))
         # one link for each pair of components is enough
         a, b = x["label"].to_numpy()[i], y["label"].to_numpy()[j]

@@ -549,6 +549,34 @@ def test_katz_of_nothing(spark, empty):
     assert (r.doc_id, r.held_out, r.n_tokens, r.train_tokens, r.score) == (None, False, 1, 0, 0.0)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_neighbours_on_the_tables(spark, sf):
+    """Against brute force, on the embeddings themselves."""
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = defaultdict(set)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.where(ann.usable(F.col("embedding"))).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = wanted = 0
+    for n in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[n]
+        s[n] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        found, wanted = found + len(best & got[ids[n]]), wanted + len(best)
+    assert found >= 0.9 * wanted > 0
+
+
+def test_neighbours_of_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (None, [1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert {r.query_id for r in got} == {0} and {r.vec_id for r in got} == {1, 2}
+
+
 # ------------------------------------------------------------------ language identification
 
 
@@ -573,6 +601,7 @@ def test_language_identification(spark):
 def test_language_of_nothing(empty, docs):
     assert langid.fit([], []) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
+    assert langid.predict(empty, None).count() == 0
 
 
 def test_languages_with_long_texts_only_are_learnt(spark):
@@ -583,7 +612,6 @@ def test_languages_with_long_texts_only_are_learnt(spark):
     model = langid.fit_bags(*langid.lessons(df, "text", "lang", "doc_id", ~langid.held_out()))
     got = langid.predict(df, model).where("length(text) > 0").collect()
     assert all(r.lang_pred == r.lang for r in got)
-    assert langid.predict(empty, None).count() == 0
 
 
 # ------------------------------------------------------------------ licenses
