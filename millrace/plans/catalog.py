@@ -16,6 +16,7 @@ from millrace.operators import classify, evals, gates, markdown, monitor, retrie
 from millrace.operators.diagnose import diagnose, retrieval_query
 from millrace.operators.extract import extract, scope
 from millrace.operators.generate import coaching_prompt, template_text
+from millrace.plans import report_sql
 from millrace.plans.coach import coach
 from millrace.plans.rules import EXPLANATION, SPECIFIC, VALIDATION
 from millrace.sources.logs import ingestion_report, markdown_table
@@ -395,26 +396,60 @@ def table_rows(spark, sf):
 # ------------------------------------------------------------------ rules and generation
 
 
+#: What users of these tables never say: an ending for each turn, by its place, so that all rules meet whole texts.
+ENDINGS = [
+    "", "My DeLonghi Dinamica makes bitter espresso, 28 second extraction, roasted 5 weeks ago", "My moka pot makes burnt bitter coffee, it is harsh", "My Nespresso Vertuo is bitter and sour", "my Gaggia Classic is sour, 18 seconds, 19g dose", "V60, Ethiopian light roast, tastes too sour, 22s extraction, 15g dose",
+    "I want to learn how to make it better", "18g, 90 celsius, light roast on a Breville Bambino, 40 seconds", "Which grinder should I get?", "aeropress is weak, beans 60 days old", "error E4 on my Jura E8", "lever shot with channeling and no crema, dark roast, 96 degrees C, ratio 1:2.5, setting 12", "french press tastes flat and too strong",
+    "give me a recipe", "kalita runs too fast, 300 seconds", "moka pot, 90 seconds, overwhelming and dry", "gushing espresso, different every time, no flow", "my rancilio silvia: 12g, 20 seconds, dark roast, 96 celsius, roasted 30 days ago",
+]
+
+
+def _turns(spark, sf):
+    """Reports from all turns of users: their whole text and an ending."""
+    said = F.concat_ws(" ", "text", F.get(F.array(*map(F.lit, ENDINGS)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ENDINGS))).cast("int")))
+    return table(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), said.alias("raw_problem"))
+
+
+_TURNS = f"SELECT conv_id || '-' || turn AS query_id, concat_ws(' ', text, list_extract([{', '.join(map(report_sql.text, ENDINGS))}], ((conv_id + turn) % {len(ENDINGS)} + 1)::INT)) AS raw_problem FROM conversations WHERE role = 'user'"
+
+
 def _reports(spark):
     return spark.createDataFrame(REPORTS, "query_id string, raw_problem string")
 
 
-@query("extract_features")
+@query("extract_features", report_sql.extract_sql(_TURNS))
 def extract_features(spark, sf):
-    return extract(_reports(spark))
+    return extract(_turns(spark, sf)).drop("raw_problem").withColumn("symptoms", F.array_join("symptoms", ","))
 
 
-@query("diagnose_reports")
+def _listed(plan: str = "plan"):
+    show = lambda s: F.concat_ws(" ", s["step"].cast("string"), F.coalesce(s["parameter"], F.lit("-")), F.coalesce(s["direction"], F.lit("-")), F.coalesce(s["magnitude"], F.lit("-")), F.concat(s["priority"], F.lit(":")), s["action"])
+    return F.array_join(F.transform(plan, show), "; ")
+
+
+@query("diagnose_reports", report_sql.diagnose_sql(_TURNS))
 def diagnose_reports(spark, sf):
+    d = diagnose(extract(_turns(spark, sf)))
+    causes = F.array_join(F.transform("root_causes", lambda c: F.format_string("%s=%.2f/%s", c["hypothesis"], c["probability"], F.coalesce(c["parameter_affected"], F.lit("-")))), ",")
+    return d.select("query_id", "route", F.array_join("symptoms", ",").alias("symptoms"), causes.alias("causes"), _listed().alias("plan"), "diagnostic_confidence", F.array_join("warnings", " ").alias("warnings"), retrieval_query().alias("retrieval_query"))
+
+
+@query("gates_pre", report_sql.gate_sql(_TURNS))
+def gates_pre(spark, sf):
+    g = gates.pre_gate(diagnose(extract(_turns(spark, sf))))
+    names = ["symptoms_detected", "root_causes_present", "intervention_plan_present", "confidence_sufficient", "machine_identified", "interventions_feasible"]
+    return g.select("query_id", *[F.col("pre.checks")[n].alias(n) for n in names], "pre.overall_score", "pre.verdict")
+
+
+@query("prompt_reports")
+def prompt_reports(spark, sf):
     d = diagnose(extract(_reports(spark)))
-    plan = F.array_join(F.transform("plan", lambda s: F.coalesce(s["parameter"], F.lit("-"))), ",")
-    causes = F.array_join(F.transform("root_causes", lambda c: c["hypothesis"]), ",")
-    return d.select("query_id", "route", causes.alias("causes"), "diagnostic_confidence", plan.alias("plan"), retrieval_query().alias("retrieval_query"), template_text().alias("demo_text"), coaching_prompt("concise", F.lit(None).cast("string")).alias("prompt"))
+    return d.select("query_id", template_text().alias("demo_text"), coaching_prompt("concise", F.lit(None).cast("string")).alias("prompt"))
 
 
 @query("coach_reports")
 def coach_reports(spark, sf):
-    return coach(_reports(spark)).select("query_id", "status", "reason", "coaching_text", "verdict", "pre.verdict")
+    return coach(_turns(spark, sf)).select("query_id", "status", "reason", "coaching_text", "verdict", F.col("pre.verdict").alias("pre_verdict"))
 
 
 @query("ingestion_report")
