@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import chunk_id, count_contained, n_words, strip, words
+from millrace.functions.text import chunk_id, count_contained, let, n_words, strip, words
 
 # Spoken fillers and time marks of transcripts.
 FILLERS = (r"\buh\b", r"\bum\b", r"\byou know\b", r"\blike i said\b", r"\bkind of\b", r"\bsort of\b", r"\bi mean\b", r"\bright\?\s*", r"\bokay so\b")
@@ -55,35 +55,44 @@ class Chunking:
 
 
 def chunks(text: Column, how: Chunking = Chunking()) -> Column:
-    """Sentence-aware chunks, as one fold over the sentences of a text.
+    """Sentence-aware chunks: one fold over the sentences' lengths gives where each chunk begins and ends.
 
     A sentence over the budget is halved once. A chunk ends before the sentence that would exceed
     the budget; the next begins with the last sentences that fit the overlap. Short chunks go.
+    The fold carries places and sums, never texts, so that its cost is linear in the text.
     """
-    item = "array<struct<t:string,n:int>>"
     sized = lambda t: F.struct(t.alias("t"), n_words(t).alias("n"))
     half = lambda ws, a, n: F.array_join(F.slice(ws, a, n), " ")
+    cut = lambda s, i, n: F.struct(s.alias("a"), i.alias("b"), n.alias("n"))
 
     def parts(s: Column) -> Column:
         n, mid = n_words(s), F.floor(n_words(s) / 2).cast("int")
         return F.when(n > how.most, F.array(sized(half(words(s), F.lit(1), mid)), sized(half(words(s), mid + 1, n - mid)))).otherwise(F.array(sized(s)))
 
-    def tail(cur: Column) -> Column:
-        start = F.struct(F.array().cast(item).alias("w"), F.lit(0).alias("n"), F.lit(True).alias("more"))
-        step = lambda a, s: F.when(a["more"] & (a["n"] + s["n"] <= how.overlap), F.struct(F.concat(F.array(s), a["w"]).alias("w"), (a["n"] + s["n"]).alias("n"), F.lit(True).alias("more"))).otherwise(F.struct(a["w"].alias("w"), a["n"].alias("n"), F.lit(False).alias("more")))
-        return F.aggregate(F.reverse(cur), start, step)
+    def tail(sizes: Column, a: Column) -> Column:
+        """Of the sentences of a chunk that ends: how many of the last fit the overlap, and their words."""
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("more"))
+        fits = lambda t, c: t["more"] & (t["n"] + c <= how.overlap)
+        step = lambda t, c: F.when(fits(t, c), F.struct((t["k"] + 1).alias("k"), (t["n"] + c).alias("n"), F.lit(True).alias("more"))).otherwise(F.struct(t["k"].alias("k"), t["n"].alias("n"), F.lit(False).alias("more")))
+        return F.aggregate(F.reverse(F.slice(sizes, a["s"] + 1, a["i"] - a["s"])), start, step)
 
-    total = lambda cur: F.aggregate(cur, F.lit(0), lambda a, s: a + s["n"])
-    joined = lambda cur: F.when(total(cur) >= how.least, F.array(F.array_join(F.transform(cur, lambda s: s["t"]), " "))).otherwise(F.array().cast("array<string>"))
+    def places(sizes: Column) -> Column:
+        def state(s: Column, i: Column, n: Column, out: Column) -> Column:
+            return F.struct(s.alias("s"), i.alias("i"), n.alias("n"), out.alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        kept = tail(a["cur"])
-        flushed = F.struct(F.concat(kept["w"], F.array(s)).alias("cur"), (kept["n"] + s["n"]).alias("n"), F.concat(a["out"], joined(a["cur"])).alias("out"))
-        longer = F.struct(F.concat(a["cur"], F.array(s)).alias("cur"), (a["n"] + s["n"]).alias("n"), a["out"].alias("out"))
-        return F.when((a["n"] + s["n"] > how.most) & (F.size(a["cur"]) > 0), flushed).otherwise(longer)
+        def step(a: Column, c: Column) -> Column:
+            ended = let(tail(sizes, a), lambda t: state(a["i"] - t["k"], a["i"] + 1, t["n"] + c, F.concat(a["out"], F.array(cut(a["s"], a["i"], a["n"])))))
+            return F.when((a["n"] + c > how.most) & (a["i"] > a["s"]), ended).otherwise(state(a["s"], a["i"] + 1, a["n"] + c, a["out"]))
 
-    start = F.struct(F.array().cast(item).alias("cur"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.flatten(F.transform(sentences(text), parts)), start, step, lambda a: F.concat(a["out"], F.when(F.size(a["cur"]) > 0, joined(a["cur"])).otherwise(F.array().cast("array<string>"))))
+        zero = F.lit(0)
+        start = state(zero, zero, zero, F.array().cast("array<struct<a:int,b:int,n:int>>"))
+        return F.aggregate(sizes, start, step, lambda a: F.when(a["i"] > a["s"], F.concat(a["out"], F.array(cut(a["s"], a["i"], a["n"])))).otherwise(a["out"]))
+
+    def written(ps: Column) -> Column:
+        kept = F.filter(places(F.transform(ps, lambda x: x["n"])), lambda c: c["n"] >= how.least)
+        return F.transform(kept, lambda c: F.array_join(F.transform(F.slice(ps, c["a"] + 1, c["b"] - c["a"]), lambda x: x["t"]), " "))
+
+    return F.when(text.isNotNull(), let(F.flatten(F.transform(sentences(text), parts)), written))
 
 
 def chunk_documents(docs: DataFrame, text: str, source_id: str, signals: list[str] | None = None, how: Chunking = Chunking()) -> DataFrame:

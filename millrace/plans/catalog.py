@@ -150,9 +150,14 @@ def collection_stats(spark, sf):
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[\d{1,2}:\d{2}(?::\d{2})?\]|<\d{1,2}:\d{2}(?::\d{2})?>|\(\d{1,2}:\d{2}(?::\d{2})?\)|\d{1,2}:\d{2}:\d{2}\s*', ' ', 'g'), '(?i)\buh\b|\bum\b|\byou know\b|\blike i said\b|\bkind of\b|\bsort of\b|\bi mean\b|\bright\?\s*|\bokay so\b', ' ', 'g'), '([a-z,]{3,})\s+([A-Z][a-z])', '\1. \2', 'g'), '[ \t]{2,}', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
-@query("clean_text", f"SELECT doc_id, {_CLEAN} AS clean FROM documents WHERE lang = 'en'")
+#: In this SQL a word ends at an accented letter; between marks of capital letters it does not.
+_MARKED = "regexp_replace(text, '([^\\P{L}a-zA-Z])', 'ZQZ\\1ZQZ', 'g')"
+_CLEAN_ALL = "regexp_replace(" + _CLEAN.replace("(text,", f"({_MARKED},") + ", 'ZQZ(.)ZQZ', '\\1', 'g')"
+
+
+@query("clean_text", f"SELECT doc_id, {_CLEAN_ALL} AS clean FROM documents")
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", corpus.cleaned(F.col("text")).alias("clean"))
+    return table(spark, sf, "documents").select("doc_id", corpus.cleaned(F.col("text")).alias("clean"))
 
 
 @query("clean_text_all")
@@ -161,7 +166,18 @@ def clean_text_all(spark, sf):
     return table(spark, sf, "documents").select("doc_id", corpus.cleaned(F.col("text")).alias("clean"))
 
 
-@query("chunk_documents")
+_SENTENCES = f"""WITH RECURSIVE c AS (SELECT doc_id, {_CLEAN_ALL} AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')) AS ts FROM c),
+w AS (SELECT doc_id, flatten(list_transform(ts, lambda x: CASE WHEN len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) > 300 THEN [array_to_string(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')[1:len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) // 2], ' '),
+  array_to_string(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')[len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) // 2 + 1:], ' ')] ELSE [x] END)) AS ts FROM s),
+n AS (SELECT doc_id, ts, list_transform(ts, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> ''))) AS ns FROM w WHERE len(ts) > 0),
+p AS (SELECT doc_id, ts, list_transform(range(0, len(ns) + 1), lambda i: coalesce(list_sum(ns[1:i]), 0)::INT) AS p FROM n),
+k(doc_id, nth, a, b, p) AS (SELECT doc_id, 0, 0, coalesce(list_filter(range(1, len(p) - 1), lambda j: p[j + 2] > 300)[1], len(p) - 1)::INT, p FROM p
+UNION ALL SELECT doc_id, nth + 1, s, coalesce(list_filter(range(b + 1, len(p) - 1), lambda j: p[j + 2] - p[s + 1] > 300)[1], len(p) - 1)::INT, p FROM (SELECT *, coalesce(list_filter(range(a, b), lambda q: p[b + 1] - p[q + 1] <= 60)[1], b)::INT AS s FROM k WHERE b < len(p) - 1)),
+o AS (SELECT k.doc_id, nth, array_to_string(p.ts[a + 1:b], ' ') AS chunk FROM k JOIN p USING (doc_id) WHERE k.p[b + 1] - k.p[a + 1] >= 40)"""
+
+
+@query("chunk_documents", _SENTENCES + """ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1)::INT AS chunk_no, concat(doc_id::VARCHAR, '_', substr(sha256(regexp_replace(substr(chunk, 1, 200), '^\\s+|\\s+$', '', 'g')), 1, 8)) AS chunk_id, length(chunk)::INT AS n_chars FROM o""")
 def chunk_documents(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return corpus.chunk_documents(docs, "text", "doc_id").select("doc_id", "chunk_no", "chunk_id", F.length("chunk_text").alias("n_chars"))
@@ -181,19 +197,19 @@ def _score_sql(words: list[str]) -> str:
     return " + ".join(f"len(regexp_extract_all(t, '(?i)\\b{w}\\b'))" for w in words)
 
 
-_CLASSES = "WITH d AS (SELECT doc_id, substr(text, 1, 1000) AS t FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, " + ", ".join(f"({_score_sql(ws)})::DOUBLE AS {c}" for c, ws in LEXICON.items()) + " FROM d), m AS (SELECT *, greatest(first, second, third, fourth) AS top, first + second + third + fourth AS total FROM s)"
+_CLASSES = "WITH d AS (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 1000), '[^\\P{L}a-zA-Z]', 'Q', 'g') AS t FROM documents), s AS (SELECT doc_id, " + ", ".join(f"({_score_sql(ws)})::DOUBLE AS {c}" for c, ws in LEXICON.items()) + " FROM d), m AS (SELECT *, greatest(first, second, third, fourth) AS top, first + second + third + fourth AS total FROM s)"
 
 
 @query("classify_domain", _CLASSES + " SELECT m.doc_id, CASE WHEN total = 0 THEN 'general' WHEN first = top THEN 'first' WHEN second = top THEN 'second' WHEN third = top THEN 'third' ELSE 'fourth' END AS domain, CASE WHEN total = 0 THEN 0 ELSE round(top / total, 6) END AS classification_confidence, CASE WHEN regexp_matches(lower(t), '\\bwas\\b') THEN 'advanced' WHEN regexp_matches(lower(t), '\\bthis\\b') THEN 'beginner' ELSE 'intermediate' END AS difficulty FROM m JOIN d USING (doc_id)")
 def classify_domain(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("content"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     out = classify.classify(docs, LEXICON, LEXICON, ["was"], ["this"])
     return out.select("doc_id", "domain", F.round("classification_confidence", 6).alias("classification_confidence"), "difficulty")
 
 
 @query("relevance_rank", _CLASSES + " SELECT doc_id, total AS relevance, row_number() OVER (ORDER BY total DESC, doc_id) AS rank FROM m WHERE total > 0")
 def relevance_rank(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("content"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return classify.ranked_by_relevance(docs, "doc_id", domains=LEXICON, methods={"none": []}).select("doc_id", "relevance", "rank")
 
 
