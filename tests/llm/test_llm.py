@@ -267,6 +267,32 @@ def test_profile_bound_loses_no_similar_line():
     assert lines.similar_pairs(a, b, i, j, 80).tolist() == want
 
 
+@pytest.mark.parametrize("fan", [256, 2])
+def test_candidates_share_a_key(spark, fan, monkeypatch):
+    """Packed ranges against plain counting, with a key that most classes share, in one step and in two."""
+    monkeypatch.setattr(lines, "FAN", fan)
+    monkeypatch.setattr(lines, "RANGE", 500)
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 1 << 62)), *(int(rng.integers(0, 40)) | (7 << 32 if k == 0 and i % 3 else int(rng.integers(0, 1 << 31)) << 32) for k in range(lines.BANDS // 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "f1 long, sim long, " + ", ".join(f"{k} long" for k in lines.PACKED)).repartition(5)
+    held = defaultdict(list)
+    for r in df.select("f1", "sim", *[c.alias(f"key{n}") for n, c in enumerate(lines.all_keys())]).collect():
+        for k in r[2:]:
+            held[k].append((r.f1, r.sim))
+    want = {(k, i) for k, v in held.items() if len(v) > 2 or (len(v) == 2 and (v[0][1] ^ v[1][1]).bit_count() <= lines.DISTANCE) for i, _ in v}
+    got = [(r.key, r.id) for r in lines.candidates(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_word_bound_is_a_bound():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [rng.choice(["a", "bb", "ccc", "dd d"]) for _ in range(rng.randint(1, 12))]
+        b = [w for w in a if rng.random() > 0.2] + ["x"] * rng.randint(0, 2)
+        x, y = " ".join(a), " ".join(b)
+        assert lines.at_most(x, y, 10**6) >= levenshtein(x, y)
+
+
 def test_lines_edges(spark):
     """Null and repeated ids, a very long line, and an id beside columns of clashing names."""
     long = "word " * 60_000
