@@ -134,7 +134,29 @@ def html_escaped(text: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    return F.initcap(text)
+    """Letters behind anything but a letter up, all others down: o'brien and half-life as O'Brien and Half-Life."""
+    letter = lambda c: F.coalesce(c.rlike(r"^\p{L}$"), F.lit(False))
+    shown = let(F.split(text, ""), lambda cs: F.transform(cs, lambda c, i: F.when((i > 0) & letter(F.get(cs, i - 1)), F.lower(c)).otherwise(F.upper(c))))
+    return F.when(text.isNotNull(), F.array_join(shown, ""))
+
+
+def round_binary(x: Column, digits: int) -> Column:
+    """x rounded by its exact binary value, ties to even, where round() goes by the shortest decimal, half up.
+
+    The two differ only where x * 2 * 10**digits is an odd whole number but for rounding; the product's error,
+    taken exactly from halves of both factors, then says on which side of the tie x lies.
+    """
+    twice, split = 2.0 * 10**digits, 134217729.0
+    a = F.abs(x)
+    b1 = split * twice - (split * twice - twice)
+    b2 = twice - b1
+    a1 = a * split - (a * split - a)
+    p = a * twice
+    e = ((a1 * b1 - p) + a1 * b2 + (a - a1) * b1) + (a - a1) * b2
+    odd = F.floor(p / 2) * 2.0 + 1
+    side, up, down = (p - odd) + e, (odd + 1) / 2, (odd - 1) / 2
+    whole = F.when(side > 0, up).when(side < 0, down).when(up % 2 == 0, up).otherwise(down)
+    return F.when((a < 1e12) & (F.abs(p - odd) < odd * 1e-14), F.signum(x) * whole / 10.0**digits).otherwise(F.round(x, digits))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -156,6 +178,15 @@ def chunk_id(source_id: Column, text: Column) -> Column:
     return F.concat(source_id, F.lit("_"), F.substring(F.sha2(strip(F.substring(text, 1, 200)), 256), 1, 8))
 
 
+def iso_timestamp(text: Column) -> Column:
+    """An ISO-8601 time with its offset (without one, of the session's zone); null where there is none."""
+    return F.try_to_timestamp(text)
+
+
+def midnight(ts: Column) -> Column:
+    return F.date_trunc("day", ts)
+
+
 def session_id() -> Column:
     return F.substring(F.uuid(), 1, 8)
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import once
+from millrace.functions.text import once, round_binary
 from millrace.plans import rules
 
 STEP = "struct<step:int,action:string,parameter:string,direction:string,magnitude:string,priority:string>"
@@ -111,7 +111,7 @@ def optimize_steps() -> Column:
 
 def confidence(causes: Column) -> Column:
     known = F.when(F.coalesce(F.col("extraction_time_seconds"), F.lit(0)) == 0, 0.8).otherwise(1.0) * F.when(F.col("machine_type") == "unknown", 0.7).otherwise(1.0)
-    return F.when(F.size(causes) > 0, F.round(F.get(causes, F.lit(0))["probability"] * known, 2)).otherwise(0.0)
+    return F.when(F.size(causes) > 0, round_binary(F.get(causes, F.lit(0))["probability"] * known, 2)).otherwise(0.0)
 
 
 def warnings_of() -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import json_in
+from millrace.functions.text import json_in, round_binary, strip
 from millrace.operators.gates import experiment_verdict
+from millrace.operators.generate import Generator, completed
 
 RETRIEVAL_LEAST, STYLE_LEAST = (0.55, 0.45), (0.70, 0.65)
 
@@ -22,8 +23,8 @@ def first_hits(ranked: DataFrame, truth: DataFrame, query: str = "query_id", key
 
 def retrieval_metrics(first: DataFrame, by: tuple[str, ...] = (), cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Hit rates at the cuts and mean reciprocal rank, to three places, and the number of queries."""
-    rate = lambda k: F.round(F.avg(F.when(F.col("first_hit") <= k, 1.0).otherwise(0.0)), 3).alias(f"hit_rate_{k}")
-    return first.groupBy(*by).agg(*[rate(k) for k in cuts], F.round(F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))), 3).alias("mrr"), F.count("*").alias("n_queries"))
+    rate = lambda k: round_binary(F.avg(F.when(F.col("first_hit") <= k, 1.0).otherwise(0.0)), 3).alias(f"hit_rate_{k}")
+    return first.groupBy(*by).agg(*[rate(k) for k in cuts], round_binary(F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))), 3).alias("mrr"), F.count("*").alias("n_queries"))
 
 
 def winner(metrics: DataFrame, name: str, first: str, second: str, seq: str, least: tuple[float, float] = RETRIEVAL_LEAST) -> DataFrame:
@@ -64,6 +65,22 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def judge_sample(rows: DataFrame, order: list[str], n: int = 15) -> DataFrame:
+    """The first n texts, which a judge reads."""
+    return rows.orderBy(*order).limit(n)
+
+
+def synthetic_queries(chunks: DataFrame, generator: Generator, key: str = "chunk_id", text: str = "text", cut: int = 1000, n: int | None = None) -> DataFrame:
+    """chunks with query_id and synthetic_query, a user's question that the generator makes of each text; blank ones go.
+
+    n: so many chunks by a hash of their key, all without.
+    """
+    some = chunks if n is None else sampled(chunks, key, n)
+    asked = some.withColumn("_prompt", F.concat(F.lit("Ask, as a user would, one question that this passage answers:\n"), F.substring(text, 1, cut)))
+    made = completed(asked, "_prompt", generator, "synthetic_query").drop("_prompt").withColumn("synthetic_query", strip(F.col("synthetic_query")))
+    return made.where("synthetic_query <> ''").withColumn("query_id", F.concat(F.lit("q-"), F.col(key).cast("string")))
+
+
 def coaching_items(contexts: DataFrame) -> Column:
     """Keeps what can be diagnosed or is no request for help."""
     return ~((F.col("diagnostic_confidence") < 0.15) & (F.col("goal") == "troubleshoot"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -37,14 +37,12 @@ def retrying(call: Callable[[], str], tries: int = TRIES, sleep: Callable[[float
 
 
 def completed(rows: DataFrame, prompt: str, generator: Generator, out: str = "text") -> DataFrame:
-    """rows with the generator's text for each prompt, in Arrow batches. Store the result before using it twice."""
-    rest = [c for c in rows.columns if c != out]
+    """rows with the generator's text for each prompt, in Arrow batches of prompts alone. Store the result before using it twice."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(**{out: generator(list(f[prompt]))})
+    def work(prompts: pd.Series) -> pd.Series:
+        return pd.Series(generator(list(prompts)), dtype="object")
 
-    return rows.select(rest).mapInPandas(work, rows.select(rest).schema.add(out, "string"))
+    return rows.withColumn(out, F.pandas_udf(work, "string").asNondeterministic()(F.col(prompt)))
 
 
 def resolved_provider(env: dict[str, str]) -> tuple[str, str | None]:

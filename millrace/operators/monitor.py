@@ -12,6 +12,11 @@ def headline(sessions: DataFrame, passed: Column, out_of_scope: Column) -> DataF
     return sessions.agg(F.count("*").alias("sessions"), rate(passed).alias("pass_rate"), rate(out_of_scope).alias("out_of_scope_rate"))
 
 
+def satisfaction(feedback: DataFrame, rating: str = "rating") -> DataFrame:
+    """(ratings, satisfaction): how many, and the share of `up` to four places, null without ratings."""
+    return feedback.agg(F.count(rating).alias("ratings"), F.round(F.avg((F.col(rating) == "up").cast("int")), 4).alias("satisfaction"))
+
+
 def histogram(rows: DataFrame, value: Column | str, name: str = "value", default: str | None = None, drop_null: bool = False) -> DataFrame:
     """(name, n): rows by value; nulls as default, or dropped."""
     v = F.col(value) if isinstance(value, str) else value

@@ -24,6 +24,14 @@ def allowed_methods(machine: Column) -> Column:
     return F.coalesce(F.try_element_at(table, machine), F.array(*map(F.lit, rules.MACHINE_METHODS["unknown"])))
 
 
+def metadata_matches(where: dict[str, object]) -> Column:
+    """A filter of equalities and {"$in": [...]}, all of which must hold; null meets none."""
+    said = F.lit(True)
+    for name, want in where.items():
+        said = said & F.coalesce(F.col(name).isin(list(want["$in"])) if isinstance(want, dict) else F.col(name) == want, F.lit(False))
+    return said
+
+
 def top(scored: DataFrame, by: list[str], score: str, tie: str, n: int, rank: str = "rank") -> DataFrame:
     """The n rows of highest score of each group, numbered from 1, ties to the smaller."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))

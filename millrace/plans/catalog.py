@@ -117,7 +117,7 @@ def _first_hits(spark, sf):
     return evals.first_hits(_bm25(spark, sf), truth, key="doc_id")
 
 
-@query("hit_rate_mrr", _HITS + " SELECT round(avg(CASE WHEN first_hit <= 5 THEN 1.0::DOUBLE ELSE 0 END), 3) AS hit_rate_5, round(avg(CASE WHEN first_hit <= 10 THEN 1.0::DOUBLE ELSE 0 END), 3) AS hit_rate_10, round(avg(coalesce(1.0::DOUBLE / first_hit, 0)), 3) AS mrr, count(*) AS n_queries FROM fh")
+@query("hit_rate_mrr", _HITS + " SELECT printf('%.3f', avg(CASE WHEN first_hit <= 5 THEN 1.0::DOUBLE ELSE 0 END))::DOUBLE AS hit_rate_5, printf('%.3f', avg(CASE WHEN first_hit <= 10 THEN 1.0::DOUBLE ELSE 0 END))::DOUBLE AS hit_rate_10, printf('%.3f', avg(coalesce(1.0::DOUBLE / first_hit, 0)))::DOUBLE AS mrr, count(*) AS n_queries FROM fh")
 def hit_rate_mrr(spark, sf):
     return evals.retrieval_metrics(_first_hits(spark, sf))
 

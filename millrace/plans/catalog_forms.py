@@ -267,9 +267,9 @@ def demo_texts(spark, sf):
 _FOLDED = ", ".join(f"strip_accents({report_sql.text(w)})" for w in rules.SCOPE_WORDS)
 
 
-@query("coach_status", f"""WITH {report_sql.diagnosis(_TURNS)}, v AS ({report_sql.gate_sql(_TURNS).replace(chr(10), " ")}),
+@query("coach_status", f"""WITH {report_sql.diagnosis(_TURNS)}, v AS ({report_sql.gate_sql(_TURNS, found=False).replace(chr(10), " ")}),
 z1 AS (SELECT d.*, trim(raw_problem, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, len(list_intersect(regexp_extract_all(strip_accents(lower(coalesce(raw_problem, ''))), '[a-z0-9]+'), [{_FOLDED}])) > 0 AS hit FROM d),
 z2 AS (SELECT *, CASE WHEN said = '' THEN 'empty' WHEN length(said) > {rules.LONGEST_QUESTION} THEN 'too_long' WHEN hit THEN 'ok' ELSE 'off_topic' END AS reason FROM z1)
-SELECT query_id, reason, CASE WHEN reason = 'empty' THEN 'error' WHEN reason <> 'ok' THEN 'out_of_scope' WHEN len(s) > 0 AND confidence >= 0.15 THEN 'coaching' WHEN goal = 'troubleshoot' THEN 'error' ELSE 'coaching' END AS status, v.verdict AS pre_verdict FROM z2 JOIN v USING (query_id)""")
+SELECT query_id, reason, CASE WHEN reason = 'empty' THEN 'error' WHEN reason <> 'ok' THEN 'out_of_scope' WHEN len(s) > 0 AND confidence >= 0.15 THEN CASE v.verdict WHEN 'blocked' THEN 'error' ELSE 'coaching' END WHEN goal = 'troubleshoot' THEN 'error' ELSE 'coaching' END AS status, v.verdict AS pre_verdict FROM z2 JOIN v USING (query_id)""")
 def coach_status(spark, sf):
     return coach(_turns(spark, sf)).select("query_id", "reason", "status", F.col("pre.verdict").alias("pre_verdict"))

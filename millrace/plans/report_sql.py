@@ -94,7 +94,7 @@ o1 AS (SELECT *, CASE WHEN parameter IS NULL THEN 1 ELSE row_number() OVER (PART
 o2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, i, seq) AS step FROM o1 WHERE n = 1),
 pl AS (SELECT query_id, string_agg(step || ' ' || coalesce(parameter, '-') || ' ' || coalesce(direction, '-') || ' ' || coalesce(magnitude, '-') || ' ' || priority || ': ' || action, '; ' ORDER BY step) AS plan FROM o2 WHERE step <= 4 GROUP BY query_id),
 d AS (SELECT c.*, coalesce(rc.causes, '') AS causes, rc.hypothesis, coalesce(pl.plan, '') AS plan,
-  CASE route WHEN 'general' THEN 0.15 WHEN 'learn' THEN 0.5 WHEN 'optimize' THEN 0.55 WHEN 'no_symptoms' THEN 0.1 ELSE CASE WHEN rc.causes IS NULL THEN 0 ELSE round(rc.top * (CASE WHEN coalesce(t, 0) = 0 THEN 0.8 ELSE 1 END::DOUBLE * CASE WHEN machine_type = 'unknown' THEN 0.7 ELSE 1 END::DOUBLE), 2) END END::DOUBLE AS confidence,
+  CASE route WHEN 'general' THEN 0.15 WHEN 'learn' THEN 0.5 WHEN 'optimize' THEN 0.55 WHEN 'no_symptoms' THEN 0.1 ELSE CASE WHEN rc.causes IS NULL THEN 0 ELSE printf('%.2f', rc.top * (CASE WHEN coalesce(t, 0) = 0 THEN 0.8 ELSE 1 END::DOUBLE * CASE WHEN machine_type = 'unknown' THEN 0.7 ELSE 1 END::DOUBLE))::DOUBLE END END::DOUBLE AS confidence,
   array_to_string(list_filter(CASE route WHEN 'learn' THEN ['Learning: principles, not a fix.'] WHEN 'optimize' THEN [CASE WHEN coalesce(fresh, 0) > 21 THEN 'Beans are ' || fresh || ' days old.' ELSE 'Optimising: share parameters for a closer look.' END] WHEN 'general' THEN ['General question: answered from general knowledge.'] WHEN 'no_symptoms' THEN ['Describe a symptom or share parameters.']
     ELSE [CASE WHEN coalesce(fresh, 0) > 45 THEN 'Beans are probably stale (over 45 days): try fresh ones first.' END, CASE WHEN machine_type = 'unknown' THEN 'Machine not identified: advice is generic.' END, CASE WHEN machine_type = 'nespresso' THEN 'Extraction is fixed on this machine: choose other capsules and keep it clean.' END] END, lambda x: x IS NOT NULL), ' ') AS warnings
   FROM c LEFT JOIN rc USING (query_id) LEFT JOIN pl USING (query_id))"""
@@ -105,10 +105,11 @@ def diagnose_sql(reports: str) -> str:
     return f"WITH {diagnosis(reports)} SELECT query_id, route, array_to_string(s, ',') AS symptoms, causes, plan, confidence AS diagnostic_confidence, warnings, {query} AS retrieval_query FROM d"
 
 
-def gate_sql(reports: str) -> str:
+def gate_sql(reports: str, found: bool = True) -> str:
+    """found: whether what was retrieved is good (or was not asked for)."""
     relaxed = "goal IN ('learn', 'optimize', 'explore', 'general')"
     possible = "NOT EXISTS (SELECT 1 FROM o2 WHERE o2.query_id = d.query_id AND step <= 4 AND parameter IS NOT NULL AND coalesce((SELECT n.capability FROM need n WHERE n.parameter = o2.parameter), o2.parameter) NOT IN ('freshness', 'machine_cleaning') AND NOT EXISTS (SELECT 1 FROM can WHERE machine = d.machine_type AND can.capability = coalesce((SELECT n.capability FROM need n WHERE n.parameter = o2.parameter), o2.parameter)))"
     return f"""WITH {diagnosis(reports)}, k AS (SELECT query_id, {relaxed} OR len(s) >= 1 AS k1, {relaxed} OR causes <> '' AS k2, plan <> '' AS k3, confidence >= CASE WHEN {relaxed} THEN {RELAXED_CONFIDENCE} ELSE {LEAST_CONFIDENCE} END AS k4, machine_type <> 'unknown' AS k5, {possible} AS k6 FROM d),
-n AS (SELECT *, (NOT k1)::INT + (NOT k2)::INT + (NOT k3)::INT + (NOT k4)::INT + (NOT k5)::INT + (NOT k6)::INT AS lost FROM k)
+n AS (SELECT *, (NOT k1)::INT + (NOT k2)::INT + (NOT k3)::INT + (NOT k4)::INT + (NOT k5)::INT + (NOT k6)::INT + {int(not found)} AS lost FROM k)
 SELECT query_id, k1 AS symptoms_detected, k2 AS root_causes_present, k3 AS intervention_plan_present, k4 AS confidence_sufficient, k5 AS machine_identified, k6 AS interventions_feasible, round((7 - lost) / 7, 2)::DOUBLE AS overall_score,
 CASE WHEN NOT k3 OR NOT k4 THEN 'blocked' WHEN lost = 0 THEN 'ready' WHEN lost <= 2 THEN 'review' ELSE 'blocked' END AS verdict FROM n"""

@@ -50,6 +50,12 @@ def feedback_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("rating").isin("up", "down")).select("session_id", F.current_timestamp().alias("timestamp"), "rating", F.coalesce("comment", F.lit("")).alias("comment"))
 
 
+def write_eval_items(df: DataFrame, path: str) -> None:
+    """An evaluation set as JSON lines, in the columns of EVAL_ITEMS; read_jsonl reads it."""
+    names = [c.split()[0] for c in EVAL_ITEMS.split(", ")]
+    df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]).write.mode("overwrite").json(path)
+
+
 def read_registry(spark: SparkSession, text: str) -> DataFrame:
     """A YAML registry of channels and playlists as rows, in its order."""
     import yaml
@@ -71,7 +77,8 @@ def ingestion_report(chunks: DataFrame, **facts: object) -> DataFrame:
     spark = chunks.sparkSession
     one = chunks.agg(F.count("*").alias("total_chunks"), F.count_distinct("source_id").alias("total_sources"))
     for c in ("domain", "method", "channel"):
-        by = chunks.groupBy(F.coalesce(c, F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"))
+        value = F.coalesce(c, F.lit("unknown")) if c in chunks.columns else F.lit("unknown")
+        by = chunks.groupBy(value.alias("k")).agg(F.count("*").alias("n"))
         one = one.join(F.broadcast(by.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(f"by_{c}"))))
     return one.join(F.broadcast(spark.range(1).select(F.lit(json.dumps(facts, sort_keys=True, default=str)).alias("facts"))))
 

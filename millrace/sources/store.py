@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from millrace.operators.sequence import upserted
 SCHEMA = "chunk_id string, text string, source_id string, title string, channel string, url string, domain string, method string, difficulty string, embedding array<float>"
 
 
+#: Megabytes beyond which a snapshot is called large.
+LARGE = 100.0
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -64,9 +69,14 @@ class ChunkStore:
     def drop(self) -> None:
         delete(self.spark, self.path)
 
-    def export(self, path: str) -> None:
-        """A snapshot that `restore` reads."""
+    def export(self, path: str) -> float:
+        """A snapshot that `restore` reads; returns its megabytes, and warns of more than LARGE."""
         self.read().write.mode("overwrite").parquet(path)
+        fs, p = _fs(self.spark, path)
+        size = fs.getContentSummary(p).getLength() / 1e6
+        if size > LARGE:
+            warnings.warn(f"the snapshot {path} holds {size:.0f} MB", stacklevel=2)
+        return size
 
     def restore(self, path: str) -> None:
         if not exists(self.spark, path):

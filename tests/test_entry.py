@@ -32,7 +32,7 @@ def test_query(spark, duck, name):
         columns = list(want.columns)
         assert sorted(df.columns) == sorted(columns)
         assert normal(rows, columns) == normal([dict(zip(columns, r, strict=True)) for r in want.fetchall()], columns)
-    assert df.columns
+    assert df.columns and len(set(df.columns)) == len(df.columns)
 
 
 def test_entry(spark):
