@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 #: Query vectors that are broadcast at once; larger sets are dealt in blocks.
 MOST_BROADCAST = 2_000
+#: Distinct query terms that are broadcast to the corpus.
+MOST_TERMS = 200_000
 
 
 def allowed_methods(machine: Column) -> Column:
@@ -73,24 +76,66 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(sized).alias("w")).select(key, "w.term", "w.dl").groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def idf_table(index: DataFrame, n_docs: int) -> DataFrame:
-    """(term, idf): a term in more than half of the texts gets EPSILON times the mean idf of all terms."""
-    idf = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    return idf.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+def idf_of(df: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf) of (term, df): a term in more than half of the texts gets EPSILON times the mean idf of all terms."""
+    raw = df.withColumn("raw", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, n: int = 15, key: str = "chunk_id", text: str = "text", query: str = "query_id", query_text: str = "text", index: DataFrame | None = None, zeros: bool = False, digits: int = 6) -> DataFrame:
-    """(query, key, bm25_score, rank): each query's n best of the whole corpus, ties to the smaller key.
+@dataclass(frozen=True)
+class Index:
+    """What BM25 reads: postings (term, key, tf, dl), idf (term, idf), the number of texts and their mean length."""
 
-    A term repeated in a query counts as often. With zeros, texts that share no term fill up to n.
+    postings: DataFrame
+    idf: DataFrame
+    n_docs: int
+    avgdl: float
+
+
+def build_index(docs: DataFrame, path: str, key: str = "chunk_id", text: str = "text") -> Index:
+    """The index written under path, postings sorted by term, so that a search reads only the files of its terms."""
+    rows = postings(docs, key, text)
+    rows.repartitionByRange("term", key).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    _figures(docs, text).write.mode("overwrite").parquet(f"{path}/figures")
+    spark = docs.sparkSession
+    n_docs = spark.read.parquet(f"{path}/figures").first()["n"]
+    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    idf_of(df, n_docs).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/idf")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    figures = spark.read.parquet(f"{path}/figures").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/idf"), figures["n"], figures["avgdl"] or 1.0)
+
+
+def _figures(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.count("*").alias("n"), F.avg(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"))).alias("avgdl"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, n: int = 15, key: str = "chunk_id", text: str = "text", query: str = "query_id", query_text: str = "text", index: Index | None = None, zeros: bool = False, digits: int = 6) -> DataFrame:
+    """(query, key, bm25_score, rank): each query's n best of the whole corpus, ties to the smaller key; key is unique.
+
+    A term repeated in a query counts as often. With zeros, texts that share no term fill up to n. Without an
+    index only the frequencies of terms are counted over all texts, summed before the shuffle; postings are
+    made for the terms that queries hold. Those terms are broadcast up to MOST_TERMS, and joined beyond.
     """
-    index = postings(docs, key, text) if index is None else index
-    figures = docs.select(F.count("*").alias("n"), F.avg(F.size(words(F.lower(F.coalesce(F.col(text), F.lit("")))))).alias("avgdl")).first()
-    n_docs, avgdl = figures["n"], figures["avgdl"] or 1.0
     asked = queries.select(query, F.explode(words(F.lower(F.coalesce(F.col(query_text), F.lit(""))))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    idf = idf_table(index, n_docs)
-    hit = index.join(asked, "term").join(idf, "term")
+    terms = asked.select("term").distinct()
+    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        terms = F.broadcast(terms)
+    if index is None:
+        figures = _figures(docs, text).first()
+        n_docs, avgdl = figures["n"], figures["avgdl"] or 1.0
+        rows = docs.select(key, words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("_ws"))
+        df = rows.select(F.explode(F.array_distinct("_ws")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        idf = idf_of(df, n_docs)
+        held = rows.select(key, F.size("_ws").alias("dl"), F.explode("_ws").alias("term")).join(terms, "term", "left_semi").groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    else:
+        idf, avgdl = index.idf, index.avgdl
+        held = index.postings.join(terms, "term", "left_semi")
+    hit = held.join(asked.join(idf, "term"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scored = hit.groupBy(query, key).agg(F.round(F.sum(part), digits).alias("bm25_score"))
     if zeros:  # only the first n of the corpus can be needed to fill up

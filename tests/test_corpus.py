@@ -105,6 +105,17 @@ def test_bm25_fills_with_zeros(spark):
     assert [r.chunk_id for r in got] == [2, 1, 3] and got[0].bm25_score > 0 == got[1].bm25_score
 
 
+def test_bm25_index_equals_scan(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 9))) for i in range(60)] + [(60, None)], "chunk_id int, text string")
+    q = spark.createDataFrame([("a", "w1 w2 w2 none"), ("b", "w5 w0"), ("c", None)], "query_id string, text string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    want = key(retrieve.bm25_top(docs, q, 5))
+    assert want and key(retrieve.bm25_top(docs, q, 5, index=retrieve.build_index(docs, str(tmp_path / "i")))) == want
+    monkeypatch.setattr(retrieve, "MOST_TERMS", 1)
+    assert key(retrieve.bm25_top(docs, q, 5, index=retrieve.open_index(spark, str(tmp_path / "i")))) == want and key(retrieve.bm25_top(docs, q, 5)) == want
+    assert retrieve.bm25_top(docs.where("false"), q, 5).count() == 0
+
+
 def test_retrieval_end_to_end(spark):
     docs = [(str(i), t, m) for i, (t, m) in enumerate([("grind finer for sour shots", "espresso"), ("clean the moka pot", "moka"), ("bake bread at home", "general")])]
     corpus_ = retrieve.embed(spark.createDataFrame(docs, "chunk_id string, text string, method string"), "text")
