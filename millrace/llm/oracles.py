@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from millrace.llm import licenses, mixing, quality
+from millrace.llm import licenses, merkle, mixing, quality
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(regexp_split_to_array({{}}, '{_SPACE}'), lambda w: w <> '')"
@@ -76,4 +76,4 @@ r(id, node) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM r JOIN
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
-ORACLE = {"op2_licenses": licenses_sql(), "op4_mixing": mixing_sql(), "op6_quality": quality_sql(), "op8_neardup": neardup_sql()}
+ORACLE = {"op2_licenses": licenses_sql(), "op4_mixing": mixing_sql(), "op6_quality": quality_sql(), "op8_neardup": neardup_sql(), "op11_merkle": merkle.merkle_sql()}

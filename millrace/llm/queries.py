@@ -9,6 +9,7 @@ from millrace.llm.katz import op7_katz
 from millrace.llm.langid import op5_langid
 from millrace.llm.licenses import op2_licenses
 from millrace.llm.lines import op3_lines
+from millrace.llm.merkle import op11_merkle
 from millrace.llm.mixing import op4_mixing
 from millrace.llm.neardup import op8_neardup
 from millrace.llm.oracles import ORACLE
@@ -28,6 +29,6 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
+    "op11_merkle": op11_merkle,
     "pipeline": corpus_pipeline.run,
 }
-
