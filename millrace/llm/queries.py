@@ -15,6 +15,7 @@ from millrace.llm.neardup import op8_neardup
 from millrace.llm.oracles import ORACLE
 from millrace.llm.quality import op6_quality
 from millrace.llm.repeats import op9_passages
+from millrace.llm.simhash import op12_simhash
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -30,5 +31,6 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
     "op11_merkle": op11_merkle,
+    "op12_simhash": op12_simhash,
     "pipeline": corpus_pipeline.run,
 }

@@ -16,6 +16,7 @@ COLUMNS = {
     "op9_passages": ["doc_id bigint", "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string"],
     "op10_bpe": ["doc_id bigint", "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"],
     "op11_merkle": ["doc_id bigint", "leaf string", "subroot string", "root string", "proof_sha256 string", "folded_root string", "verified boolean"],
+    "op12_simhash": ["doc_id bigint", "fingerprint string", "component_id bigint"],
 }
 
 
