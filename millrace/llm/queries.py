@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from millrace.llm.align import op13_align
 from millrace.llm.ann import op1_ann
 from millrace.llm.bpe import op10_bpe
 from millrace.llm.katz import op7_katz
@@ -32,5 +33,6 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_merkle": op11_merkle,
     "op12_simhash": op12_simhash,
+    "op13_align": op13_align,
     "pipeline": corpus_pipeline.run,
 }

@@ -17,6 +17,7 @@ COLUMNS = {
     "op10_bpe": ["doc_id bigint", "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"],
     "op11_merkle": ["doc_id bigint", "leaf string", "subroot string", "root string", "proof_sha256 string", "folded_root string", "verified boolean"],
     "op12_simhash": ["doc_id bigint", "fingerprint string", "component_id bigint"],
+    "op13_align": ["doc_id bigint", "n_a bigint", "n_b bigint", "n_groups bigint", "n_links bigint", "n_best bigint", "count_sum bigint", "groups_sha256 string"],
 }
 
 
