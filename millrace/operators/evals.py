@@ -38,7 +38,7 @@ def style_metrics(scored: DataFrame, style: str = "style", verdict: str = "verdi
     is_error, has = F.coalesce(F.col(error), F.lit(False)), F.col(verdict).isNotNull()
     n = F.count_if(has & ~is_error)
     return scored.groupBy(style).agg(
-        F.round(F.count_if((F.col(verdict) == "pass") & ~is_error) / F.greatest(n, F.lit(1)), 3).alias("pass_rate"), F.round(F.coalesce(F.avg(F.when(has & ~is_error, F.col(score))), F.lit(0.0)), 3).alias("mean_score"),
+        round_binary(F.count_if((F.col(verdict) == "pass") & ~is_error) / F.greatest(n, F.lit(1)), 3).alias("pass_rate"), round_binary(F.coalesce(F.avg(F.when(has & ~is_error, F.col(score))), F.lit(0.0)), 3).alias("mean_score"),
         F.count_if(is_error).alias("errors"), F.count_if(~has & ~is_error).alias("unscored"), n.alias("n_scored"),
     )
 
@@ -51,7 +51,7 @@ def failed_checks(scored: DataFrame, by: str, checks: str = "checks") -> DataFra
 def judge_means(replies: DataFrame, reply: str, criteria: tuple[str, ...], by: str | None = None) -> DataFrame:
     """Mean of each criterion over replies that hold JSON, to two places (null for none), and how many do not."""
     v = replies.withColumn("_v", json_in(F.col(reply)))
-    mark = lambda c: F.round(F.avg(F.try_variant_get("_v", f"$.{c}", "double")), 2).alias(c)
+    mark = lambda c: round_binary(F.avg(F.try_variant_get("_v", f"$.{c}", "double")), 2).alias(c)
     return v.groupBy(*([by] if by else [])).agg(*[mark(c) for c in criteria], F.count_if(F.col("_v").isNull()).alias("parse_failures"))
 
 

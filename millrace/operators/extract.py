@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import all_of, contains_any, first_of, fold_accents, found, once, tokens
+from millrace.functions.text import all_of, contains_any, first_of, fold_accents, found, once, title_case, tokens
 from millrace.plans import rules
 
 
@@ -54,7 +54,7 @@ def extract(reports: DataFrame, text: str = "raw_problem", fallback: Callable[[D
         {
             "machine_type": first_of(low, rules.MACHINES, "unknown"), "machine_model": model, "symptoms": all_of(low, rules.SYMPTOMS),
             "extraction_time_seconds": F.floor(found(raw, rules.TIME).cast("double")).cast("int"), "dose_grams": found(raw, rules.DOSE).cast("double"), "water_temp_celsius": found(raw, rules.TEMPERATURE).cast("double"),
-            "grind_size": found(low, rules.GRIND, 0), "bean_origin": F.initcap(first_of(low, {o: [o] for o in rules.ORIGINS})), "roast_level": first_of(low, rules.ROASTS),
+            "grind_size": found(low, rules.GRIND, 0), "bean_origin": title_case(first_of(low, {o: [o] for o in rules.ORIGINS})), "roast_level": first_of(low, rules.ROASTS),
             "bean_freshness_days": freshness(raw), "water_ratio": F.concat(F.lit("1:"), found(raw, rules.RATIO)),
         },
     )

@@ -70,7 +70,7 @@ def recent_view(rows: DataFrame, ts: str, text: str, label: Column, n: int = 10)
 
 
 def chart_height(points: Column) -> Column:
-    return F.greatest(F.lit(160), F.least(F.lit(420), F.lit(48) + points * 34))
+    return F.least(F.lit(260), F.greatest(F.lit(180), F.lit(70) + F.greatest(points, F.lit(1)) * 28))
 
 
 def running(rows: DataFrame, by: list[str], order: list[str], amount: Column) -> Column:

@@ -28,10 +28,6 @@ ORACLE: dict[str, str] = {}
 LEXICON = {"first": ["the", "that"], "second": ["with", "this"], "third": ["and", "of"], "fourth": ["was"]}
 SIGNALS = ["the", "with", "tion", "that", "ing ", "zu"]
 VOCABULARY = ["the", "with", "café", "that"]
-REPORTS = [
-    ("q1", "My DeLonghi Dinamica makes bitter espresso, 28 second extraction"), ("q2", "My moka pot makes burnt bitter coffee"), ("q3", "My Nespresso makes bitter coffee"), ("q4", "my Gaggia makes sour espresso"),
-    ("q5", "V60, Ethiopian light roast, tastes too sour, 22s extraction, 15g dose"), ("q6", "I want to learn how to make better espresso"), ("q7", "18g, 91°C, light roast espresso, 40 seconds"), ("q8", "Which grinder should I get?"), ("q9", "what is the capital of France"), ("q10", ""), ("q11", None), ("q12", "my espresso is both bitter and sour, roasted 7 weeks ago"),
-]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -282,7 +278,7 @@ def failed_checks(spark, sf):
     return evals.failed_checks(_gated(spark, sf).select(F.lit(1).alias("one"), "post.checks"), "one").select("check", "n_failed")
 
 
-@query("style_metrics", _CHECKS + ", v AS (SELECT conv_id % 3 AS style, round(ok / 6.0::DOUBLE, 2) AS s, CASE WHEN NOT (a AND b AND c) THEN 'fail' WHEN ok >= 5 THEN 'pass' ELSE 'warn' END AS v, turn > 5 AS bad FROM n) SELECT style, round(count(*) FILTER (WHERE v = 'pass' AND NOT bad) / greatest(count(*) FILTER (WHERE NOT bad), 1)::DOUBLE, 3) AS pass_rate, round(coalesce(avg(s) FILTER (WHERE NOT bad), 0), 3) AS mean_score, count(*) FILTER (WHERE bad) AS errors, 0::BIGINT AS unscored, count(*) FILTER (WHERE NOT bad) AS n_scored FROM v GROUP BY style")
+@query("style_metrics", _CHECKS + ", v AS (SELECT conv_id % 3 AS style, round(ok / 6.0::DOUBLE, 2) AS s, CASE WHEN NOT (a AND b AND c) THEN 'fail' WHEN ok >= 5 THEN 'pass' ELSE 'warn' END AS v, turn > 5 AS bad FROM n) SELECT style, printf('%.3f', count(*) FILTER (WHERE v = 'pass' AND NOT bad) / greatest(count(*) FILTER (WHERE NOT bad), 1)::DOUBLE)::DOUBLE AS pass_rate, printf('%.3f', coalesce(avg(s) FILTER (WHERE NOT bad), 0))::DOUBLE AS mean_score, count(*) FILTER (WHERE bad) AS errors, 0::BIGINT AS unscored, count(*) FILTER (WHERE NOT bad) AS n_scored FROM v GROUP BY style")
 def style_metrics(spark, sf):
     rows = _gated(spark, sf).select((F.col("conv_id") % 3).alias("style"), "post.overall_score", "post.verdict", (F.col("turn") > 5).alias("error"))
     return evals.style_metrics(rows)
@@ -429,10 +425,6 @@ def _turns(spark, sf):
 _TURNS = f"SELECT conv_id || '-' || turn AS query_id, concat_ws(' ', text, list_extract([{', '.join(map(report_sql.text, ENDINGS))}], ((conv_id + turn) % {len(ENDINGS)} + 1)::INT)) AS raw_problem FROM conversations WHERE role = 'user'"
 
 
-def _reports(spark):
-    return spark.createDataFrame(REPORTS, "query_id string, raw_problem string")
-
-
 @query("extract_features", report_sql.extract_sql(_TURNS))
 def extract_features(spark, sf):
     return extract(_turns(spark, sf)).drop("raw_problem").withColumn("symptoms", F.array_join("symptoms", ","))
@@ -459,7 +451,7 @@ def gates_pre(spark, sf):
 
 @query("prompt_reports")
 def prompt_reports(spark, sf):
-    d = diagnose(extract(_reports(spark)))
+    d = diagnose(extract(_turns(spark, sf)))
     return d.select("query_id", template_text().alias("demo_text"), coaching_prompt("concise", F.lit(None).cast("string")).alias("prompt"))
 
 

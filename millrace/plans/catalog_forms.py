@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 @query("number_forms", """SELECT event_id, CASE WHEN value = floor(value) THEN floor(value)::BIGINT::VARCHAR ELSE rtrim(rtrim(printf('%.6f', value), '0'), '.') END AS amount, (user_id % 101)::INT || '%' AS share, greatest(10.0, least(50.0, value))::DOUBLE AS clamped,
 strftime(ts, '%d %b %H:%M') AS short_time, coalesce(CASE WHEN event_id % 7 = 0 THEN 3.0 END, pow(2.0, event_id % 5) + 0.25)::DOUBLE AS wait, ((event_id % 2) * 86400 + (event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 50)::INT AS seconds, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title,
-greatest(160, least(420, 48 + (event_id % 20) * 34))::INT AS height FROM events""")
+CASE WHEN event_id % 20 < 4 THEN 180 WHEN event_id % 20 > 6 THEN 260 ELSE 70 + event_id % 20 * 28 END::INT AS height FROM events""")
 def number_forms(spark, sf):
     e, i = table(spark, sf, "events"), F.col("event_id")
     whole = lambda n: F.pmod(i, F.lit(n)).cast("int").cast("string")
@@ -44,14 +44,14 @@ def number_forms(spark, sf):
     )
 
 
-@query("reply_forms", r"""SELECT doc_id, replace(replace(replace(replace(replace(substr(coalesce(text, ''), 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html, 'answer ' || source AS answer, (doc_id % 9)::INT AS mark,
+@query("reply_forms", r"""SELECT doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html, 'answer ' || source AS answer, (doc_id % 9)::INT AS mark,
 list_distinct_ordered AS tags FROM (SELECT *, array_to_string(list_filter([source, lang, 'x'], lambda v, i: v IS NOT NULL AND list_position([source, lang, 'x'], v) = i), ',') AS list_distinct_ordered FROM documents)""")
 def reply_forms(spark, sf):
     d = table(spark, sf, "documents")
     reply = F.concat(F.lit("<think>"), F.coalesce(F.col("text"), F.lit("")), F.lit("</think> \n answer "), "source")
     said = F.concat(F.lit('Here it is: {"mark": '), F.pmod("doc_id", F.lit(9)).cast("string"), F.lit("} as you asked"))
     tags = text.ordered_union(F.array_compact(F.array("source", "lang")), F.array_compact(F.array(F.lit("x"), "source")))
-    return d.select("doc_id", text.html_escaped(F.substring(F.coalesce("text", F.lit("")), 1, 300)).alias("html"), text.without_reasoning(reply).alias("answer"), F.try_variant_get(text.json_in(said), "$.mark", "int").alias("mark"), F.array_join(tags, ",").alias("tags"))
+    return d.select("doc_id", text.html_escaped(F.coalesce("text", F.lit(""))).alias("html"), text.without_reasoning(reply).alias("answer"), F.try_variant_get(text.json_in(said), "$.mark", "int").alias("mark"), F.array_join(tags, ",").alias("tags"))
 
 
 _HYPOTHESES = [h for h, in sorted({(row[0],) for rows in rules.CAUSES.values() for row in rows})]
@@ -63,10 +63,11 @@ def _label_sql(column: str) -> str:
     return f"CASE lower({shown}) {known} ELSE upper(substr({shown}, 1, 1)) || substr({shown}, 2) END"
 
 
-@query("claims", f"""WITH h(hypothesis) AS (VALUES {report_sql.values([(h,) for h in _HYPOTHESES])}), l AS (SELECT hypothesis, {_label_sql('hypothesis')} AS label FROM h)
-SELECT hypothesis, CASE WHEN regexp_matches(label, '(?i)^.+?\\s+too\\s+.+$') AND NOT regexp_matches(label, '(?i)^too\\b') THEN 'Your ' || lower(trim(regexp_extract(label, '(?i)^(.+?)\\s+too\\s+(.+)$', 1))) || ' is probably too ' || lower(trim(regexp_extract(label, '(?i)^(.+?)\\s+too\\s+(.+)$', 2))) || '.' ELSE 'Most likely cause: ' || lower(label) || '.' END AS claim FROM l""")
+@query("claims", f"""WITH h AS (SELECT query_id, split_part(causes, '=', 1) AS hypothesis FROM ({report_sql.diagnose_sql(_TURNS)}) WHERE causes <> ''), l AS (SELECT query_id, hypothesis, {_label_sql('hypothesis')} AS label FROM h)
+SELECT query_id, hypothesis, CASE WHEN regexp_matches(label, '(?i)^.+?\\s+too\\s+.+$') AND NOT regexp_matches(label, '(?i)^too\\b') THEN 'Your ' || lower(trim(regexp_extract(label, '(?i)^(.+?)\\s+too\\s+(.+)$', 1))) || ' is probably too ' || lower(trim(regexp_extract(label, '(?i)^(.+?)\\s+too\\s+(.+)$', 2))) || '.' ELSE 'Most likely cause: ' || lower(label) || '.' END AS claim FROM l""")
 def claims(spark, sf):
-    return spark.createDataFrame([(h,) for h in _HYPOTHESES], "hypothesis string").select("hypothesis", present.claim(F.col("hypothesis")).alias("claim"))
+    found = diagnose(extract(_turns(spark, sf))).select("query_id", F.get("root_causes", F.lit(0))["hypothesis"].alias("hypothesis")).where("hypothesis is not null")
+    return found.select("query_id", "hypothesis", present.claim(F.col("hypothesis")).alias("claim"))
 
 
 @query("measured_values", f"""WITH {report_sql.features(_TURNS)}, n AS (SELECT query_id, grind_size, t, temp, dose FROM f), amount AS (SELECT *, CASE WHEN temp = floor(temp) THEN floor(temp)::BIGINT::VARCHAR ELSE rtrim(rtrim(printf('%.6f', temp), '0'), '.') END || '°C' AS water_temp,
@@ -193,7 +194,7 @@ def listed_documents(spark, sf):
 # ------------------------------------------------------------------ evaluation, messages, views
 
 
-@query("judge_means", "SELECT event_type, round(avg(CASE WHEN event_id % 4 > 0 THEN event_id % 5 + 1 END), 2)::DOUBLE AS specificity, round(avg(CASE WHEN event_id % 4 > 0 THEN 3 END), 2)::DOUBLE AS clarity, NULL::DOUBLE AS accuracy, count(*) FILTER (WHERE event_id % 4 = 0) AS parse_failures FROM events GROUP BY event_type")
+@query("judge_means", "SELECT event_type, printf('%.2f', avg(CASE WHEN event_id % 4 > 0 THEN event_id % 5 + 1 END))::DOUBLE AS specificity, printf('%.2f', avg(CASE WHEN event_id % 4 > 0 THEN 3 END))::DOUBLE AS clarity, NULL::DOUBLE AS accuracy, count(*) FILTER (WHERE event_id % 4 = 0) AS parse_failures FROM events GROUP BY event_type")
 def judge_means(spark, sf):
     e = table(spark, sf, "events")
     good = F.concat(F.lit('Sure: {"specificity": '), (F.pmod("event_id", F.lit(5)) + 1).cast("string"), F.lit(', "clarity": 3}'))

@@ -55,7 +55,10 @@ def experiment(ranked: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     """Metrics of each configuration, and the winner with its verdict."""
     truth = items.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
     metrics = retrieval_metrics(first_hits(ranked, truth, by=("config",)), ("config",))
-    return metrics, winner(metrics.withColumn("seq", F.lit(0)), "config", "hit_rate_5", "mrr", "seq")
+    # ties go to the first of the grid, other names behind it
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, CONFIGS)), F.col("config")), F.lit(0))
+    place = F.when(place > 0, place).otherwise(len(CONFIGS) + 1)
+    return metrics, winner(metrics.withColumn("seq", place), "config", "hit_rate_5", "mrr", "seq")
 
 
 def cached(sources: DataFrame, cache: DataFrame, key: str = "source_id") -> tuple[DataFrame, DataFrame]:

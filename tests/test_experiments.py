@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import present
+from millrace.operators import evals, monitor
 from millrace.plans import experiments
 from millrace.sources.store import ChunkStore
 
@@ -23,7 +24,7 @@ def test_experiment(spark, tmp_path):
     wanted = [r.chunk_id for r in chunks.where("source_id = 'a'").collect()]
     items = spark.createDataFrame([("q", "my espresso is sour", wanted)], "query_id string, synthetic_query string, relevant_chunk_ids array<string>")
     metrics, best = experiments.experiment(experiments.run_configs(chunks, items, keep=lambda d: spark.createDataFrame(d.collect(), d.schema)), items)
-    assert {r.config: r.hit_rate_5 for r in metrics.collect()} == {c: 1.0 for c in experiments.CONFIGS} and best.first().verdict == "PASS"
+    assert {r.config: r.hit_rate_5 for r in metrics.collect()} == {c: 1.0 for c in experiments.CONFIGS} and best.first().verdict == "PASS" and best.first().winner == "C1_vector_only"
 
 
 def test_cache(spark, tmp_path):
@@ -34,3 +35,16 @@ def test_cache(spark, tmp_path):
     assert [r.v for r in have.collect()] == [3] and [r.source_id for r in lack.collect()] == ["c"]
     costs = spark.createDataFrame([(1, 100), (2, 100), (3, 1)], "i int, cost int")
     assert [r.i for r in experiments.affordable(costs, "cost", "i", 150).collect()] == [1]
+
+
+def test_figures_round_by_the_binary_value(spark):
+    rows = spark.createDataFrame([("s", "pass" if i == 0 else "fail", 0.5, False) for i in range(16)], "style string, verdict string, overall_score double, error boolean")
+    assert evals.style_metrics(rows).first().pass_rate == round(1 / 16, 3) == 0.062
+    marks = [1, 1, 1, 1, 1, 1, 1, 2]
+    replies = spark.createDataFrame([(f'{{"a": {m}}}',) for m in marks], "reply string")
+    assert evals.judge_means(replies, "reply", ("a",)).first().a == round(sum(marks) / 8, 2) == 1.12
+
+
+def test_chart_heights(spark):
+    got = spark.range(12).select(monitor.chart_height(F.col("id")).alias("h")).collect()
+    assert [r.h for r in got] == [180, 180, 180, 180, 182, 210, 238, 260, 260, 260, 260, 260]
