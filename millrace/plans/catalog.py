@@ -76,16 +76,6 @@ s AS (SELECT item_id AS query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, doc_id) AS rank FROM s) WHERE rank <= 15)"""
 
 
-def _bm25(spark, sf):
-    q = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    return retrieve.bm25_top(table(spark, sf, "documents"), q, 15, "doc_id")
-
-
-@query("bm25_topk", _BM25 + " SELECT query_id, doc_id, bm25_score, rank FROM bm")
-def bm25_topk(spark, sf):
-    return _bm25(spark, sf)
-
-
 @query("bm25_postings", r"SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS term FROM documents) GROUP BY term, doc_id) GROUP BY term")
 def bm25_postings(spark, sf):
     return retrieve.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
@@ -107,17 +97,6 @@ def rrf_hybrid(spark, sf):
 _HITS = _BM25 + ", tr AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), fh AS (SELECT t.query_id, min(bm.rank) AS first_hit FROM (SELECT DISTINCT query_id FROM tr) t LEFT JOIN (SELECT bm.* FROM bm SEMI JOIN tr USING (query_id, doc_id)) bm USING (query_id) GROUP BY t.query_id)"
 
 
-def _first_hits(spark, sf):
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    truth = table(spark, sf, "documents").join(F.broadcast(items), F.expr("contains(text, item)")).select("query_id", "doc_id")
-    return evals.first_hits(_bm25(spark, sf), truth, key="doc_id")
-
-
-@query("hit_rate_mrr", _HITS + " SELECT printf('%.3f', avg(CASE WHEN first_hit <= 5 THEN 1.0::DOUBLE ELSE 0 END))::DOUBLE AS hit_rate_5, printf('%.3f', avg(CASE WHEN first_hit <= 10 THEN 1.0::DOUBLE ELSE 0 END))::DOUBLE AS hit_rate_10, printf('%.3f', avg(coalesce(1.0::DOUBLE / first_hit, 0)))::DOUBLE AS mrr, count(*) AS n_queries FROM fh")
-def hit_rate_mrr(spark, sf):
-    return evals.retrieval_metrics(_first_hits(spark, sf))
-
-
 @query("experiment_winner", "WITH m AS (SELECT event_type, round(avg(value), 3) AS a, count(*) AS b FROM events GROUP BY event_type) SELECT event_type AS winner, a, b, CASE WHEN a >= 0.55 AND b >= 0.45 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m ORDER BY a DESC, b DESC LIMIT 1")
 def experiment_winner(spark, sf):
     m = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 3).alias("a"), F.count("*").alias("b")).withColumn("seq", F.lit(0))
