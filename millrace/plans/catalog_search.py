@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import evals, keyword
-from millrace.plans.catalog import _BM25, _HITS, query, table
+from millrace.operators import cells, evals, keyword
+from millrace.plans.catalog import _BM25, _COS, _HITS, _KNN, query, table
 from millrace.plans.catalog_forms import shared_folder
 from millrace.plans.catalog_runs import stored
 
@@ -40,3 +40,25 @@ def bm25_share(spark, sf):
     """Postings of each query's terms, and those that the pruned search reads, lookups and bounds included."""
     q = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
     return keyword.share_read(_keyword_index(spark, sf), q, 15, keep=stored(spark))
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def _cells(spark: SparkSession, sf: str) -> cells.Cells:
+    return cells.build(table(spark, sf, "embeddings"), shared_folder(spark), "vec_id", by=("label",))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query("knn_cells", _KNN.format(c=_COS, m=""))
+def knn_cells(spark, sf):
+    return cells.search(_cells(spark, sf), _asked(spark, sf), 10, exact=True, keep=stored(spark)).select("query_id", "vec_id", "semantic_score", "rank")
+
+
+@query("knn_cells_filtered", _KNN.format(c=_COS, m=" AND x.label = q.label"))
+def knn_cells_filtered(spark, sf):
+    found = cells.search(_cells(spark, sf), _asked(spark, sf), 10, match={"label": "label"}, exact=True, keep=stored(spark))
+    return found.select("query_id", "vec_id", "semantic_score", "rank")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import keyword, retrieve
+from millrace.operators import cells, keyword, retrieve
 from millrace.plans.catalog_runs import stored
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,51 @@ def test_share_of_postings_read(spark, tmp_path):
     share = keyword.share_read(keyword.build(docs, str(tmp_path / "index"), "doc_id"), asked, 15, keep=stored(spark))
     total = share.agg(F.sum("entries").alias("entries"), F.sum("read").alias("read")).first()
     assert total.read < total.entries / 3
+
+
+def clustered(spark, n=1_200, width=16, seed=1):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, width)) * 3
+    x = centres[rng.integers(0, 12, n)] + rng.normal(size=(n, width))
+    rows = [(f"c{i}", ["a", "b", None][i % 3], [float(y) for y in v]) for i, v in enumerate(x)]
+    rows += [("zero", "a", [0.0] * width), ("none", "a", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, method string, embedding array<double>")
+    return df, df.where("chunk_id rlike '7$'").select(F.col("chunk_id").alias("query_id"), "method", "embedding")
+
+
+def ranked(df):
+    return sorted((r.query_id, r["rank"], r.chunk_id, r.semantic_score) for r in df.collect())
+
+
+def test_cells(spark, tmp_path):
+    rows, asked = clustered(spark)
+    some = rows.where("chunk_id not in ('zero', 'none')").select("chunk_id", "embedding")
+    index = cells.build(rows, str(tmp_path / "cells"), cells=12)
+    want = ranked(retrieve.cosine_top(some, asked.select("query_id", "embedding"), 10))
+    assert ranked(cells.search(index, asked, 10, probes=1, exact=True, keep=stored(spark))) == want
+    near = ranked(cells.search(index, asked, 10, probes=2))
+    assert len({(q, c) for q, _, c, _ in near} & {(q, c) for q, _, c, _ in want}) >= 0.95 * len(want)
+    assert 1 <= cells.probes_for(index, asked.limit(20), 5, keep=stored(spark)) <= 4
+
+
+def test_cells_with_a_filter(spark, tmp_path, capsys):
+    rows, asked = clustered(spark)
+    index = cells.build(rows, str(tmp_path / "cells"), cells=12)
+    only = rows.where("method = 'b'").select("chunk_id", "embedding")
+    want = ranked(retrieve.cosine_top(only, asked.select("query_id", "embedding"), 10))
+    found = cells.search(index, asked, 10, probes=1, where={"method": "b"}, exact=True, keep=stored(spark))
+    assert ranked(found) == want
+    # a method of few members: what the probes lack comes from the other cells
+    few = cells.search(index, asked.limit(3), 400, probes=1, where={"method": {"$in": ["b"]}})
+    assert {r.n for r in few.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {400}
+    cells.probed(index, asked.withColumn("_q", F.col("embedding")).withColumn("cell", F.lit(1)), "query_id", {"method": "b"}, {}, 6).explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [" in plan and "method" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_cells_of_no_vectors(spark, tmp_path):
+    rows, asked = clustered(spark)
+    index = cells.build(rows.limit(0), str(tmp_path / "cells"))
+    assert cells.search(index, asked, 3, exact=True).count() == 0
