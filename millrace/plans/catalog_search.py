@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import cells, evals, keyword
+from millrace.functions import corpus
+from millrace.operators import cells, encoder, evals, keyword, retrieve
 from millrace.plans.catalog import _BM25, _COS, _HITS, _KNN, query, table
 from millrace.plans.catalog_forms import shared_folder
 from millrace.plans.catalog_runs import stored
@@ -62,3 +63,23 @@ def knn_cells(spark, sf):
 def knn_cells_filtered(spark, sf):
     found = cells.search(_cells(spark, sf), _asked(spark, sf), 10, match={"label": "label"}, exact=True, keep=stored(spark))
     return found.select("query_id", "vec_id", "semantic_score", "rank")
+
+
+# ------------------------------------------------------------------ trained encoder
+
+
+@query("encoder_hit_rates")
+def encoder_hit_rates(spark, sf):
+    """Hit rates of chunks that hold a benchmark passage, by the hashed encoder and by one trained on the documents."""
+    docs, keep = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"), stored(spark)
+    chunks = keep(corpus.chunk_documents(docs, "text", "source_id").dropDuplicates(["chunk_id"]).select("chunk_id", F.col("chunk_text").alias("text")))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    truth = keep(keyword.containing(keyword.build(chunks, shared_folder(spark)), chunks, items.withColumnRenamed("text", "item")).select("query_id", "chunk_id"))
+    trained = encoder.encoder(encoder.train(docs, keep=keep), spark)
+    out = None
+    for name, encode in (("hashed", None), ("trained", trained)):
+        x, q = (keep(retrieve.embed(rows, "text", encode)) for rows in (chunks, items))
+        ranked = retrieve.cosine_top(x.select("chunk_id", "embedding"), q.select("query_id", "embedding"), 15)
+        one = evals.retrieval_metrics(evals.first_hits(ranked, truth)).select(F.lit(name).alias("encoder"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

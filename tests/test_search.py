@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cells, keyword, retrieve
+from millrace.operators import cells, encoder, keyword, retrieve
+from millrace.plans import catalog_search
 from millrace.plans.catalog_runs import stored
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +108,26 @@ def test_cells_of_no_vectors(spark, tmp_path):
     rows, asked = clustered(spark)
     index = cells.build(rows.limit(0), str(tmp_path / "cells"))
     assert cells.search(index, asked, 3, exact=True).count() == 0
+
+
+def test_trained_encoder_finds_more_than_hashed_words(spark):
+    got = {r.encoder: r for r in catalog_search.encoder_hit_rates(spark, "/root/testdata/sf0.01").collect()}
+    assert got["trained"].mrr > got["hashed"].mrr and got["trained"].hit_rate_5 > got["hashed"].hit_rate_5
+
+
+def test_word_vectors(spark):
+    docs = spark.createDataFrame([(f"the {a} drinks {b} {i % 7}",) for i in range(60) for a, b in (("cat", "milk"), ("dog", "milk"), ("man", "tea"))] + [(None,), ("",)], "text string")
+    counts = {(r.i, r.j): r.n for r in encoder.pairs(docs.limit(1), "text", ["the", "drinks", "cat"]).collect()}
+    assert counts == {(0, 2): 1, (2, 0): 1, (1, 2): 1, (2, 1): 1, (0, 1): 1, (1, 0): 1}
+    model = encoder.train(docs, keep=stored(spark))
+    again = encoder.train(docs.repartition(5), keep=stored(spark))
+    assert model.words == again.words and np.allclose(model.vectors, again.vectors, atol=1e-4)
+    unit = dict(zip(model.words, model.vectors / np.linalg.norm(model.vectors, axis=1, keepdims=True), strict=True))
+    assert unit["cat"] @ unit["dog"] > unit["cat"] @ unit["man"]
+    v = encoder.encoder(model, spark)([None, "", "cat", "CAT ", "unheard of"])
+    assert not v[:2].any() and np.allclose(v[2], v[3]) and np.allclose(np.linalg.norm(v[2:], axis=1), 1)
+
+
+def test_encoder_of_nothing(spark):
+    model = encoder.train(spark.createDataFrame([], "text string"))
+    assert model.words == [] and encoder.encoder(model, spark)(["a", None]).shape == (2, encoder.WIDTH + encoder.OWN)
