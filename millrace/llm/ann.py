@@ -15,7 +15,8 @@ collisions: ties and copies in the last window are all verified.
 
 Recall, measured against brute force: see the README. Defined results: vectors that are null or
 zero, that hold null or non-finite components, or whose length is not the commonest one take no part; rows that share
-an id are separate candidates, none of them the query's own; an empty table gives no rows.
+an id are separate candidates, none of them the query's own; an empty table gives no rows. Any finite component
+will do: a product beyond the range of doubles scores infinite, by its sign.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BLOCK = 8_192
 #: Queries that are counted at once, so that the counters stay in a core's cache.
 TOGETHER = 16
 QUERY_GROUP = 2_048
+#: Powers of two beyond which squares of components leave the range of doubles.
+EXTREME = 300
 
 
 def usable(vector: Column) -> Column:
@@ -42,9 +45,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, longest: float, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, vector's place, score): each query's best k among the candidates of this block."""
+def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, longest: float, k: int, seed: int, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vector's place, score): each query's best k among the candidates of this block.
+
+    Places are taken of vectors by scale (then longest is as well), and of queries by a power of two of their own, so that no square is out of range.
+    """
     n, dim = x.shape
+    whole, asked = x, q
+    x, q = x / scale, q / np.exp2(np.floor(np.log2(np.abs(q).max(axis=1))))[:, None]
     lines = np.random.default_rng(seed).normal(size=(PROJECTIONS, dim + 1))
     room = np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", x, x), 0))
     place = lines[:, :dim] @ x.T + lines[:, dim:] * room
@@ -82,8 +90,11 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
                 s = x[found] @ q[j]
                 if len(found) > k:  # those that may be among the best, whatever the rounding
                     found = found[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * max(1.0, float(np.abs(s).max()))]
-                s = (x[found] * q[j]).sum(axis=1)
-                best = np.lexsort((ids[found], -s))[:k]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s = (whole[found] * asked[j]).sum(axis=1)
+                near = (x[found] * q[j]).sum(axis=1)
+                s = np.where(np.isnan(s), np.where(near == 0, 0.0, np.copysign(np.inf, near)), s)
+                best = np.lexsort((ids[found], -near if not np.isfinite(s).all() else -s))[:k]
                 out.append((np.full(len(best), j), found[best], s[best]))
         left = np.concatenate(more)
         if len(rest) and len(left) <= len(probes) // 2:  # the width that served most probes is where the others start
@@ -97,12 +108,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     """(query_id, rank, vec_id, score): each query's k nearest found, by inner product, ties to the smaller id."""
     v = F.col(vector).cast("array<double>")
     good = vectors.where(F.col(key).isNotNull() & usable(v)).select(F.col(key).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    facts = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.sum(F.col("is_query").cast("long")).alias("q")).orderBy(F.desc("n"), "dim").first()
+    facts = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.array_max(F.transform("v", F.abs))).alias("most"), F.sum(F.col("is_query").cast("long")).alias("q")).orderBy(F.desc("n"), "dim").first()
     shape = "query_id long, vec_id long, score double"
     if facts is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = good.where(F.size("v") == facts["dim"])
-    longest = float(np.sqrt(facts["m"]))
+    longest, scale = float(np.sqrt(facts["m"])), 1.0
+    power = int(np.floor(np.log2(facts["most"])))
+    if abs(power) > EXTREME:
+        scale = 2.0**power
+        longest = float(np.sqrt(good.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / scale) * (x / scale)))).first()[0]))
     blocks, groups = -(-facts["n"] // BLOCK), max(1, -(-facts["q"] // QUERY_GROUP))
     rows = good.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     asked = good.where("is_query").withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int"))
@@ -115,7 +130,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = x.sort_values("id", kind="stable"), q.sort_values("id", kind="stable")
         ids, qids = x["id"].to_numpy(), q["id"].to_numpy()
-        who, what, score = search_block(ids, np.stack(x["v"].to_numpy()), qids, np.stack(q["v"].to_numpy()), longest, k, seed)
+        who, what, score = search_block(ids, np.stack(x["v"].to_numpy()), qids, np.stack(q["v"].to_numpy()), longest, k, seed, scale)
         return pd.DataFrame({"query_id": qids[who], "vec_id": ids[what], "score": score})
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(work, shape)
