@@ -713,3 +713,43 @@ def test_neighbours_of_few(spark):
     assert ann.nearest(spark.createDataFrame([], shape), F.lit(True)).count() == 0
     got = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], shape), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 0.5), (2, 2, 0.5)]
+
+
+@pytest.mark.parametrize("size", [1e170, 1e300, 1e-200])
+def test_ann_ends_on_any_finite_vector(spark, size):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8))
+    x[17] *= size  # one among ordinary ones, a query as well
+    x[40] = x[17]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 17 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, 300, 17)) and all(len(v) == 20 for v in got.values())
+    if size > 1:
+        assert got[17][0] == 40
+    every = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    assert ann.nearest(every, F.col("vec_id") % 50 == 0).count() == 6 * 20
+
+
+def test_a_pair_of_lines_is_tested_alike_in_every_bucket():
+    """Links of a large bucket (close_lines) are those of a small one (similar_pairs), misspelt words included."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    base = [" ".join(rng.choice(vocab) for _ in range(20)) for _ in range(12)]
+    other = []
+    for line in base:
+        ws = line.split(" ")
+        for k in rng.sample(range(20), 7):
+            ws[k] = ws[k][:-1] + "z"
+        other.append(" ".join(ws))
+    every = base + other
+    same = [{"sim": 0, "x": v} for v in every]
+    got = lines.close_lines(same, same, np.ones((24, 24), bool), 80)
+    i, j = (v.ravel() for v in np.indices((24, 24)))
+    assert (got.ravel() == lines.similar_pairs(every, every, i, j, 80, lines.LIKELY)).all()
+    near = [lines.similar(a, b, 80) for a, b in zip(base, other, strict=True)]
+    assert sum(near) > 6 and [bool(got[k, 12 + k]) for k in range(12)].count(True) >= 0.9 * sum(near)
