@@ -54,8 +54,8 @@ class Chunking:
     least: int = 40
 
 
-def chunks(text: Column, how: Chunking = Chunking()) -> Column:
-    """Sentence-aware chunks: one fold over the sentences' lengths gives where each chunk begins and ends.
+def chunks(text: Column, how: Chunking = Chunking(), of: Column | None = None) -> Column:
+    """Sentence-aware chunks, of the sentences `of` where they are given: one fold over the sentences' lengths gives where each chunk begins and ends.
 
     A sentence over the budget is halved once. A chunk ends before the sentence that would exceed
     the budget; the next begins with the last sentences that fit the overlap. Short chunks go.
@@ -92,7 +92,7 @@ def chunks(text: Column, how: Chunking = Chunking()) -> Column:
         kept = F.filter(places(F.transform(ps, lambda x: x["n"])), lambda c: c["n"] >= how.least)
         return F.transform(kept, lambda c: F.array_join(F.transform(F.slice(ps, c["a"] + 1, c["b"] - c["a"]), lambda x: x["t"]), " "))
 
-    return F.when(text.isNotNull(), let(F.flatten(F.transform(sentences(text), parts)), written))
+    return F.when(text.isNotNull(), let(F.flatten(F.transform(sentences(text) if of is None else of, parts)), written))
 
 
 def chunk_documents(docs: DataFrame, text: str, source_id: str, signals: list[str] | None = None, how: Chunking = Chunking()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import corpus
-from millrace.operators import cells, encoder, evals, keyword, retrieve
+from millrace.operators import cells, encoder, evals, keyword, retrieve, sentences
 from millrace.plans.catalog import _BM25, _COS, _HITS, _KNN, query, table
 from millrace.plans.catalog_forms import shared_folder
 from millrace.plans.catalog_runs import stored
@@ -83,3 +83,30 @@ def encoder_hit_rates(spark, sf):
         one = evals.retrieval_metrics(evals.first_hits(ranked, truth)).select(F.lit(name).alias("encoder"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ------------------------------------------------------------------ sentences
+
+_MARKS = sentences.MARKS.replace("'", "''")
+
+
+@query(
+    "learnt_abbreviations",
+    rf"""WITH t AS (SELECT regexp_replace(lower(unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))), '^[{_MARKS}]+|[{_MARKS}]+$', '', 'g') AS kind FROM documents),
+c AS (SELECT regexp_replace(kind, '\.$', '') AS type, count(*) FILTER (WHERE ends_with(kind, '.')) AS dotted, count(*) FILTER (WHERE NOT ends_with(kind, '.')) AS plain FROM t WHERE regexp_matches(kind, '[\p{{L}}\p{{N}}]') GROUP BY 1),
+n AS (SELECT sum(dotted)::DOUBLE / sum(dotted + plain)::DOUBLE AS p FROM c), l AS (SELECT *, length(replace(type, '.', '')) AS letters FROM c, n WHERE dotted > 0 AND p < 1 AND regexp_matches(type, '^\p{{L}}')),
+s AS (SELECT type, dotted, plain, -2 * (dotted * ln(p) + plain * ln(1 - p) - dotted * ln({sentences.SURE}::DOUBLE) - plain * ln(1 - {sentences.SURE}::DOUBLE)) * exp(-letters::DOUBLE) * (length(type) - letters + 1) * pow(letters::DOUBLE, -plain::DOUBLE) AS score FROM l)
+SELECT type, dotted, plain, round(score, 6) AS score FROM s WHERE score >= {sentences.ABBREVIATION}""",
+)
+def learnt_abbreviations(spark, sf):
+    found = sentences.abbreviations(stored(spark)(sentences.types(table(spark, sf, "documents"), "text")))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("learnt_sentences")
+def learnt_sentences(spark, sf):
+    """Sentences of every text by the learnt boundaries, and the words of the longest."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = sentences.split(docs, sentences.learn(docs, keep=stored(spark)))
+    longest = F.array_max(F.transform("sentences", lambda s: F.size(F.split(s, " "))))
+    return cut.select("doc_id", F.size("sentences").alias("n_sentences"), F.coalesce(longest, F.lit(0)).alias("longest"), F.sha2(F.array_join("sentences", "\n"), 256).alias("digest"))
