@@ -72,3 +72,64 @@ def daily_budget(events: DataFrame, ts: str, key: str, daily: int) -> DataFrame:
 
     rows = events.select(F.col(ts).alias("ts"), F.col(key).cast("long").alias("event_id")).withWatermark("ts", "2 days").withColumn("day", F.to_date("ts"))
     return rows.groupBy("day").applyInPandasWithState(step, BUDGET, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+BUDGETS = "day date, event_id long, session string, day_nth long, session_nth long, mode string"
+
+
+def budgeted(events: DataFrame, ts: str, key: str, session: str, daily: int, per_session: int) -> DataFrame:
+    """(day, event_id, session, day_nth, session_nth, mode): live while the UTC day's budget and the session's share of it hold, else demo.
+
+    A day's counter is a value, its sessions' counters are a map; a timer drops both two days after the day. Events of
+    one batch count in order of time and id. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Budget(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.used = handle.getValueState("used", "n long")
+            self.sessions = handle.getMapState("sessions", "session string", "n long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+            f = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+            n = self.used.get()[0] if self.used.exists() else 0
+            held: dict[str, int] = {}
+            out = []
+            for event, who in zip(f["event_id"], f["session"], strict=True):
+                n += 1
+                if who not in held:
+                    held[who] = self.sessions.getValue((who,))[0] if self.sessions.containsKey((who,)) else 0
+                held[who] += 1
+                out.append((event, who, n, held[who], "live" if n <= daily and held[who] <= per_session else "demo"))
+            self.used.update((n,))
+            for who, many in held.items():
+                self.sessions.updateValue((who,), (many,))
+            self.handle.registerTimer(int(pd.Timestamp(key[0]).timestamp() * 1000) + 3 * 86_400_000)
+            made = pd.DataFrame(out, columns=["event_id", "session", "day_nth", "session_nth", "mode"])
+            made.insert(0, "day", key[0])
+            yield made
+
+        def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+            self.used.clear()
+            self.sessions.clear()
+            yield pd.DataFrame(columns=["day", "event_id", "session", "day_nth", "session_nth", "mode"])
+
+        def close(self) -> None:
+            pass
+
+    rows = events.select(F.col(ts).alias("ts"), F.col(key).cast("long").alias("event_id"), F.coalesce(F.col(session).cast("string"), F.lit("")).alias("session"))
+    rows = rows.withWatermark("ts", "2 days").withColumn("day", F.to_date("ts"))
+    return rows.groupBy("day").transformWithStateInPandas(Budget(), BUDGETS, "append", "eventTime")
+
+
+def with_feedback(sessions: DataFrame, feedback: DataFrame, key: str = "session_id", ts: str = "timestamp", late: str = "1 hour", within: str = "1 day") -> DataFrame:
+    """Sessions with their feedback (rating, given), null for none: a left outer join of two streams.
+
+    Feedback counts if it comes within `within` of its session; a session without any is given once that time and
+    `late` have passed by the watermarks, and the state of both sides goes with it. Feedback sent twice counts once.
+    """
+    s = sessions.withWatermark(ts, late)
+    f = feedback.select(F.col(key).alias("_key"), F.col(ts).alias("given"), "rating").withWatermark("given", late).dropDuplicatesWithinWatermark(["_key"])
+    on = F.expr(f"`{key}` = _key AND given >= `{ts}` AND given <= `{ts}` + INTERVAL {within}")
+    return s.join(f, on, "leftOuter").drop("_key")
