@@ -182,11 +182,27 @@ def overlap_scorer(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def rerank(candidates: DataFrame, query_text: str, text: str, n: int = 10, query: str = "query_id", key: str = "chunk_id", scorer: Scorer = overlap_scorer) -> DataFrame:
-    """candidates re-ranked by scorer(query texts, passages), run in Arrow batches over them only."""
-    score = F.pandas_udf(scorer, "double")
-    scored = candidates.withColumn("cross_encoder_score", score(F.col(query_text), F.col(text)))
-    return top(scored, [query], "cross_encoder_score", key, n, "retrieval_rank")
+def rerank(candidates: DataFrame, query_text: str, text: str, n: int = 10, query: str = "query_id", key: str = "chunk_id", scorer: Scorer = overlap_scorer, order_by: str = "semantic_score") -> DataFrame:
+    """candidates re-ranked by scorer(query texts, passages), run in Arrow batches over them only.
+
+    A query's only candidate passes as it is, without a score. Where the scorer fails on a batch, the queries that it
+    holds keep the order of `order_by`, if candidates have such a column, and else that of their keys.
+    """
+
+    def safe(q: pd.Series, t: pd.Series) -> pd.Series:
+        try:
+            return scorer(q, t)
+        except Exception:  # any scorer, any fault: the search's own order stands
+            return pd.Series([None] * len(q), dtype="float64")
+
+    score = F.pandas_udf(safe, "double")
+    own = Window.partitionBy(query)
+    scored = candidates.withColumn("_n", F.count("*").over(own)).withColumn("cross_encoder_score", F.when(F.col("_n") > 1, F.nanvl(score(F.col(query_text), F.col(text)), F.lit(None).cast("double"))))
+    scored = scored.withColumn("cross_encoder_score", F.when(F.count("cross_encoder_score").over(own) == F.col("_n"), F.col("cross_encoder_score"))).drop("_n")
+    # equal scores go by key; the search's order is for queries without scores
+    unscored = [F.desc(F.when(F.col("cross_encoder_score").isNull(), F.col(order_by)))] if order_by in candidates.columns else []
+    order = own.orderBy(F.desc("cross_encoder_score"), *unscored, F.asc(key))
+    return scored.withColumn("retrieval_rank", F.row_number().over(order)).where(F.col("retrieval_rank") <= n)
 
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -234,7 +250,7 @@ def retrieve(corpus: DataFrame, queries: DataFrame, n_candidates: int = 15, n_fi
         found = fuse([found, keyword], n=n_candidates)
     found = found.drop("rank").join(corpus.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     if scorer is not None:
-        return rerank(found, "query_text", "text", n_final, scorer=scorer)
+        return rerank(found, "query_text", "text", n_final, scorer=scorer, order_by=order_by)
     return top(found, ["query_id"], order_by, "chunk_id", n_final, "retrieval_rank")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import corpus
-from millrace.operators import cells, encoder, evals, keyword, retrieve, sentences
+from millrace.operators import cells, encoder, evals, keyword, ranker, retrieve, sentences
 from millrace.plans.catalog import _BM25, _COS, _HITS, _KNN, query, table
 from millrace.plans.catalog_forms import shared_folder
 from millrace.plans.catalog_runs import stored
@@ -110,3 +110,33 @@ def learnt_sentences(spark, sf):
     cut = sentences.split(docs, sentences.learn(docs, keep=stored(spark)))
     longest = F.array_max(F.transform("sentences", lambda s: F.size(F.split(s, " "))))
     return cut.select("doc_id", F.size("sentences").alias("n_sentences"), F.coalesce(longest, F.lit(0)).alias("longest"), F.sha2(F.array_join("sentences", "\n"), 256).alias("digest"))
+
+
+# ------------------------------------------------------------------ learnt re-ranker
+
+
+@query("ranker_mrr")
+def ranker_mrr(spark, sf):
+    """Hit rates of passages in chunks: the search's order, word overlap, and a ranker learnt from the other half of the queries."""
+    docs, keep = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"), stored(spark)
+    chunks = keep(corpus.chunk_documents(docs, "text", "source_id").dropDuplicates(["chunk_id"]).select("chunk_id", F.col("chunk_text").alias("text")))
+    # a question is every sixth word of a passage
+    some = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 6 == 0), " ")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    index = keyword.build(chunks, shared_folder(spark))
+    truth = keep(keyword.containing(index, chunks, items.withColumnRenamed("text", "item")).select("query_id", "chunk_id"))
+    asked = keep(retrieve.embed(items.select("query_id", some.alias("text")), "text"))
+    store = keep(retrieve.embed(chunks, "text"))
+    words_ = keyword.search(index, asked.select("query_id", "text"), 15, keep=keep).withColumn("semantic_score", F.lit(0.0))
+    found = retrieve.fuse([retrieve.cosine_top(store.select("chunk_id", "embedding"), asked.select("query_id", "embedding"), 15), words_]).drop("rank")
+    found = found.join(chunks, "chunk_id").join(asked.select("query_id", F.col("text").alias("query_text")), "query_id")
+    rows = keep(ranker.featured(found).join(truth.withColumn("relevant", F.lit(True)), ["query_id", "chunk_id"], "left").fillna(False, ["relevant"]))
+    held = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
+    model = ranker.fit(rows.where(~held))
+    test, out = rows.where(held), None
+    ranked = {"search": ranker.rerank(test, None, 15, order_by="rrf_score"), "overlap": retrieve.rerank(test, "query_text", "text", 15), "learnt": ranker.rerank(test, model, 15)}
+    for name, r in ranked.items():
+        first = evals.first_hits(r.select("query_id", "chunk_id", F.col("retrieval_rank").alias("rank")), truth.where(held))
+        one = evals.retrieval_metrics(first).select(F.lit(name).alias("ranking"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cells, encoder, keyword, retrieve
+from millrace.operators import cells, encoder, evals, keyword, ranker, retrieve
 from millrace.plans import catalog_search
 from millrace.plans.catalog_runs import stored
 
@@ -131,3 +131,62 @@ def test_word_vectors(spark):
 def test_encoder_of_nothing(spark):
     model = encoder.train(spark.createDataFrame([], "text string"))
     assert model.words == [] and encoder.encoder(model, spark)(["a", None]).shape == (2, encoder.WIDTH + encoder.OWN)
+
+
+def labelled(spark, n=40):
+    """Each query has five passages with all its words; in the relevant one they stand together."""
+    rng = random.Random(7)
+    vocab = [f"v{i}" for i in range(500)]
+    rows = []
+    for q in range(n):
+        asked = rng.sample(vocab, 5)
+        right = rng.randrange(5)
+        for k in range(5):
+            rest = [rng.choice(vocab) for _ in range(40)]
+            if k == right:
+                at = rng.randrange(30)
+                rest[at:at] = asked
+            else:
+                for w in asked:
+                    rest.insert(rng.randrange(len(rest)), w)
+            rows.append((q, f"q{q}-{k}", " ".join(asked), " ".join(rest), rng.random(), rng.random(), k == right))
+    return spark.createDataFrame(rows, "query_id int, chunk_id string, query_text string, text string, semantic_score double, bm25_score double, relevant boolean")
+
+
+def mrr(df, truth):
+    first = evals.first_hits(df.select("query_id", "chunk_id", F.col("retrieval_rank").alias("rank")), truth)
+    return evals.retrieval_metrics(first).first().mrr
+
+
+def test_learnt_ranker_on_held_out_queries(spark):
+    rows = ranker.featured(labelled(spark))
+    model = ranker.fit(rows.where("query_id % 2 = 0"))
+    held = rows.where("query_id % 2 = 1")
+    truth = held.where("relevant").select("query_id", "chunk_id")
+    learnt, overlap = mrr(ranker.rerank(held, model), truth), mrr(retrieve.rerank(held, "query_text", "text"), truth)
+    assert learnt >= 0.95 > overlap
+
+
+def test_ranker_falls_back(spark):
+    rows = ranker.featured(labelled(spark, 3))
+    assert ranker.fit(rows.where("relevant")) is None
+    by_search = [(r.query_id, r.chunk_id) for r in rows.orderBy("query_id", F.desc("semantic_score")).collect()]
+    out = ranker.rerank(rows, None).orderBy("query_id", "retrieval_rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in out] == by_search and all(r.rank_score is None for r in out)
+    # a passage that is missing sends its query back, one candidate passes as it is
+    some = ranker.featured(labelled(spark, 3).withColumn("text", F.when(F.col("chunk_id") != "q0-1", F.col("text"))).where("query_id < 2 or chunk_id = 'q2-0'"))
+    got = ranker.rerank(some, ranker.fit(rows)).groupBy("query_id").agg(F.count("rank_score").alias("n")).collect()
+    assert {r.query_id: r.n for r in got} == {0: 0, 1: 5, 2: 0}
+
+
+def test_a_failing_scorer_leaves_the_order_of_the_search(spark):
+    rows = labelled(spark, 4).where("query_id < 3 or chunk_id = 'q3-2'")
+
+    def fails(q, t):
+        raise RuntimeError("no model")
+
+    want = [(r.query_id, r.chunk_id) for r in rows.orderBy("query_id", F.desc("semantic_score")).collect()]
+    out = retrieve.rerank(rows, "query_text", "text", scorer=fails).orderBy("query_id", "retrieval_rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in out] == want
+    alone = retrieve.rerank(rows, "query_text", "text").where("query_id = 3").first()
+    assert alone.cross_encoder_score is None and alone.retrieval_rank == 1
