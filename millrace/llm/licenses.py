@@ -3,8 +3,8 @@
 A template is the shingles of its normalised words (five words each; a shorter notice is one shingle
 of its own length). A text is cut into overlapping windows of a template's length, one for each
 start. MinHash bands of one row retrieve templates: a window whose shingles have Jaccard similarity
-J with a template's shares none of the BANDS bands with probability (1 - J)^BANDS, under 1e-9 at the
-least J that a match can have (0.74 for the shortest templates it matters for). Retrieved templates
+J with a template's shares none of the BANDS bands with probability (1 - J)^BANDS, 2.3e-8 at the least
+J that a match of these notices can have (20 of 25 shingles, 0.667). Retrieved templates
 are verified by exact containment of their shingles in the window.
 
 A window without any template shingle can neither collide nor match, so windows are laid only around
