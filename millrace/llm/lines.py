@@ -6,7 +6,7 @@ SURE bits agree on at least two of BLOCKS blocks (the pigeonhole rule), so class
 pair of blocks are candidates. One changed word moves several bits, so that blocks alone find a
 fifth of the lines with edit similarity 0.8: classes that share one of BANDS keys of three minima
 over their pairs of neighbouring words are candidates as well. Candidates within DISTANCE bits are
-verified by edit similarity of the normalised lines, after an estimate from counts of three-character
+verified by edit similarity of the normalised lines, after a bound from counts of three-character
 strings has ruled out most of the others, and connected classes form a group. A group keeps its
 first occurrence, by (doc_id, line number), and loses the others. Recall against edit similarity
 alone is tested (tests/llm) and stated in the README.
@@ -191,10 +191,10 @@ def _common(a: str, b: str, n: int) -> int:
     return low
 
 
-#: Three-character strings are counted in PROFILE cells. One edit moves a profile by 2 * 3 at most, one
-#: of a changed word's about half as much: lines that share words, as candidates do, move LIKELY an edit.
-PROFILE, AT_ONCE = 4_096, 256
-SURELY, LIKELY = 6, 3
+#: Three-character strings are counted in PROFILE cells. One edit moves a profile by 2 * 3 at most; no smaller
+#: number is sure, whatever words two lines share, so that LIKELY is the same.
+PROFILE, AT_ONCE = 1_024, 4_096
+SURELY = LIKELY = 6
 
 
 def profiles(lines: list[str]) -> np.ndarray:
@@ -204,7 +204,7 @@ def profiles(lines: list[str]) -> np.ndarray:
     out = np.zeros(len(lines) * PROFILE, np.int32)
     if size.any():
         h = np.concatenate([c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35) for c in code if len(c) > 2])
-        cell = (h * np.uint32(0x27D4EB2F) >> np.uint32(20)).astype(np.int64)
+        cell = (h * np.uint32(0x27D4EB2F) >> np.uint32(22)).astype(np.int64)
         out = np.bincount(np.repeat(np.arange(len(lines)), size) * PROFILE + cell, minlength=len(out)).astype(np.int32)
     return out.reshape(len(lines), PROFILE)
 
@@ -237,19 +237,21 @@ def similar_pairs(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, pe
     out = np.zeros(len(i), bool)
     nx, ny = (np.array([len(v) for v in side], np.int64) for side in (xs, ys))
     most = np.maximum(nx[i], ny[j]) * (100 - percent) // 100
-    left = []
-    for n in np.flatnonzero(np.abs(nx[i] - ny[j]) <= most):
-        out[n] = at_most(xs[i[n]], ys[j[n]], int(most[n])) <= most[n]
-        if not out[n]:
-            left.append(n)
-    left = np.array(left, np.int64)
+    left = np.flatnonzero(np.abs(nx[i] - ny[j]) <= most)
+    if not len(left):
+        return out
     px, px_at = _profiled(xs, i[left])
     py, py_at = _profiled(ys, j[left])
-    for at in range(0, len(left), AT_ONCE):
-        some = slice(at, at + AT_ONCE)
-        moved = np.abs(px[px_at[some]] - py[py_at[some]]).sum(axis=1)
-        for n in left[some][moved <= moves * most[left[some]]]:
-            out[n] = edit_distance(xs[i[n]], ys[j[n]], int(most[n])) <= most[n]
+    near = np.zeros(len(left), bool)
+    for at in range(0, len(left), 256):
+        some = slice(at, at + 256)
+        near[some] = np.abs(px[px_at[some]] - py[py_at[some]]).sum(axis=1) <= moves * most[left[some]]
+    left = left[near]
+    # long lines that differ by words are mostly settled by aligning them
+    sure = np.array([max(nx[i[n]], ny[j[n]]) > ALIGNED and at_most(xs[i[n]], ys[j[n]], int(most[n])) <= most[n] for n in left], bool)
+    out[left[sure]] = True
+    left = left[~sure]
+    out[left] = within(xs, ys, i[left], j[left], most[left])
     return out
 
 
@@ -259,6 +261,117 @@ def _profiled(lines: list[str], which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return profiles([lines[k] for k in u]), at
 
 
+#: Numbers that the tables of one batch of pairs hold, about, and pairs of a batch at most.
+CELLS, PAIRS_AT_ONCE = 2_000_000, 2_048
+#: Pairs for each 64 characters below which a batch is compared pair by pair.
+FEW = 16
+#: Characters beyond which two lines are aligned by words first.
+ALIGNED = 128
+
+
+def within(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the pairs (xs[i], ys[j]) have an edit distance of `most` or less: many pairs of like length at once."""
+    out = np.zeros(len(i), bool)
+    used = np.unique(np.concatenate([i, j + len(xs)])) if len(i) else np.zeros(0, np.int64)
+    code = {k: np.frombuffer((xs[k] if k < len(xs) else ys[k - len(xs)]).encode("utf-32-le", "surrogatepass"), "<u4") for k in used.tolist()}
+    one, two = [code[k] for k in i.tolist()], [code[k] for k in (j + len(xs)).tolist()]
+    longer = np.array([max(len(a), len(b)) for a, b in zip(one, two, strict=True)], np.int64)
+    order = np.argsort(longer, kind="stable")
+    at = 0
+    while at < len(order):
+        # tables are as wide as the longest of a batch
+        to = min(at + PAIRS_AT_ONCE, len(order))
+        while to > at + 1 and (to - at) * longer[order[to - 1]] > CELLS:
+            to = at + (to - at) // 2
+        some = order[at:to]
+        if len(some) >= FEW * (int(longer[some[-1]]) // 64 + 1):
+            out[some] = _distances([one[k] for k in some], [two[k] for k in some], most[some]) <= most[some]
+        else:
+            for k in some:
+                x, y, m = xs[i[k]], ys[j[k]], int(most[k])
+                out[k] = at_most(x, y, m) <= m or edit_distance(x, y, m) <= m
+        at = to
+    return out
+
+
+def _table(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines as rows, filled up with zeros, and their lengths."""
+    size = np.array([len(x) for x in lines], np.int64)
+    out = np.zeros((len(lines), int(size.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = np.concatenate(lines) if size.any() else []
+    return out, size
+
+
+def _distances(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of the pairs, or more than `most`: bit vectors of 64 places, a row of numbers for each."""
+    b, nb = _table(ys)
+    order = np.argsort(-nb, kind="stable")  # pairs that still have characters stand first
+    b, nb = b[order], nb[order]
+    a, na = _table([xs[k] for k in order])
+    words = max(1, -(-a.shape[1] // 64))
+    known, codes = np.unique(a, return_inverse=True)  # 0 fills up and is a code as well, whose bits stand behind the end
+    codes = codes.reshape(a.shape)
+    out = np.where(nb == 0, na, nb + na)
+    d, last = na.copy(), np.zeros((words, len(a)), np.uint64)
+    full = np.flatnonzero(na)
+    last[(na[full] - 1) // 64, full] = _ONE << ((na[full] - 1) % 64).astype(np.uint64)
+    out[na == 0] = nb[na == 0]
+    up, down = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
+    limit, who = most[order], np.arange(len(a))
+    # the bits of each pair's characters, by (word, character, pair)
+    step = max(1, CELLS // max(1, len(known) * words))
+    if step < len(a):
+        parts = [_distances([xs[k] for k in order[s : s + step]], [ys[k] for k in order[s : s + step]], most[order[s : s + step]]) for s in range(0, len(a), step)]
+        back = np.empty(len(a), np.int64)
+        back[order] = np.concatenate(parts)
+        return back
+    where = np.zeros((words, len(known) + 1, len(a)), np.uint64)
+    for k in range(a.shape[1]):
+        n = np.flatnonzero(na > k)
+        where[k // 64, codes[n, k], n] |= _ONE << np.uint64(k % 64)
+    spot = np.searchsorted(known, b)
+    said = known[np.minimum(spot, len(known) - 1)] == b if len(known) else np.zeros(b.shape, bool)
+    spot = np.where(said, spot, len(known))
+    top, one = np.uint64(63), _ONE
+    for k in range(b.shape[1]):
+        if k % 16 == 0:
+            # a distance falls by one a character at most; pairs that cannot come down to the limit leave
+            stay = (nb[who] > k) & (d[who] - (nb[who] - k) <= limit[who]) & (na[who] > 0)
+            lost = who[(nb[who] > k) & ~stay & (na[who] > 0)]
+            out[lost] = limit[lost] + 1
+            nb[lost] = 0
+            who = who[stay]
+            if not len(who):
+                break
+            dense_up, dense_down = up[:, who], down[:, who]
+            dense_last, dense_d = last[:, who], d[who]
+        live = int(np.searchsorted(-nb[who], -k, "left"))
+        if not live:
+            break
+        w, rise_in, fall_in = who[:live], one, np.uint64(0)
+        for v in range(words):
+            eq = where[v, spot[w, k], w]
+            pv, mv = dense_up[v, :live], dense_down[v, :live]
+            flat = eq | mv
+            eq = eq | fall_in
+            h = (((eq & pv) + pv) ^ pv) | eq
+            rise, fall = mv | ~(h | pv), pv & h
+            mark = dense_last[v, :live]
+            dense_d[:live] += ((rise & mark) != 0).astype(np.int64) - ((fall & mark) != 0)
+            rise_out, fall_out = rise >> top, fall >> top
+            rise, fall = (rise << one) | rise_in, (fall << one) | fall_in
+            dense_up[v, :live], dense_down[v, :live] = fall | ~(flat | rise), rise & flat
+            rise_in, fall_in = rise_out, fall_out
+        d[w] = dense_d[:live]
+        done = w[nb[w] == k + 1]
+        out[done] = d[done]
+        if k % 16 == 15:
+            up[:, who], down[:, who] = dense_up, dense_down
+    back = np.empty(len(a), np.int64)
+    back[order] = out
+    return back
+
+
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
     """Of (a, b, x, y) the (a, b) with edit similarity 1 - distance / longer length of percent / 100 or more."""
 
@@ -267,7 +380,7 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
                 every = np.arange(part.num_rows)
-                keep = similar_pairs(part.column(2).to_pylist(), part.column(3).to_pylist(), every, every, percent, LIKELY)
+                keep = similar_pairs(part.column(2).to_pylist(), part.column(3).to_pylist(), every, every, percent)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
@@ -281,7 +394,7 @@ def close_lines(xs: list[dict], ys: list[dict], apart: np.ndarray, percent: int)
         return near
     left, right = [v["x"] for v in xs], [v["x"] for v in ys]
     i, j = np.nonzero(near)
-    near[i, j] = similar_pairs(left, right, i, j, percent, LIKELY)
+    near[i, j] = similar_pairs(left, right, i, j, percent)
     return near
 
 

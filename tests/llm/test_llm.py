@@ -753,3 +753,36 @@ def test_a_pair_of_lines_is_tested_alike_in_every_bucket():
     assert (got.ravel() == lines.similar_pairs(every, every, i, j, 80, lines.LIKELY)).all()
     near = [lines.similar(a, b, 80) for a, b in zip(base, other, strict=True)]
     assert sum(near) > 6 and [bool(got[k, 12 + k]) for k in range(12)].count(True) >= 0.9 * sum(near)
+
+
+def test_misspelt_pairs_that_meet_the_similarity_are_links(spark):
+    """Letters changed one by one, far apart, move a profile by 6 an edit: such candidates are links as well."""
+    rng = random.Random(7)
+    rows = []
+    for n in range(40):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+        y = "".join(c.upper() if k % 5 == 2 else c for k, c in enumerate(x))
+        rows.append((n, n + 100, x, y))
+    pairs = spark.createDataFrame(rows, "a long, b long, x string, y string")
+    assert all(lines.similar(x, y, 80) for _, _, x, y in rows)
+    assert lines.verified(pairs, 80).count() == 40
+    made = [({"sim": 0, "x": x}, {"sim": 0, "x": y}) for _, _, x, y in rows]
+    near = lines.close_lines([m[0] for m in made], [m[1] for m in made], np.eye(40, dtype=bool), 80)
+    assert near.diagonal().all()
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "abc\u00e9\u00df\u6f22\u5b57 \x00"])
+def test_distances_of_many_pairs_are_those_of_each(letters, monkeypatch):
+    rng = random.Random(9)
+    xs, ys = [], []
+    for _ in range(400):
+        x = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 200])))
+        xs.append(x)
+        ys.append("".join(c if rng.random() > 0.15 else rng.choice(letters) for c in x if rng.random() > 0.05))
+    k = np.arange(400)
+    most = np.array([max(len(x), len(y)) // 5 for x, y in zip(xs, ys, strict=True)])
+    want = [lines.edit_distance(x, y, int(m)) <= m for x, y, m in zip(xs, ys, most, strict=True)]
+    assert 40 < sum(want) < 400 and lines.within(xs, ys, k, k, most).tolist() == want
+    monkeypatch.setattr(lines, "CELLS", 3_000)
+    monkeypatch.setattr(lines, "FEW", 0)
+    assert lines.within(xs, ys, k, k, most).tolist() == want
