@@ -106,10 +106,14 @@ def experiment_winner(spark, sf):
 @query("retrieve_hybrid")
 def retrieve_hybrid(spark, sf):
     """Chunks of all documents, hashed embeddings, both searches, fusion, re-ranking by overlap."""
+    from millrace.plans.catalog_runs import stored  # that module reads this one
+
+    keep = stored(spark)
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text", F.col("lang").alias("method"))
-    chunks = corpus.chunk_documents(docs, "text", "source_id").dropDuplicates(["chunk_id"]).select("chunk_id", "method", F.col("chunk_text").alias("text"))
+    # cut, de-duplicated and encoded once: the searches read it eight times
+    chunks = keep(corpus.chunk_documents(docs, "text", "source_id").dropDuplicates(["chunk_id"]).select("chunk_id", "method", F.col("chunk_text").alias("text")))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("unknown").alias("machine_type"))
-    store = retrieve.embed(chunks, "text").withColumn("method", F.lit("general"))
+    store = keep(retrieve.embed(chunks, "text").withColumn("method", F.lit("general")))
     return retrieve.retrieve(store, retrieve.embed(q, "text"), mode="hybrid").select("query_id", "chunk_id", "semantic_score", "bm25_score", "rrf_score", "cross_encoder_score", "retrieval_rank")
 
 
