@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import words
-from millrace.operators.retrieve import K1, MOST_TERMS, B, idf_of, postings, top
+from millrace.operators.retrieve import K1, MOST_BROADCAST, MOST_TERMS, B, idf_of, postings, top
 
 #: Texts of a page, about; folders that terms are dealt over.
 PAGE, FOLDERS = 64, 32
@@ -182,3 +182,11 @@ def containing(index: Blocks, docs: DataFrame, items: DataFrame, key: str = "chu
     long = named.join(held, "_item").join(body, "_key").where(F.expr(f"contains(_text, `{item}`)"))
     short = named.where(F.size("_ws") == 0).join(body, F.expr(f"contains(_text, `{item}`)"))
     return long.select(*items.columns, F.col("_key").alias(key)).unionByName(short.select(*items.columns, F.col("_key").alias(key)))
+
+
+def holding(docs: DataFrame, items: DataFrame, key: str = "chunk_id", text: str = "text", item: str = "item") -> DataFrame:
+    """The rows of `containing` without an index: items, MOST_BROADCAST at most, go to the texts, which are read once and not shuffled."""
+    if items.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} items: use containing")
+    body = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return body.join(F.broadcast(items), F.expr(f"contains(_text, `{item}`)")).select(*items.columns, F.col("_key").alias(key))

@@ -116,6 +116,12 @@ class Best:
                 out[some] = s
         return out
 
+    #: A rounded score below all others.
+    NONE = -1.0
+
+    def _shown(self, score: np.ndarray) -> np.ndarray:
+        return np.clip(np.where(np.isnan(score), 1.0, score), 0.0, 1.0)
+
     def _prune(self) -> None:
         i, at, score = (np.concatenate([h[k] for h in self.held]) for k in range(3))
         keys = pa.chunked_array(self.keys).combine_chunks()
@@ -124,14 +130,14 @@ class Best:
         place = np.empty(len(keys), np.int64)
         place[pa.compute.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(keys))
         place = place[at]
-        shown = np.clip(np.where(np.isnan(score), 1.0, score), 0.0, 1.0) * self.scale + 0.5
+        shown = self._shown(score) * self.scale + 0.5
         low, high = np.floor(shown - NEAR * self.scale), np.floor(shown + NEAR * self.scale)
         order = np.lexsort((place, -low, i))
         first = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
         size = np.diff(np.append(first, len(order)))
         nth = order[first + np.minimum(size, self.n) - 1]
         enough, who = size >= self.n, i[order][first]
-        bar, last = np.full(len(self.ids), -1.0), np.full(len(self.ids), np.iinfo(np.int64).max)
+        bar, last = np.full(len(self.ids), self.NONE), np.full(len(self.ids), np.iinfo(np.int64).max)
         bar[who[enough]], last[who[enough]] = low[nth[enough]], place[nth[enough]]
         keep = (high > bar[i]) | ((high == bar[i]) & (place <= last[i]))
         self.least = np.maximum(self.least, bar)
@@ -144,3 +150,56 @@ class Best:
         self._prune()
         i, at, score = self.held[0]
         return pa.Table.from_arrays([self.ids.take(pa.array(i)), self.keys[0].take(pa.array(at)), pa.array(score)], names=names)
+
+
+class Sums(Best):
+    """The candidates of queries, weights (query, term, w), among the rows (key, words) met so far, by sums of w times a term's impact."""
+
+    NONE = -np.inf
+
+    def __init__(self, weights: pa.Table, n: int, digits: int):
+        weights = weights.combine_chunks()
+        coded = [pa.compute.dictionary_encode(weights.column(k).combine_chunks()) for k in (0, 1)]
+        self.ids, self.terms = coded[0].dictionary, coded[1].dictionary
+        query, self.term = (c.indices.to_numpy() for c in coded)
+        order = np.argsort(self.term, kind="stable")
+        self.term, self.query, self.w = self.term[order], query[order], weights.column(2).to_numpy()[order]
+        self.n, self.scale, self.least = n, 10.0**digits, np.full(len(self.ids), self.NONE)
+        self.keys, self.held, self.count = [], [], 0
+
+    def _shown(self, score: np.ndarray) -> np.ndarray:
+        return score
+
+    def meet(self, batch: pa.RecordBatch, impact) -> None:
+        for at in range(0, batch.num_rows if len(self.ids) else 0, AT_ONCE // 2):
+            self._add(batch.slice(at, AT_ONCE // 2), impact)
+
+    def _add(self, part: pa.RecordBatch, impact) -> None:
+        size = np.array(part.column(1).value_lengths().fill_null(0), np.int64)
+        of = pa.compute.index_in(part.column(1).flatten(), value_set=self.terms).fill_null(-1).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        # a column for each asked term that stands in these texts
+        have = np.unique(of[of >= 0])
+        if not len(have):
+            return
+        column = np.searchsorted(have, of[of >= 0])
+        tf = np.bincount(row[of >= 0] * len(have) + column, minlength=len(size) * len(have)).reshape(len(size), len(have))
+        gives = np.where(tf > 0, impact(tf, size[:, None]), 0.0)
+        low, high = np.searchsorted(self.term, have), np.searchsorted(self.term, have, "right")
+        many = high - low
+        at = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+        weight, asks = np.zeros((len(have), len(self.ids))), np.zeros((len(have), len(self.ids)), np.float32)
+        weight[np.repeat(np.arange(len(have)), many), self.query[at]] = self.w[at]
+        asks[np.repeat(np.arange(len(have)), many), self.query[at]] = 1
+        score = (gives @ weight).T
+        score[((tf > 0).astype(np.float32) @ asks).T == 0] = -np.inf
+        i, j = np.nonzero((score > -np.inf) & (score * self.scale >= (self.least - 0.5 - 2 * NEAR * self.scale)[:, None]))
+        if not len(i):
+            return
+        used, at = np.unique(j, return_inverse=True)
+        base = sum(len(k) for k in self.keys)
+        self.keys.append(part.column(0).take(pa.array(used)))
+        self.held.append((i, base + at, score[i, j]))
+        self.count += len(i)
+        if self.count > 4 * self.n * len(self.ids) + SPARE or len(self.held) == 1:
+            self._prune()

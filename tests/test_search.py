@@ -248,3 +248,34 @@ def test_no_pair_of_vectors_is_multiplied_by_expressions(spark):
     x = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "chunk_id long, embedding array<double>")
     plan = retrieve.cosine_top(x, x.withColumnRenamed("chunk_id", "query_id"), 2)._jdf.queryExecution().toString()
     assert "zip_with" not in plan.lower() and "zipwith" not in plan.lower()
+
+
+# ------------------------------------------------------------------ keywords in one scan
+
+
+def test_bm25_in_one_scan_is_the_search_of_the_index(spark, tmp_path, monkeypatch):
+    """Small batches, equal texts and terms asked twice: the rows of the stored index, and of joined postings."""
+    from millrace.operators import nearest
+
+    docs, asked = corpus(spark)
+    docs = docs.unionByName(docs.where("chunk_id < 'c2'").withColumn("chunk_id", F.concat(F.lit("x"), "chunk_id"))).repartition(3)
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "chunk_id", "bm25_score", "rank").collect())
+    monkeypatch.setattr(nearest, "AT_ONCE", 32)
+    got = rows(retrieve.bm25_top(docs, asked, 7))
+    monkeypatch.setattr(retrieve, "MOST_WEIGHTS", 0)
+    assert got and got == rows(retrieve.bm25_top(docs, asked, 7))
+    assert got == rows(keyword.search(keyword.build(docs, str(tmp_path / "index")), asked, 7, keep=stored(spark)))
+
+
+def test_bm25_topk_shuffles_no_postings(spark, monkeypatch):
+    """bm25_topk and hit_rate_mrr built an index of all postings before they asked it."""
+    monkeypatch.setattr(keyword, "build", None)
+    assert catalog_search.bm25_topk(spark, SF).count() > 0
+    assert catalog_search.hit_rate_mrr(spark, SF).first()["n_queries"] > 0
+
+
+def test_items_are_found_in_one_scan(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "two"), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two"), (2, "e two t"), (3, None), (4, ""), (5, "four")], "query_id int, item string")
+    got = sorted((r.query_id, r.doc_id) for r in keyword.holding(docs, items, "doc_id").collect())
+    assert got == [(1, 1), (1, 3), (2, 1), (4, 1), (4, 3), (4, 4)]
