@@ -6,7 +6,7 @@ ratio, scaled down by length and by each time it stands without, up by inner per
 ends of sentences much more than chance are starters. A period ends a sentence unless it is an abbreviation's or an
 initial's; then only a starter in upper case behind it says so. `!` and `?` always end one.
 
-Scale: counts are map-side combined aggregates over tokens; abbreviations and starters, a few hundred types, travel as
+Scale: counts are map-side combined aggregates over tokens, and types are made of distinct tokens; abbreviations and starters, a few hundred types, travel as
 one row that is broadcast and is refused beyond MOST types. Cutting a text is an expression over its tokens.
 
 Defined results: null and blank texts have no sentences; white space between tokens counts as one blank.
@@ -42,9 +42,11 @@ def bare(kind: Column) -> Column:
 
 def types(docs: DataFrame, text: str) -> DataFrame:
     """(type, dotted, plain): how often each type with a letter or digit stands with a final period, and without."""
-    kind = docs.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("token")).select(type_of(F.col("token")).alias("kind"))
-    kind = kind.where(F.col("kind").rlike(r"[\p{L}\p{N}]"))
-    return kind.groupBy(bare(F.col("kind")).alias("type")).agg(F.count_if(F.col("kind").endswith(".")).alias("dotted"), F.count_if(~F.col("kind").endswith(".")).alias("plain"))
+    tokens = docs.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    kind = tokens.select(type_of(F.col("token")).alias("kind"), "n").where(F.col("kind").rlike(r"[\p{L}\p{N}]"))
+    dotted = F.col("kind").endswith(".")
+    times = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return kind.groupBy(bare(F.col("kind")).alias("type")).agg(times(dotted).alias("dotted"), times(~dotted).alias("plain"))
 
 
 def abbreviations(counted: DataFrame) -> DataFrame:
@@ -92,15 +94,21 @@ def _cuts(tokens: Column, known: Column, starters: Column | None) -> Column:
     return F.transform(tokens, ends)
 
 
-def sentence_starters(docs: DataFrame, text: str, counted: DataFrame, known: DataFrame) -> DataFrame:
-    """(type, starts, n, score) of the types that follow sure ends of sentences far more than chance."""
+def followers(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """(token, n): how often each token follows a sure end of a sentence."""
     row = _as_map(known, "known")
     said = docs.select(words(F.coalesce(F.col(text), F.lit(""))).alias("ws")).crossJoin(F.broadcast(row))
-    behind = F.arrays_zip("ws", _cuts(F.col("ws"), F.col("known"), None).alias("cut"))
-    follow = said.select("ws", F.posexplode(behind).alias("i", "x")).where("x.cut").select(F.get("ws", F.col("i") + 1).alias("token")).where("token is not null")
-    starts = follow.select(bare(type_of(F.col("token"))).alias("type")).where(F.col("type").rlike(r"^\p{L}"))
-    starts = starts.groupBy("type").agg(F.count("*").alias("starts"))
-    totals = counted.agg(F.sum(F.col("dotted") + F.col("plain")).cast("double").alias("total")).crossJoin(F.broadcast(follow.agg(F.count("*").cast("double").alias("breaks"))))
+    # each token beside the cut before it; only those behind a cut leave the row
+    behind = F.zip_with(F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), _cuts(F.col("ws"), F.col("known"), None), lambda t, c: F.when(c, t))
+    return said.select(F.explode(F.filter(behind, lambda t: t.isNotNull())).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def sentence_starters(docs: DataFrame, text: str, counted: DataFrame, known: DataFrame, keep=lambda df: df) -> DataFrame:
+    """(type, starts, n, score) of the types that follow sure ends of sentences far more than chance. keep stores a frame that is read twice."""
+    follow = keep(followers(docs, text, known))
+    starts = follow.select(bare(type_of(F.col("token"))).alias("type"), F.col("n").alias("times")).where(F.col("type").rlike(r"^\p{L}"))
+    starts = starts.groupBy("type").agg(F.sum("times").alias("starts"))
+    totals = counted.agg(F.sum(F.col("dotted") + F.col("plain")).cast("double").alias("total")).crossJoin(F.broadcast(follow.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("breaks"))))
     rows = starts.join(counted.select("type", (F.col("dotted") + F.col("plain")).alias("n")), "type").crossJoin(F.broadcast(totals))
     both, b, a, total = F.col("starts"), F.col("n"), F.col("breaks"), F.col("total")
     part = lambda k, of, p: F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(of > k, (of - k) * F.log(1 - p)).otherwise(0.0)
@@ -112,8 +120,8 @@ def sentence_starters(docs: DataFrame, text: str, counted: DataFrame, known: Dat
 def learn(docs: DataFrame, text: str = "text", keep=lambda df: df) -> Learnt:
     """keep stores frames that are read more than once."""
     counted = keep(types(docs, text))
-    known = keep(_checked(abbreviations(counted)))
-    starters = keep(_checked(sentence_starters(docs, text, counted, known)))
+    known = _checked(keep(abbreviations(counted)))
+    starters = _checked(keep(sentence_starters(docs, text, counted, known, keep)))
     return Learnt(_as_map(known, "_known").crossJoin(F.broadcast(_as_map(starters, "_starters"))))
 
 

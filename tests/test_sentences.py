@@ -119,3 +119,16 @@ def test_chunks_end_where_sentences_do(spark):
     learnt = sentences.learn(spark.createDataFrame([(t,) for t in STORY], "text string"))
     rows = sentences.chunk_documents(docs, learnt, "text", "source_id").orderBy("chunk_no").collect()
     assert len(rows) > 2 and all(r.chunk_text.startswith("Dr. Smith") and r.chunk_text.endswith("outside.") for r in rows)
+
+
+def test_texts_are_read_twice_to_learn(spark):
+    """Once for the types, once for what follows sure ends; before, the starters' frame was computed twice, and twice within."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        read.add(1)
+        return t
+
+    docs = spark.createDataFrame([(t,) for t in STORY], "text string").select(F.udf(seen, "string")("text").alias("text"))
+    sentences.learn(docs, keep=stored(spark))
+    assert read.value <= 2 * len(STORY)
