@@ -279,3 +279,28 @@ def test_items_are_found_in_one_scan(spark):
     items = spark.createDataFrame([(1, "two"), (2, "e two t"), (3, None), (4, ""), (5, "four")], "query_id int, item string")
     got = sorted((r.query_id, r.doc_id) for r in keyword.holding(docs, items, "doc_id").collect())
     assert got == [(1, 1), (1, 3), (2, 1), (4, 1), (4, 3), (4, 4)]
+
+
+def test_passages_meet_only_texts_with_their_longest_word(spark):
+    """All items met all texts in a nested loop before."""
+    docs, _ = corpus(spark)
+    texts = {r.chunk_id: r.text for r in docs.collect()}
+    rng = random.Random(5)
+    items = [(i, t[a : a + rng.randint(1, 40)]) for i, t in enumerate(rng.sample([t for t in texts.values() if t], 60)) for a in [rng.randint(0, max(0, len(t) - 5))]] + [(90, "a\tb  c"), (91, None), (92, " ")]
+    found = keyword.holding(docs, spark.createDataFrame(items, "query_id int, item string"))
+    got = sorted((r.query_id, r.chunk_id) for r in found.collect())
+    assert got == sorted((q, k) for q, i in items for k, t in texts.items() if i is not None and t is not None and i in t)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_own_directions_are_drawn_once(spark, monkeypatch):
+    """Beyond 20,000 words all that a worker had drawn was thrown away again and again."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(1_000)) for i in range(22)]
+    encode = encoder.encoder(encoder.Model([], np.zeros(0), np.zeros((0, encoder.WIDTH), np.float32)), spark)
+    drawn, crc = [], encoder.zlib.crc32
+    monkeypatch.setattr(encoder.zlib, "crc32", lambda b: (drawn.append(1), crc(b))[1])
+    first = [encode([t]) for t in texts]
+    assert all(np.array_equal(encode([t]), f) for t, f in zip(texts, first, strict=True)) and len(drawn) == 22_000
+    assert not encode([None, " "]).any()
+    want = sum(encoder.direction(w, encoder.OWN) for w in texts[0].split())
+    assert np.allclose(first[0][0, encoder.WIDTH :], want / np.linalg.norm(want), atol=1e-5)
