@@ -188,5 +188,16 @@ def holding(docs: DataFrame, items: DataFrame, key: str = "chunk_id", text: str
     """The rows of `containing` without an index: items, MOST_BROADCAST at most, go to the texts, which are read once and not shuffled."""
     if items.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
         raise ValueError(f"more than {MOST_BROADCAST} items: use containing")
+    # whole words of an item, all but its first and last, are words of a text that contains it: its longest says which texts to compare
+    ws = words(F.col(item))
+    inner = F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0)))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("minus"), w.alias("word")))), 1)["word"]
+    named = items.withColumn("_word", F.when(F.size(inner) > 0, longest))
+    asked = named.agg(F.collect_set("_word").alias("_asked"))  # MOST_BROADCAST words at most
     body = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return body.join(F.broadcast(items), F.expr(f"contains(_text, `{item}`)")).select(*items.columns, F.col("_key").alias(key))
+    some = body.crossJoin(F.broadcast(asked)).withColumn("_have", F.array_intersect(words(F.col("_text")), "_asked")).drop("_asked")
+    texts = some.where(F.size("_have") > 0).select("_key", "_text", F.explode("_have").alias("_word"))
+    inside = F.expr(f"contains(_text, `{item}`)")
+    long = texts.join(F.broadcast(named.where("_word is not null")), "_word").where(inside)
+    short = body.join(F.broadcast(named.where(F.col("_word").isNull())), inside)
+    return long.select(*items.columns, F.col("_key").alias(key)).unionByName(short.select(*items.columns, F.col("_key").alias(key)))
