@@ -16,8 +16,8 @@ AT_ONCE, SPARE = 1_024, 500_000
 NEAR = 1e-9
 
 
-def units(vectors: pa.Array) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """By width: which vectors have it, and these at length one; and of each vector its width (-1 without a direction)."""
+def units(vectors: pa.Array, ready: bool = False) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """By width: which vectors have it, and these at length one; and of each vector its width (-1 without a direction). ready: all are at length one."""
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     width = np.array(vectors.value_lengths().fill_null(-1), np.int64)
     flat = vectors.flatten()
@@ -32,6 +32,9 @@ def units(vectors: pa.Array) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]],
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         x = data[(ends[rows] - w)[:, None] + np.arange(w)[None, :]]
+        if ready:
+            out[w] = (rows, x)
+            continue
         length = np.zeros(len(x))
         for d in range(w):
             length = length + x[:, d] * x[:, d]
@@ -46,11 +49,14 @@ def units(vectors: pa.Array) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]],
 class Best:
     """The candidates of queries (id, vector, kind) among the rows (key, vector, kind) met so far."""
 
+    #: Whether vectors come at length one.
+    READY = False
+
     def __init__(self, queries: pa.Table, n: int, may: set | None, digits: int):
         self.n, self.may, self.scale = n, may, 10.0**digits
         queries = queries.combine_chunks()
         self.ids = queries.column(0).combine_chunks()
-        self.vectors, _ = units(queries.column(1))
+        self.vectors, _ = units(queries.column(1), self.READY)
         self.kind = queries.column(2).to_numpy()
         # of each query, a rounded score that n rows are sure to reach
         self.least = np.full(len(self.ids), -1.0)
@@ -63,7 +69,7 @@ class Best:
             self._meet(batch.slice(at, AT_ONCE))
 
     def _meet(self, part: pa.RecordBatch) -> None:
-        vectors, _ = units(part.column(1))
+        vectors, _ = units(part.column(1), self.READY)
         rows, asked = part.num_rows, len(self.ids)
         if not asked:
             return
@@ -75,11 +81,7 @@ class Best:
                     score[np.ix_(i, j)] = q @ x.T
         score = np.where(np.isnan(score), 1.0, score)
         np.clip(score, 0.0, 1.0, out=score)
-        if self.may is not None:
-            mine, a = np.unique(part.column(2).to_numpy(), return_inverse=True)
-            theirs, b = np.unique(self.kind, return_inverse=True)
-            allowed = np.array([[(int(m), int(t)) in self.may for m in mine] for t in theirs])
-            score[~allowed[b][:, a]] = -1.0
+        self._forbid(score, part)
         if self.count == 0 and rows > self.n:
             self._raise(np.partition(score, rows - self.n, axis=1)[:, rows - self.n])
         i, j = np.nonzero(score * self.scale >= np.where(self.least < 0, -0.5, self.least - 0.5 - 2 * NEAR * self.scale)[:, None])
@@ -93,6 +95,14 @@ class Best:
         if self.count > 4 * self.n * asked + SPARE or len(self.held) == 1:
             self._prune()
 
+    def _forbid(self, score: np.ndarray, part: pa.RecordBatch) -> None:
+        """Scores below all others for the pairs that may not meet."""
+        if self.may is not None:
+            mine, a = np.unique(part.column(2).to_numpy(), return_inverse=True)
+            theirs, b = np.unique(self.kind, return_inverse=True)
+            allowed = np.array([[(int(m), int(t)) in self.may for m in mine] for t in theirs])
+            score[~allowed[b][:, a]] = -1.0
+
     def _raise(self, nth: np.ndarray) -> None:
         self.least = np.maximum(self.least, np.where(nth < 0, -1.0, np.floor(nth * self.scale + 0.5 - NEAR * self.scale)))
 
@@ -152,6 +162,33 @@ class Best:
         return pa.Table.from_arrays([self.ids.take(pa.array(i)), self.keys[0].take(pa.array(at)), pa.array(score)], names=names)
 
 
+class Probes(Best):
+    """The candidates of queries (id, vector, kind, cells, least) among the rows (key, vector, kind, cell): a query meets the rows of its
+    cells and of its kind only. least: a rounded score that n rows, met elsewhere, reach. Vectors come at length one."""
+
+    READY = True
+
+    def __init__(self, queries: pa.Table, n: int, digits: int):
+        super().__init__(queries, n, None, digits)
+        asked = queries.column(3).combine_chunks()
+        cell = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.probed = np.zeros((len(asked), int(cell.max(initial=-1)) + 2), bool)  # the last column is for all other cells
+        self.probed[np.repeat(np.arange(len(asked)), np.array(asked.value_lengths(), np.int64)), cell] = True
+        self.probed[:, -1] = False
+        least = queries.column(4).fill_null(-1.0).to_numpy()
+        self.least = np.where(least < 0, -1.0, np.floor(least * self.scale + 0.5))
+
+    def _meet(self, part: pa.RecordBatch) -> None:
+        if self.probed[:, self._cells(part)].any():
+            super()._meet(part)
+
+    def _cells(self, part: pa.RecordBatch) -> np.ndarray:
+        return np.minimum(part.column(3).to_numpy().astype(np.int64), self.probed.shape[1] - 1)
+
+    def _forbid(self, score: np.ndarray, part: pa.RecordBatch) -> None:
+        score[~self.probed[:, self._cells(part)] | (self.kind[:, None] != part.column(2).to_numpy()[None, :])] = -1.0
+
+
 class Sums(Best):
     """The candidates of queries, weights (query, term, w), among the rows (key, words) met so far, by sums of w times a term's impact."""
 

@@ -104,6 +104,26 @@ def test_cells_with_a_filter(spark, tmp_path, capsys):
     assert "PartitionFilters: [" in plan and "method" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_cells_in_blocks_and_shelves(spark, tmp_path, monkeypatch):
+    rows, asked = clustered(spark)
+    same = spark.range(300).select(F.concat(F.lit("s"), F.col("id")).alias("chunk_id"), F.lit("a").alias("method"), F.array(*[F.lit(float(i % 3)) for i in range(16)]).alias("embedding"))
+    rows = rows.where("chunk_id not in ('zero', 'none')").unionByName(same)
+    asked = asked.unionByName(same.where("chunk_id rlike '7$'").withColumnRenamed("chunk_id", "query_id"))
+    index = cells.build(rows, str(tmp_path / "few"), cells=12)
+    # folders of cells with eight files each are not made for a few rows
+    assert len(list((tmp_path / "few" / "vectors").rglob("*.parquet"))) <= 3
+    monkeypatch.setattr(cells, "SHELF", 90)
+    index = cells.build(rows, str(tmp_path / "many"), cells=12)
+    assert index.centroids.where("shelves > 1").count() and index.vectors.select("shelf").distinct().count() > 12
+    want = ranked(retrieve.cosine_top(rows.select("chunk_id", "embedding"), asked.select("query_id", "embedding"), 10))
+    alike = ranked(retrieve.cosine_top(rows, asked, 10, match=F.col("method") == F.col("q_method")))
+    for most in (2_000, 20):
+        monkeypatch.setattr(cells, "MOST_BROADCAST", most)
+        monkeypatch.setattr(cells, "QUERY_BLOCK", 60)
+        assert ranked(cells.search(index, asked, 10, probes=1, exact=True, keep=stored(spark))) == want
+        assert ranked(cells.search(index, asked, 10, probes=1, match={"method": "method"}, exact=True, keep=stored(spark))) == alike
+
+
 def test_cells_of_no_vectors(spark, tmp_path):
     rows, asked = clustered(spark)
     index = cells.build(rows.limit(0), str(tmp_path / "cells"))
