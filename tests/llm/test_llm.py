@@ -490,6 +490,21 @@ def test_buckets_of_passages(texts, hot, monkeypatch):
     assert split_parts(join_parts([b"a", b"", b"xyz"])) == [b"a", b"", b"xyz"]
 
 
+def test_two_hops_leave_one_copy_of_replies(docs, monkeypatch):
+    """Beyond WIDE blocks messages are not written on their way, and replies not kept twice; 6 GB of texts (2,600 blocks) go in one hop."""
+    from millrace.llm import blocks, repeats
+
+    assert 2_600 * 1_300 <= blocks.WIDE * blocks.WIDE
+    made, gone = [], []
+    monkeypatch.setattr(blocks, "WIDE", 1)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 20_000)
+    monkeypatch.setattr(blocks, "stored", lambda df, tag, real=blocks.stored: made.append(tag) or real(df, tag))
+    monkeypatch.setattr(blocks, "dropped", lambda *t, real=blocks.dropped: gone.extend(x._stored_at.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in t) or real(*t))
+    assert repeats.without_passages(docs).where("n_removed > 0").count()
+    assert made == ["passages", "minimizers", "minimizers-back", "minimizers-figures", "intervals", "intervals-back", "intervals-figures"]
+    assert gone == ["minimizers", "intervals"]
+
+
 def test_two_hops_give_the_same(docs, texts, monkeypatch):
     """Messages in two hops, as beyond WIDE blocks."""
     from millrace.llm import blocks
