@@ -31,6 +31,8 @@ PAGE, FOLDERS = 64, 32
 SEEDS, TRIED = 64, 4
 #: Shares of the bound, 1 at most: a stage ends where what later terms could add is below it.
 CUTS = (1.0, 0.9, 0.8, 0.7, 0.5)
+#: Lookups (query, text, term) that are broadcast to the blocks; with more, the blocks of their terms are shuffled.
+MOST_LOOKED_UP = 500_000
 #: Scores are compared after rounding; what could round up to the bound stays.
 SLACK = 2e-6
 
@@ -58,9 +60,12 @@ def build(docs: DataFrame, path: str, key: str = "chunk_id", text: str = "text")
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (avgdl or 1.0)))
     entry = F.struct(F.col(key).alias("key"), impact.alias("impact"))
     page = F.pmod(F.xxhash64(key), F.lit(pages)).cast("int")
-    blocks = rows.groupBy("term", page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("e"))  # a page of texts at most
-    blocks = blocks.select("term", "page", F.col("e.key").alias("keys"), F.col("e.impact").alias("impacts"), F.array_max("e.impact").alias("most"), F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int").alias("folder"))
-    blocks.repartition("folder", "page").sortWithinPartitions("folder", "term", "page").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
+    folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
+    # dealt as they are written, so that postings are shuffled once for their blocks
+    dealt = rows.select("term", page.alias("page"), folder.alias("folder"), entry.alias("e")).repartition("folder", "page")
+    blocks = dealt.groupBy("folder", "page", "term").agg(F.sort_array(F.collect_list("e")).alias("e"))  # a page of texts at most
+    blocks = blocks.select("term", "page", F.col("e.key").alias("keys"), F.col("e.impact").alias("impacts"), F.array_max("e.impact").alias("most"), "folder")
+    blocks.sortWithinPartitions("folder", "term", "page").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
     held = rows.groupBy("term").agg(F.count("*").alias("df"), F.max(impact).alias("most"))
     idf_of(held.select("term", "df"), n_docs).join(held, "term").write.mode("overwrite").parquet(f"{path}/terms")
     return open_blocks(spark, path)
@@ -98,7 +103,13 @@ def looked_up(index: Blocks, texts: DataFrame, terms: DataFrame, query: str) ->
     page = F.pmod(F.xxhash64("key"), F.lit(index.pages)).cast("int")
     asked = texts.select(query, "key", page.alias("page")).join(terms.select(query, "term", "w"), query)
     at = F.array_position("keys", F.col("key"))
-    hit = index.blocks.join(asked, ["term", "page"]).where(at > 0)
+    # only blocks of these terms can be asked, and few questions go to the blocks
+    wanted = terms.select("term").distinct()
+    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        wanted = F.broadcast(wanted)
+    if asked.limit(MOST_LOOKED_UP + 1).count() <= MOST_LOOKED_UP:
+        asked = F.broadcast(asked)
+    hit = index.blocks.join(wanted, "term", "left_semi").join(asked, ["term", "page"]).where(at > 0)
     return hit.select(query, "key", (F.col("w") * F.element_at("impacts", at.cast("int"))).alias("x")).groupBy(query, "key").agg(F.sum("x").alias("more"), F.count("*").alias("hits"))
 
 

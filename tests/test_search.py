@@ -54,6 +54,29 @@ def test_containing(spark, tmp_path):
     assert got == [(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (5, "d")]
 
 
+def test_few_lookups_do_not_shuffle_the_blocks(spark, tmp_path, monkeypatch, capsys):
+    docs, asked = corpus(spark)
+    index = keyword.build(docs, str(tmp_path / "index"))
+    terms = keyword.weighted(index, asked, "query_id", "text")
+    texts = keyword.found(index, terms, "query_id").select("query_id", "key", "part")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = stored(spark)(texts)
+        few = keyword.looked_up(index, texts, stored(spark)(terms), "query_id")
+        few.explain()
+        plan = capsys.readouterr().out
+        few = {tuple(r)[:2]: (round(r.more, 9), r.hits) for r in few.collect()}
+        monkeypatch.setattr(keyword, "MOST_LOOKED_UP", 0)
+        many = {tuple(r)[:2]: (round(r.more, 9), r.hits) for r in keyword.looked_up(index, texts, terms, "query_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.splitlines()
+    first = next(i for i, line in enumerate(lines) if "folder" in line and "Scan parquet" in line)
+    above = [line for line in lines[:first] if "SortMergeJoin" in line]
+    assert few and few == many and not above
+
+
 def test_share_of_postings_read(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     asked = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").withColumnRenamed("item_id", "query_id")
