@@ -155,11 +155,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or more than `most`: bit vectors as long integers, after common ends are cut."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    n = min(len(a), len(b))
-    i = _common(a, b, n)
-    a, b = a[i:], b[i:]
-    j = _common(a[::-1], b[::-1], n - i)
-    a, b = a[: len(a) - j], b[: len(b) - j]
+    a, b = unlike(a, b)
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
@@ -167,7 +163,13 @@ def edit_distance(a: str, b: str, most: int) -> int:
         where[c] = where.get(c, 0) | 1 << k
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, d = full, 0, len(a)
+    pause = max(LOOK, most // 4)
+    look = most + pause
     for k, c in enumerate(b):
+        if k == look:
+            if least_end(up, down, len(a), k, len(b) - k) > most:
+                return most + 1
+            look += pause
         eq = where.get(c, 0)
         flat = (((eq & up) + up) ^ up) | eq | down
         rise = down | (full & ~(flat | up))
@@ -182,6 +184,28 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return d
 
 
+#: Characters between two looks at whether the limit can still be met.
+LOOK = 32
+
+
+def least_end(up: int, down: int, n: int, k: int, rest: int) -> int:
+    """A bound of the distance after k characters of the other line, `rest` before its end: it goes on from some
+    place of the n, whose distance the bits give, and what is left of the two may differ in length."""
+    one, two = (np.unpackbits(np.frombuffer(x.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little").view(np.int8) for x in (up, down))
+    here = np.zeros(n + 1, np.int64)
+    np.cumsum(one - two, out=here[1:])
+    return k + int((here + np.abs(n - rest - np.arange(n + 1))).min())
+
+
+def unlike(a: str, b: str) -> tuple[str, str]:
+    """The two without their common start and end."""
+    n = min(len(a), len(b))
+    i = _common(a, b, n)
+    a, b = a[i:], b[i:]
+    j = _common(a[::-1], b[::-1], n - i)
+    return a[: len(a) - j], b[: len(b) - j]
+
+
 def _common(a: str, b: str, n: int) -> int:
     """Length of the common start, by halving."""
     low, high = 0, n
@@ -194,6 +218,8 @@ def _common(a: str, b: str, n: int) -> int:
 #: Three-character strings are counted in PROFILE cells. One edit moves a profile by 2 * 3 at most; no smaller
 #: number is sure, whatever words two lines share, so that LIKELY is the same.
 PROFILE, AT_ONCE = 1_024, 4_096
+#: Pairs whose profiles are held at once.
+PROFILED = 1_024
 SURELY = LIKELY = 6
 
 
@@ -233,26 +259,31 @@ def at_most(x: str, y: str, most: int) -> int:
 
 
 def similar_pairs(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, percent: int, moves: int = SURELY) -> np.ndarray:
-    """Which of the pairs (xs[i], ys[j]) have the edit similarity; lengths and profiles rule out most of the others."""
+    """Which of the pairs (xs[i], ys[j]) have the edit similarity."""
+    out, left, most = settled(xs, ys, i, j, percent, moves)
+    out[left] = within(xs, ys, i[left], j[left], most)
+    return out
+
+
+def settled(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, percent: int, moves: int = SURELY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which of the pairs are sure to have the similarity, which may have it, with how many edits): lengths and profiles rule out most of the others."""
     out = np.zeros(len(i), bool)
     nx, ny = (np.array([len(v) for v in side], np.int64) for side in (xs, ys))
     most = np.maximum(nx[i], ny[j]) * (100 - percent) // 100
     left = np.flatnonzero(np.abs(nx[i] - ny[j]) <= most)
-    if not len(left):
-        return out
-    px, px_at = _profiled(xs, i[left])
-    py, py_at = _profiled(ys, j[left])
     near = np.zeros(len(left), bool)
-    for at in range(0, len(left), 256):
-        some = slice(at, at + 256)
-        near[some] = np.abs(px[px_at[some]] - py[py_at[some]]).sum(axis=1) <= moves * most[left[some]]
+    for at in range(0, len(left), PROFILED):
+        some = left[at : at + PROFILED]
+        px, px_at = _profiled(xs, i[some])
+        py, py_at = _profiled(ys, j[some])
+        for k in range(0, len(some), 256):
+            near[at + k : at + k + 256] = np.abs(px[px_at[k : k + 256]] - py[py_at[k : k + 256]]).sum(axis=1) <= moves * most[some[k : k + 256]]
     left = left[near]
-    # long lines that differ by words are mostly settled by aligning them
-    sure = np.array([max(nx[i[n]], ny[j[n]]) > ALIGNED and at_most(xs[i[n]], ys[j[n]], int(most[n])) <= most[n] for n in left], bool)
+    # lines that differ by words are mostly settled by aligning them
+    sure = np.array([at_most(xs[i[n]], ys[j[n]], int(most[n])) <= most[n] for n in left], bool)
     out[left[sure]] = True
     left = left[~sure]
-    out[left] = within(xs, ys, i[left], j[left], most[left])
-    return out
+    return out, left, most[left]
 
 
 def _profiled(lines: list[str], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,35 +292,30 @@ def _profiled(lines: list[str], which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return profiles([lines[k] for k in u]), at
 
 
-#: Numbers that the tables of one batch of pairs hold, about, and pairs of a batch at most.
-CELLS, PAIRS_AT_ONCE = 2_000_000, 2_048
-#: Pairs for each 64 characters below which a batch is compared pair by pair.
+#: Numbers that the tables of one batch of pairs hold, about, and those of one step of it at most.
+CELLS, STEP = 2_000_000, 8_192
+#: Pairs of like length below which they are compared one by one.
 FEW = 16
-#: Characters beyond which two lines are aligned by words first.
-ALIGNED = 128
 
 
 def within(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Which of the pairs (xs[i], ys[j]) have an edit distance of `most` or less: many pairs of like length at once."""
-    out = np.zeros(len(i), bool)
-    used = np.unique(np.concatenate([i, j + len(xs)])) if len(i) else np.zeros(0, np.int64)
-    code = {k: np.frombuffer((xs[k] if k < len(xs) else ys[k - len(xs)]).encode("utf-32-le", "surrogatepass"), "<u4") for k in used.tolist()}
-    one, two = [code[k] for k in i.tolist()], [code[k] for k in (j + len(xs)).tolist()]
-    longer = np.array([max(len(a), len(b)) for a, b in zip(one, two, strict=True)], np.int64)
-    order = np.argsort(longer, kind="stable")
-    at = 0
+    pairs = [unlike(xs[a], ys[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    longer = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
+    out = longer <= most
+    order = np.flatnonzero(~out & np.array([len(x) > 0 and len(y) > 0 for x, y in pairs], bool))
+    order = order[np.argsort(longer[order], kind="stable")]
+    size, at = longer[order], 0
     while at < len(order):
         # tables are as wide as the longest of a batch
-        to = min(at + PAIRS_AT_ONCE, len(order))
-        while to > at + 1 and (to - at) * longer[order[to - 1]] > CELLS:
-            to = at + (to - at) // 2
+        to = int(np.searchsorted(size, size[at] + size[at] // 4 + 32, "right"))
+        to = min(to, at + max(1, STEP * 64 // int(size[to - 1])))
         some = order[at:to]
-        if len(some) >= FEW * (int(longer[some[-1]]) // 64 + 1):
-            out[some] = _distances([one[k] for k in some], [two[k] for k in some], most[some]) <= most[some]
+        if len(some) >= FEW:
+            one, two = ([np.frombuffer(pairs[k][side].encode("utf-32-le", "surrogatepass"), "<u4") for k in some] for side in (0, 1))
+            out[some] = _distances(one, two, most[some]) <= most[some]
         else:
-            for k in some:
-                x, y, m = xs[i[k]], ys[j[k]], int(most[k])
-                out[k] = at_most(x, y, m) <= m or edit_distance(x, y, m) <= m
+            out[some] = [edit_distance(*pairs[k], int(most[k])) <= most[k] for k in some]
         at = to
     return out
 
@@ -303,99 +329,132 @@ def _table(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distances(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of the pairs, or more than `most`: bit vectors of 64 places, a row of numbers for each."""
-    b, nb = _table(ys)
-    order = np.argsort(-nb, kind="stable")  # pairs that still have characters stand first
-    b, nb = b[order], nb[order]
-    a, na = _table([xs[k] for k in order])
-    words = max(1, -(-a.shape[1] // 64))
+    """Levenshtein distances of the pairs, or more than `most`: bit vectors of 64 places, each a character behind
+    the one before it, so that one step moves all of all pairs."""
+    a, na = _table(xs)
+    words, pairs = max(1, -(-a.shape[1] // 64)), len(xs)
     known, codes = np.unique(a, return_inverse=True)  # 0 fills up and is a code as well, whose bits stand behind the end
     codes = codes.reshape(a.shape)
-    out = np.where(nb == 0, na, nb + na)
-    d, last = na.copy(), np.zeros((words, len(a)), np.uint64)
-    full = np.flatnonzero(na)
-    last[(na[full] - 1) // 64, full] = _ONE << ((na[full] - 1) % 64).astype(np.uint64)
-    out[na == 0] = nb[na == 0]
-    up, down = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
-    limit, who = most[order], np.arange(len(a))
+    many = max(1, CELLS // ((len(known) + 1) * words))
+    if many < pairs:
+        return np.concatenate([_distances(xs[at : at + many], ys[at : at + many], most[at : at + many]) for at in range(0, pairs, many)])
+    b, nb = _table(ys)
+    out = np.where(na == 0, nb, na)
     # the bits of each pair's characters, by (word, character, pair)
-    step = max(1, CELLS // max(1, len(known) * words))
-    if step < len(a):
-        parts = [_distances([xs[k] for k in order[s : s + step]], [ys[k] for k in order[s : s + step]], most[order[s : s + step]]) for s in range(0, len(a), step)]
-        back = np.empty(len(a), np.int64)
-        back[order] = np.concatenate(parts)
-        return back
-    where = np.zeros((words, len(known) + 1, len(a)), np.uint64)
+    where = np.zeros((words, len(known) + 1, pairs), np.uint64)
     for k in range(a.shape[1]):
         n = np.flatnonzero(na > k)
         where[k // 64, codes[n, k], n] |= _ONE << np.uint64(k % 64)
+    width = where.shape[1] * pairs
     spot = np.searchsorted(known, b)
     said = known[np.minimum(spot, len(known) - 1)] == b if len(known) else np.zeros(b.shape, bool)
     spot = np.where(said, spot, len(known))
-    top, one = np.uint64(63), _ONE
-    for k in range(b.shape[1]):
-        if k % 16 == 0:
-            # a distance falls by one a character at most; pairs that cannot come down to the limit leave
-            stay = (nb[who] > k) & (d[who] - (nb[who] - k) <= limit[who]) & (na[who] > 0)
-            lost = who[(nb[who] > k) & ~stay & (na[who] > 0)]
-            out[lost] = limit[lost] + 1
-            nb[lost] = 0
-            who = who[stay]
+    # row words + k: the k-th characters; a word reads the rows from its own upwards
+    read = np.full((b.shape[1] + 2 * words, pairs), len(known) * pairs, np.int64)
+    read[words : words + b.shape[1]] = spot.T * pairs
+    where = where.reshape(-1)
+    of = np.arange(words)[:, None] * width + np.arange(pairs)[None, :]
+    up, down = np.full((words, pairs), ~np.uint64(0)), np.zeros((words, pairs), np.uint64)
+    edge = np.repeat(64 * np.arange(1, words + 1)[:, None], pairs, axis=1)  # distances at the last place of each word
+    rise_in, fall_in = np.ones((words, pairs), np.uint64), np.zeros((words, pairs), np.uint64)
+    top, who = np.uint64(63), np.arange(pairs)
+    last = np.maximum(na - 1, 0) // 64
+    behind = np.where(na % 64 > 0, ~np.uint64(0) << (na % 64).astype(np.uint64), np.uint64(0))
+    end = np.where((na > 0) & (nb > 0), nb - 1 + last, -1)
+    for t in range(int(end.max(initial=-1)) + 1):
+        if t % LOOK == 0:
+            stay = end[who] >= t
+            if t and words > 2:
+                low = least_ends(edge, t - np.arange(words), na[who], nb[who]) if t >= words else np.zeros(len(who), np.int64)
+                lost = stay & (low > most[who])
+                out[who[lost]] = most[who[lost]] + 1
+                end[who[lost]] = -1
+                stay &= ~lost
+            if not stay.all():
+                who = who[stay]
+                read, of, up, down, edge, rise_in, fall_in = (np.ascontiguousarray(x[:, stay]) for x in (read, of, up, down, edge, rise_in, fall_in))
             if not len(who):
                 break
-            dense_up, dense_down = up[:, who], down[:, who]
-            dense_last, dense_d = last[:, who], d[who]
-        live = int(np.searchsorted(-nb[who], -k, "left"))
-        if not live:
-            break
-        w, rise_in, fall_in = who[:live], one, np.uint64(0)
-        for v in range(words):
-            eq = where[v, spot[w, k], w]
-            pv, mv = dense_up[v, :live], dense_down[v, :live]
-            flat = eq | mv
-            eq = eq | fall_in
-            h = (((eq & pv) + pv) ^ pv) | eq
-            rise, fall = mv | ~(h | pv), pv & h
-            mark = dense_last[v, :live]
-            dense_d[:live] += ((rise & mark) != 0).astype(np.int64) - ((fall & mark) != 0)
-            rise_out, fall_out = rise >> top, fall >> top
-            rise, fall = (rise << one) | rise_in, (fall << one) | fall_in
-            dense_up[v, :live], dense_down[v, :live] = fall | ~(flat | rise), rise & flat
-            rise_in, fall_in = rise_out, fall_out
-        d[w] = dense_d[:live]
-        done = w[nb[w] == k + 1]
-        out[done] = d[done]
-        if k % 16 == 15:
-            up[:, who], down[:, who] = dense_up, dense_down
-    back = np.empty(len(a), np.int64)
-    back[order] = out
-    return back
+            ends = end[who]
+            finish = set(ends.tolist())
+        v = min(t + 1, words)
+        mv, pv, ri, fi = down[:v], up[:v], rise_in[:v], fall_in[:v]
+        eq = where.take(read[words + t - v + 1 : words + t + 1][::-1] + of[:v])
+        flat = eq | mv
+        eq |= fi
+        h = (((eq & pv) + pv) ^ pv) | eq
+        rise, fall = mv | ~(h | pv), pv & h
+        rise_out, fall_out = rise >> top, fall >> top
+        edge[:v] += rise_out.view(np.int64) - fall_out.view(np.int64)
+        rise, fall = (rise << _ONE) | ri, (fall << _ONE) | fi
+        up[:v], down[:v] = fall | ~(flat | rise), rise & flat
+        rise_in[1 : v + 1], fall_in[1 : v + 1] = rise_out[: words - 1], fall_out[: words - 1]
+        if t in finish:
+            done = np.flatnonzero(ends == t)
+            at = last[who[done]]
+            rest = behind[who[done]]
+            out[who[done]] = edge[at, done] - np.bitwise_count(up[at, done] & rest) + np.bitwise_count(down[at, done] & rest)
+    return out
+
+
+def least_ends(edge: np.ndarray, k: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """least_end of many pairs, from distances at the end of each word of places, k characters on by word: between two
+    ends they fall by half of what the places allow. Words are a character apart, for which two are taken off."""
+    low = 64 * np.arange(len(edge))[:, None]
+    before = np.concatenate([np.broadcast_to(k[:1, None], (1, len(n))), edge[:-1]])
+    even = n[None, :] - size[None, :] + k[:, None]
+    off = np.maximum(0, np.maximum(low - even, even - np.minimum(low + 64, n[None, :])))
+    bound = (before + edge - 63) // 2 + off - 2
+    return np.where(low <= n[None, :], bound, np.iinfo(np.int32).max).min(axis=0)
 
 
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
     """Of (a, b, x, y) the (a, b) with edit similarity 1 - distance / longer length of percent / 100 or more."""
 
+    def compared(held: list[tuple[pa.RecordBatch, np.ndarray]]) -> list[pa.RecordBatch]:
+        rows, most = pa.Table.from_batches([h[0] for h in held]).combine_chunks(), np.concatenate([h[1] for h in held])
+        every = np.arange(len(most))
+        keep = within(rows.column(2).to_pylist(), rows.column(3).to_pylist(), every, every, most)
+        return rows.select([0, 1]).filter(pa.array(keep)).to_batches()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
                 every = np.arange(part.num_rows)
-                keep = similar_pairs(part.column(2).to_pylist(), part.column(3).to_pylist(), every, every, percent)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                sure, left, most = settled(part.column(2).to_pylist(), part.column(3).to_pylist(), every, every, percent)
+                yield part.select([0, 1]).filter(pa.array(sure))
+                held.append((part.take(pa.array(left)), most))
+                if sum(len(h[1]) for h in held) > AT_ONCE:
+                    yield from compared(held)
+                    held = []
+        if held:
+            yield from compared(held)
 
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
 def close_lines(xs: list[dict], ys: list[dict], apart: np.ndarray, percent: int) -> np.ndarray:
     """Which of the pairs `apart` of lines xs and ys (sim, x) are within DISTANCE bits and have the edit similarity."""
-    a, b = (np.array([v["sim"] for v in side], np.int64).view(np.uint64) for side in (xs, ys))
-    near = apart & (np.bitwise_count(a[:, None] ^ b[None, :]) <= DISTANCE)
-    if not near.any():
-        return near
-    left, right = [v["x"] for v in xs], [v["x"] for v in ys]
-    i, j = np.nonzero(near)
-    near[i, j] = similar_pairs(left, right, i, j, percent)
-    return near
+    return close_cells([(xs, ys, apart)], percent)[0]
+
+
+def close_cells(cells: list[tuple[list[dict], list[dict], np.ndarray]], percent: int) -> list[np.ndarray]:
+    """close_lines of many cells, their pairs verified together."""
+    out, left, right, pairs = [], [], [], []
+    for xs, ys, apart in cells:
+        a, b = (np.array([v["sim"] for v in side], np.int64).view(np.uint64) for side in (xs, ys))
+        near = apart & (np.bitwise_count(a[:, None] ^ b[None, :]) <= DISTANCE)
+        pairs.append(np.argwhere(near) + [len(left), len(right)])
+        out.append(near)
+        left += [v["x"] for v in xs]
+        right += [v["x"] for v in ys]
+    i, j = np.concatenate(pairs).T
+    good = np.split(similar_pairs(left, right, i, j, percent), np.cumsum([len(p) for p in pairs])[:-1])
+    for near, links in zip(out, good, strict=True):
+        near[near] = links
+    return out
 
 
 def similar(x: str, y: str, percent: int) -> bool:
@@ -518,7 +577,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: i
         close = pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE)
         return verified(close, percent)
 
-    labels = link(live, near, texts.select("id", F.struct("sim", "x", F.array(*all_keys()).alias("keys")).alias("p")), lambda x, y, apart: close_lines(x, y, apart, percent))
+    labels = link(live, near, texts.select("id", F.struct("sim", "x", F.array(*all_keys()).alias("keys")).alias("p")), lambda cells: close_cells(cells, percent))
     keeper = classes.where("n > 1").select("f1", "f2", F.col("d").alias("keep_doc"), F.lit(None).cast("int").alias("keep_line"))
     if labels is not None:
         # classes of one group keep the first of their first occurrences; that class's own line stays

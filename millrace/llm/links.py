@@ -14,10 +14,10 @@ written to the shared folder. Nothing is collected but counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +29,11 @@ ROUNDS = (1, 4)
 BLOCK, LARGE, LARGE_BLOCK = 128, 16_384, 1_024
 
 
-#: test(payloads, payloads, pairs to test as a matrix) gives which of those pairs are links, as a matrix.
-Test = Callable[[list, list, np.ndarray], np.ndarray]
+#: Pairs of the cells that are tested together, about, and their members at most.
+PAIRS, MEMBERS = 250_000, 8_192
+
+#: test([(payloads, payloads, pairs to test as a matrix)]) gives which of those pairs are links, a matrix for each cell.
+Test = Callable[[list[tuple[list, list, np.ndarray]]], list[np.ndarray]]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -116,19 +119,66 @@ def in_cells(rows: DataFrame, payload: DataFrame, test: Test) -> DataFrame:
     both = rows.join(sizes, F.col("key") == F.col("k")).join(payload, "id")
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = both.where("label != main").select("key", spot("nl").alias("l"), upto("nr").alias("r"), F.lit(0).alias("side"), "id", "label", "p")
-    right = both.select("key", upto("nl").alias("l"), spot("nr").alias("r"), F.lit(1).alias("side"), "id", "label", "p")
-
-    def cell(f: pd.DataFrame) -> pd.DataFrame:
-        x, y = f[f["side"] == 0], f[f["side"] == 1]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []})
-        apart = x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
-        apart &= ~shared_before(int(f["key"].iloc[0]), *(np.stack([np.asarray(v["keys"]) for v in side["p"]]) for side in (x, y)))
-        i, j = np.nonzero(test(list(x["p"]), list(y["p"]), apart))
-        # one link for each pair of components is enough
-        a, b = x["label"].to_numpy()[i], y["label"].to_numpy()[j]
-        _, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
-        return pd.DataFrame({"a": x["id"].to_numpy()[i[first]], "b": y["id"].to_numpy()[j[first]]})
-
-    return left.unionByName(right).groupBy("key", "l", "r").applyInPandas(cell, "a long, b long")
+    left = both.where("label != main").select("key", spot("nl").alias("l"), upto("nr").alias("r"), F.lit(0).alias("side"), "id", "label", F.lit(False).alias("mains"), "p")
+    right = both.select("key", upto("nl").alias("l"), spot("nr").alias("r"), F.lit(1).alias("side"), "id", "label", (F.col("label") == F.col("main")).alias("mains"), "p")
+    names = [f.name for f in payload.schema["p"].dataType.fields]
+
+    def opened(f: pa.Table) -> tuple | None:
+        """A cell's payloads, pairs to test, ids and labels of both sides; None without pairs."""
+        side, ids, labels, mains = (f.column(c).to_numpy() for c in ("side", "id", "label", "mains"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        # of two members outside the largest component, both are on both sides: the smaller id's cell has the pair
+        apart = (labels[x][:, None] != labels[y][None, :]) & (mains[y][None, :] | (ids[x][:, None] < ids[y][None, :]))
+        if not apart.any():
+            return None
+        held = dict(zip(names, f.column("p").combine_chunks().flatten(), strict=True))
+        keys = held.pop("keys").flatten().to_numpy().reshape(len(ids), -1)
+        apart &= ~shared_before(f.column("key")[0].as_py(), keys[x], keys[y])
+        x, y, apart = x[apart.any(axis=1)], y[apart.any(axis=0)], apart[np.ix_(apart.any(axis=1), apart.any(axis=0))]
+        if not len(x):
+            return None
+        rows = pa.table(held)
+        return (rows.take(pa.array(x)).to_pylist(), rows.take(pa.array(y)).to_pylist(), apart), ids[x], ids[y], labels[x], labels[y]
+
+    def tested(cells: list[tuple]) -> pa.RecordBatch:
+        out = [np.zeros((2, 0), np.int64)]
+        for found, (_, p, q, lp, lq) in zip(test([c[0] for c in cells]), cells, strict=True):
+            i, j = np.nonzero(found)
+            # one link for each pair of components is enough
+            _, first = np.unique(np.stack([np.minimum(lp[i], lq[j]), np.maximum(lp[i], lq[j])]), axis=1, return_index=True)
+            out.append(np.stack([p[i[first]], q[j[first]]]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, pairs, members = [], 0, 0
+        for f in runs(batches, ["key", "l", "r"]):
+            if (c := opened(f)) is not None:
+                pool.append(c)
+                pairs, members = pairs + int(c[0][2].sum()), members + sum(c[0][2].shape)
+            if pairs > PAIRS or members > MEMBERS:
+                yield tested(pool)
+                pool, pairs, members = [], 0, 0
+        if pool:
+            yield tested(pool)
+
+    return left.unionByName(right).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r").mapInArrow(work, "a long, b long")
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group, where rows are sorted by these columns of integers."""
+    held: list[pa.RecordBatch] = []
+    before = None
+    for batch in batches:
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in by], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            if at == to:
+                continue
+            now = tuple(keys[at])
+            if held and now != before:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+            before = now
+    if held:
+        yield pa.Table.from_batches(held)

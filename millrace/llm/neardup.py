@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         return confirmed(with_b.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a"), percent)
 
     payload = items.join(reps.select("id", "sig", F.col("bands").alias("keys")), "id").select("id", F.struct("items", "sig", "keys").alias("p"))
-    labels = link(live, near, payload, lambda x, y, apart: all_pairs(x, y, apart, percent))
+    labels = link(live, near, payload, lambda cells: [all_pairs(*c, percent) for c in cells])
     several = member.where("rep is not null").groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
     ties = stored(several.select(F.explode("reps").alias("u"), F.array_min("reps").alias("v")).where("u > v"), "ties")
     if not ties.isEmpty():

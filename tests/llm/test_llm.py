@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from millrace.llm import ann, bpe, katz, langid, licenses, lines, mixing, neardup, quality, repeats
+from millrace.llm import ann, bpe, katz, langid, licenses, lines, links, mixing, neardup, quality, repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -801,3 +801,29 @@ def test_distances_of_many_pairs_are_those_of_each(letters, monkeypatch):
     monkeypatch.setattr(lines, "CELLS", 3_000)
     monkeypatch.setattr(lines, "FEW", 0)
     assert lines.within(xs, ys, k, k, most).tolist() == want
+
+
+def test_cells_test_each_pair_once(spark):
+    """Two members outside a bucket's largest component meet in one cell, not in both orders."""
+    rows = spark.range(200).selectExpr("7L as key", "id", "id as label")
+    payload = spark.range(200).selectExpr("id", "struct(id as x, array(7L) as keys) as p")
+    found = [(r.a, r.b) for r in links.in_cells(rows, payload, lambda cells: [c[2] for c in cells]).collect()]
+    assert len(found) == 199 * 100 and len({frozenset(p) for p in found}) == len(found)
+
+
+def test_pooled_cells_give_what_each_gives(monkeypatch):
+    """Lines of many cells verified together, and distances that are left early, are those of each pair."""
+    rng = random.Random(11)
+    cells = []
+    for n in (3, 1, 9, 30):
+        base = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([20, 90, 300, 700]))) for _ in range(n)]
+        made = ["".join(rng.choice("abcdef ") if rng.random() < rng.choice([0.1, 0.3]) else c for c in x) for x in base]
+        side = [[{"sim": 0, "x": x} for x in v] for v in (base, made)]
+        cells.append((*side, np.ones((n, n), bool)))
+    for got, (xs, ys, apart) in zip(lines.close_cells(cells, 80), cells, strict=True):
+        assert got.tolist() == [[levenshtein(x["x"], y["x"]) * 100 <= 20 * max(len(x["x"]), len(y["x"])) if len(x["x"]) < 100 else lines.similar(x["x"], y["x"], 80) for y in ys] for x in xs]
+        assert (lines.close_lines(xs, ys, apart, 80) == got).all()
+    a, b = ("".join(rng.choice("ab") for _ in range(3_000)) for _ in range(2))
+    looked = []
+    monkeypatch.setattr(lines, "least_end", lambda *x, f=lines.least_end: looked.append(x[3]) or f(*x))
+    assert lines.edit_distance(a, b, 100) == 101 and max(looked) < 1_500
