@@ -7,7 +7,7 @@ pairs that go and come. Pieces never touch each other, so that the order within
 order of plain BPE.
 
 Scale: one map over the documents without a shuffle; a worker's memory is bounded by the Arrow
-batch, the KNOWN most recently indexed pieces, and the vocabulary, whose size the file fixes.
+batch, the ids of the KNOWN most recently indexed pieces, and the vocabulary, whose size the file fixes.
 
 Defined results: null and empty texts have no ids and decode to the empty text; other columns pass
 through; special tokens in a text become their ids, as the file says.
@@ -26,8 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.core import given_back
+
 #: Pieces whose ids a worker keeps.
 KNOWN = 400_000
+#: Texts that are cut into pieces at once.
+AT_ONCE = 100
 #: Fixed values of the file format: how white space is folded, what a piece is, how bytes are spelt.
 WHITE = r"\p{White_Space}"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -60,7 +64,7 @@ class Codec:
         self.pieces = regex.compile(PIECE).findall
         self.white = regex.compile(WHITE + "+").sub
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str | int, bytes] = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
 
     def fold(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -125,7 +129,7 @@ class Codec:
             while i >= 0:
                 ids.append(symbol[i])
                 i = ahead[i]
-            self.known[piece] = (np.array(ids, "<u4").tobytes(), " ".join(self.text_of[x] for x in ids))
+            self.known[piece] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, the decoded text) of each text."""
@@ -133,16 +137,11 @@ class Codec:
         fresh = {p for pieces in cut for p in pieces if p not in self.known}
         fresh = {p for p in fresh if isinstance(p, str)}
         if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
+            self.known = {i: self.known[i] for i in self.special.values()}
             fresh = {p for pieces in cut for p in pieces if isinstance(p, str)}
         self.index(fresh)
-        known, out = self.known, []
-        for special, i in self.special.items():
-            known[i] = (np.array([i], "<u4").tobytes(), special)  # type: ignore[index]
-        for pieces in cut:
-            got = [known[p] for p in pieces]
-            out.append((b"".join([x[0] for x in got]), " ".join([x[1] for x in got])))
-        return out
+        ids = [b"".join([self.known[p] for p in pieces]) for pieces in cut]
+        return [(x, self.decode(x)) for x in ids]
 
     def decode(self, ids: bytes | None) -> str | None:
         """The texts of the tokens, with a blank between them: what a file without a decoder says."""
@@ -158,12 +157,15 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     shape = docs.select(rest).schema.add("ids", "binary").add("decoded", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         codec = Codec(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 got = codec.encode(part.column(rest.index(text)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=[*rest, "ids", "decoded"])
+        del codec
+        given_back()
 
     return docs.select(rest).mapInArrow(work, shape)
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.blocks import from_planes, join_parts, planes, split_parts, squeezed, unsqueezed
-from millrace.llm.core import Words, dropped, fresh, lower_az, mix, slices, stored
+from millrace.llm.core import Words, dropped, fresh, given_back, lower_az, mix, slices, stored
 from millrace.llm.links import link
 
 #: Bits between the SimHashes of lines that are verified, and of those that are sure to be candidates.
@@ -147,6 +147,7 @@ def occurrences(docs: DataFrame, text: str, key: str) -> DataFrame:
                 [rows.column(0).take(at), rows.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(marks[:, 0].view(np.int64)), pa.array(marks[:, 1].view(np.int64)), pa.array(sim.view(np.int64)), pa.array(again), *(pa.array(np.ascontiguousarray(k).view(np.int64)) for k in keys.T)],
                 names=["doc_id", "t", "line", "f1", "f2", "sim", "again", *PACKED],
             )
+        given_back()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull()).mapInArrow(work, shape)
 
@@ -431,6 +432,8 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
                     held = []
         if held:
             yield from compared(held)
+        del held
+        given_back()
 
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
@@ -531,6 +534,7 @@ def candidates(classes: DataFrame) -> DataFrame:
                 k, w = key[sent], who[sent]
                 names, data = _dealt(k, [id_[w], sim[w], often[sent].astype(np.uint64)], (mix(k) % np.uint64(first)).astype(np.int64), known)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+        given_back()
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

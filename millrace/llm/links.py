@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.core import dropped, stored
+from millrace.llm.core import dropped, given_back, stored
 
 #: Pivots of a bucket that have been compared after each round.
 ROUNDS = (1, 4)
@@ -160,6 +160,8 @@ def in_cells(rows: DataFrame, payload: DataFrame, test: Test) -> DataFrame:
                 pool, pairs, members = [], 0, 0
         if pool:
             yield tested(pool)
+        pool.clear()
+        given_back()
 
     return left.unionByName(right).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r").mapInArrow(work, "a long, b long")
 

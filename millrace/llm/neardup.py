@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.core import Words, column_bytes, mix, shingles, slices, stored
+from millrace.llm.core import Words, column_bytes, given_back, mix, shingles, slices, stored
 from millrace.llm.links import components, link, shared
 
 SHINGLE = 5
@@ -79,6 +79,7 @@ def signatures(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
                 band[some], packed[some], marks[some] = signature(h, np.append(at[:-1][some], at[-1]))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(marks[:, 0].view(np.int64)), pa.array(marks[:, 1].view(np.int64)), lists(packed), lists(band)], names=["id", "n_shingles", "f1", "f2", "sig", "bands"])
+        given_back()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(work, shape)
 
@@ -91,6 +92,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             h, at = sets_of(data, off, k)
             raw = h.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "items"])
+        given_back()
 
     return docs.select("id", "text").mapInArrow(work, "id long, items binary")
 
@@ -109,6 +111,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= percent * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        given_back()
 
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 

@@ -427,6 +427,16 @@ def test_bpe_equals_the_library(spark, docs, texts):
         assert got[i].decoded == back[i].decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_keeps_ids_alone_and_gives_memory_back(monkeypatch):
+    """A worker holds four bytes a token of each known piece, not its decoded text as well, and starts without the last task's."""
+    codec = bpe.Codec(open(bpe.word_bpe(), encoding="utf-8").read())
+    want = codec.encode(["lowest newer <|endoftext|> Wider", None, "lowest"])
+    assert want[1] == (b"", "") and all(isinstance(v, bytes) and len(v) % 4 == 0 for v in codec.known.values())
+    monkeypatch.setattr(bpe, "KNOWN", 2)
+    assert [codec.encode([t])[0] for t in ("lowest newer <|endoftext|> Wider", None, "lowest")] == want
+    assert len(codec.known) <= 2 + len(codec.special) + 4
+
+
 def test_bpe_of_nothing_and_clashing_columns(docs, empty):
     assert bpe.digest(empty, bpe.word_bpe()).count() == 0
     assert bpe.encode(clashing(docs), bpe.word_bpe()).count() == docs.count()
