@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.nearest import Probes, units
+from millrace.operators.nearest import Kinds, units
 from millrace.operators.retrieve import MOST_BROADCAST, QUERY_BLOCK, metadata_matches, top, unit
 
 #: Vectors that centroids are trained on, about, cells at most, rounds of training.
@@ -169,7 +169,7 @@ def probed(index: Cells, asked: DataFrame, query: str, where: dict[str, object]
         sent = spark.sparkContext.broadcast(q.toArrow())  # MOST_BROADCAST vectors and their cells
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Probes(sent.value, n, digits)
+            best = Kinds(sent.value, n, digits)
             for batch in batches:
                 best.meet(batch)
             if best.held:
@@ -187,7 +187,7 @@ def probed(index: Cells, asked: DataFrame, query: str, where: dict[str, object]
         two = x.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), "shelf", index.key, "vector", "_k", "cell")
 
         def cell(asks: pa.Table, have: pa.Table) -> pa.Table:
-            best = Probes(asks.select([2, 3, 4, 5, 6]), n, digits)
+            best = Kinds(asks.select([2, 3, 4, 5, 6]), n, digits)
             for batch in have.select([2, 3, 4, 5]).to_batches():
                 best.meet(batch)
             return best.found(names, have.schema.field(2).type)

@@ -189,6 +189,32 @@ class Probes(Best):
         score[~self.probed[:, self._cells(part)] | (self.kind[:, None] != part.column(2).to_numpy()[None, :])] = -1.0
 
 
+#: Groups of kinds whose queries and rows meet.
+GROUPS = 64
+
+
+class Kinds:
+    """Probes with the queries of each group of kinds, which only rows of the same group meet: the products of others are never made."""
+
+    def __init__(self, queries: pa.Table, n: int, digits: int):
+        group = queries.column(2).to_numpy() % GROUPS
+        self.none, self.of = queries.slice(0, 0), {g: Probes(queries.filter(pa.array(group == g)), n, digits) for g in np.unique(group).tolist()}
+
+    @property
+    def held(self) -> bool:
+        return any(p.held for p in self.of.values())
+
+    def meet(self, batch: pa.RecordBatch) -> None:
+        group = batch.column(2).to_numpy() % GROUPS
+        for g in np.unique(group).tolist():
+            if g in self.of:
+                self.of[g].meet(batch if (group == g).all() else batch.filter(pa.array(group == g)))
+
+    def found(self, names: list[str], key: pa.DataType | None = None) -> pa.Table:
+        tables = [p.found(names, key) for p in self.of.values() if p.held]
+        return pa.concat_tables(tables) if tables else Probes(self.none, 1, 0).found(names, key)
+
+
 class Sums(Best):
     """The candidates of queries, weights (query, term, w), among the rows (key, words) met so far, by sums of w times a term's impact."""
 

@@ -347,3 +347,26 @@ def test_own_directions_are_drawn_once(spark, monkeypatch):
     assert not encode([None, " "]).any()
     want = sum(encoder.direction(w, encoder.OWN) for w in texts[0].split())
     assert np.allclose(first[0][0, encoder.WIDTH :], want / np.linalg.norm(want), atol=1e-5)
+
+
+def test_queries_meet_rows_of_their_kind_only(monkeypatch):
+    """The same candidates as with all products, of which those of other kinds are never made."""
+    import pyarrow as pa
+
+    from millrace.operators import nearest
+
+    rng = np.random.default_rng(3)
+    unit = lambda n: list((x := rng.normal(size=(n, 8))) / np.linalg.norm(x, axis=1)[:, None])
+    asks = pa.table({"q": np.arange(60), "v": unit(60), "kind": rng.integers(-70, 70, 60), "cells": pa.array([[0, 2]] * 60, pa.list_(pa.int32())), "least": pa.array([None] * 60, pa.float64())})
+    rows = pa.record_batch({"k": np.arange(3000), "v": unit(3000), "kind": rng.integers(-70, 70, 3000), "cell": rng.integers(0, 3, 3000).astype(np.int32)})
+    most = []
+    monkeypatch.setattr(nearest.Probes, "_forbid", lambda self, score, part, f=nearest.Probes._forbid: most.append(score.size) or f(self, score, part))
+    found = []
+    for kind in (nearest.Probes, nearest.Kinds):
+        best = kind(asks, 5, 6)
+        best.meet(rows)
+        found.append((sorted(zip(*(c.to_pylist() for c in best.found(["q", "k", "s"]).columns), strict=True)), sum(most)))
+        most.clear()
+    assert found[0][0] == found[1][0] and found[0][0] and found[1][1] < found[0][1] // 20
+    assert nearest.Kinds(asks, 5, 6).found(["q", "k", "s"], pa.int64()).num_rows == 0
+    assert nearest.Kinds(asks.slice(0, 0), 5, 6).found(["q", "k", "s"], pa.int64()).num_rows == 0
