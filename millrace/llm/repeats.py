@@ -14,7 +14,9 @@ be dealt by minimizer and all that equals a window meets in one bucket:
    their interleave one character at a time: after k rounds it is in the order of k-byte prefixes,
    and neighbours that were told apart in round k have a common prefix of k - 1. After LENGTH
    rounds, intervals that were never told apart are the repeated strings, and the least doc_id of an
-   interval is its windows'. No suffix is sorted again.
+   interval is its windows'. No suffix is sorted again, and one that stands alone leaves the rounds.
+   Strings that share neither what stands before their minimizer nor what stands behind it have no
+   window in common (a sure bound) and are not merged.
 3. Blocks mark the windows that start earlier elsewhere and remove the bytes that they cover.
 
 Scale: text is written once as blocks and shuffled twice by block; only candidates are sent. A
@@ -37,14 +39,14 @@ from millrace.llm.blocks import answered, bounds, bucket_of, from_planes, from_t
 from millrace.llm.core import mix, prefix_hash, span_hash
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 #: Windows of a run at most.
 LONGEST_RUN = 128
 HOT = 1_000
 SHARDS = 2
 CHUNK = 30_000
 
-_A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
+_A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9)
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -66,13 +68,21 @@ def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
 
 
-def runs_of_piece(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM-byte strings (16 to 24 bytes)."""
     word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
-    h = word[: len(data) - GRAM + 1] * _A
-    h ^= word[8 : len(data) - GRAM + 9]
+    n = len(data) - GRAM + 1
+    h = word[:n] * _A
+    h += word[GRAM - 8 :] * _C
+    h ^= word[8 : n + 8]
     h ^= h >> np.uint64(29)
     h *= _B
     h ^= h >> np.uint64(32)
+    return h
+
+
+def runs_of_piece(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    h = grams(data)
     span, width = LENGTH - GRAM + 1, 1
     while 2 * width <= span:
         h = np.minimum(h[:-width], h[width:])
@@ -266,29 +276,56 @@ def transform(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def merged_intervals(data: np.ndarray, length: np.ndarray) -> np.ndarray:
     """For every byte of the strings (and a place for each terminator): the number of the interval of
-    suffixes that share its next LENGTH symbols. Shards' transforms are merged by interleave refinement."""
+    suffixes that share its next LENGTH symbols, -1 where it shares them with none. Shards' transforms are
+    merged by interleave refinement: `at` is the interleave, as places in the transforms one behind the other.
+    A suffix told apart from all others tells all longer ones apart as well, so that it takes no part in later rounds."""
     parts = np.array_split(np.arange(len(length)), min(SHARDS, len(length)))
     begin = np.concatenate([[0], np.cumsum(length)])
     made = [transform(data[begin[p[0]] : begin[p[-1] + 1]], length[p]) for p in parts]
     bwt = np.concatenate([b for b, _ in made])
-    size = [len(b) for b, _ in made]
-    shift = np.concatenate([[0], np.cumsum(size)[:-1]])
-    suffix = np.concatenate([o + s for (_, o), s in zip(made, shift, strict=True)])
-    ends = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.uint8)
-    z = np.repeat(np.arange(len(parts)), size).astype(np.uint8)
-    places = lambda: np.concatenate([np.flatnonzero(z == i) for i in range(len(parts))])
-    group, c, told = np.zeros(len(z), np.int32), np.empty(len(z), np.uint8), np.ones(len(z), bool)
+    shift = np.cumsum([0] + [len(b) for b, _ in made])
+    suffix = np.concatenate([o + s for (_, o), s in zip(made, shift[:-1], strict=True)])
+    # where in its shard the suffix stands that is longer by the symbol before
+    longer = np.empty(len(bwt), np.int32)
+    for (b, _), s in zip(made, shift[:-1], strict=True):
+        longer[np.argsort(b, kind="stable") + s] = np.arange(s, s + len(b), dtype=np.int32)
+    at, group = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
     for _ in range(LENGTH):
-        c[places()] = bwt
+        c = bwt[at]
         order = np.argsort(c, kind="stable")
-        g, by = group[order], c[order]
-        told[1:] = (g[1:] != g[:-1]) | (by[1:] != by[:-1])
-        z = z[order]
-        z[: len(ends)] = ends  # suffixes that are a terminator only: always by shard, then string
-        told[: len(ends) + 1] = True
-        group = np.cumsum(told, dtype=np.int32)
-    out = np.empty(len(z), np.int64)
-    out[suffix] = group[places()]
+        order = order[np.count_nonzero(c == 0) :]  # a suffix that begins with its terminator is alone
+        at, group, c = longer[at[order]], group[order], c[order]
+        told = np.ones(len(at) + 1, bool)
+        told[1:-1] = (group[1:] != group[:-1]) | (c[1:] != c[:-1])
+        stays = ~(told[:-1] & told[1:])
+        at, group = at[stays], np.cumsum(told[:-1], dtype=np.int32)[stays]
+    out = np.full(len(bwt), -1, np.int64)
+    out[suffix[at]] = group
+    return out
+
+
+def may_share(key: np.ndarray, data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which strings can have a window that another has too; the others' minimizers stand in other surroundings.
+
+    A shared window holds the minimizer and, before or behind it, half of its other bytes at least: strings that
+    share none of these two surroundings share no window.
+    """
+    half = (LENGTH - GRAM + 1) // 2
+    begin = np.cumsum(length) - length
+    of = np.repeat(np.arange(len(length)), length)[: len(data) - GRAM + 1]
+    spot = np.flatnonzero(mix(grams(data)) == key[of])
+    of = of[spot]
+    end, s = begin[of] + length[of], prefix_hash(data)
+    before, behind = (spot - half >= begin[of]) & (spot + GRAM <= end), spot + GRAM + half <= end
+    around = np.concatenate([span_hash(s, spot[before] - half, spot[before] + GRAM), ~span_hash(s, spot[behind], spot[behind] + GRAM + half)])
+    of = np.concatenate([of[before], of[behind]])
+    out = np.zeros(len(length), bool)
+    if len(of):
+        order = np.argsort(around)
+        around, of = around[order], of[order]
+        first = np.flatnonzero(np.append(True, around[1:] != around[:-1]))
+        shared = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        out[of[np.repeat(shared, np.diff(np.append(first, len(of))))]] = True
     return out
 
 
@@ -313,6 +350,8 @@ def earliest(messages: list[bytes]) -> list[bytes]:
     wat = np.cumsum(many) - many
     value = np.repeat(low, many)
     todo = np.flatnonzero(several)
+    if len(todo):
+        todo = todo[may_share(ukey[todo], gathered(data, uat[todo], ulen[todo]), ulen[todo])]
     cut = np.flatnonzero(np.diff(np.cumsum(ulen[todo]) // CHUNK)) + 1
     cut = sorted({int(np.searchsorted(group[todo], group[todo][c])) for c in cut} - {0})  # whole minimizers
     for chunk in np.split(todo, cut):
@@ -322,8 +361,9 @@ def earliest(messages: list[bytes]) -> list[bytes]:
         start = np.cumsum(ulen[chunk] + 1) - (ulen[chunk] + 1)
         place = np.repeat(start - (np.cumsum(many[chunk]) - many[chunk]), many[chunk]) + np.arange(many[chunk].sum())
         target = np.repeat(wat[chunk] - (np.cumsum(many[chunk]) - many[chunk]), many[chunk]) + np.arange(many[chunk].sum())
-        _, of = np.unique(interval[place], return_inverse=True)
-        best = np.full(of.max() + 1, np.iinfo(np.int64).max)
+        of, shared = interval[place], interval[place] >= 0
+        of, target = of[shared], target[shared]
+        best = np.full(of.max(initial=-1) + 1, np.iinfo(np.int64).max)
         np.minimum.at(best, of, value[target])
         value[target] = best[of]
     turn = np.ones(len(value), bool)
