@@ -16,6 +16,7 @@ give the same vectors.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,9 @@ OWN, MIX = 288, 0.5
 #: Own directions that a worker keeps, a bit a number.
 KNOWN = 200_000
 #: Rows of the matrix that one task multiplies, and entries at once.
-BLOCK, AT_ONCE = 1_024, 65_536
+BLOCK, AT_ONCE = 256, 65_536
+#: PCG64 counts modulo 2**128, by steps of this factor.
+_128, _STEP = (1 << 128) - 1, 2549297995355413924 << 64 | 4865540595714422341
 
 
 @dataclass(frozen=True)
@@ -48,9 +51,22 @@ class Model:
     vectors: np.ndarray
 
 
-def vocabulary(docs: DataFrame, text: str) -> tuple[list[str], np.ndarray]:
-    """The commonest words and their shares of all words; ties go to the smaller word."""
-    counts = docs.select(F.explode(words(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def lowered(docs: DataFrame, text: str) -> DataFrame:
+    """The lower-cased texts as bytes, whose split() cuts at the white space of functions.text.words."""
+    return docs.select(F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("text"))
+
+
+def vocabulary(docs: DataFrame, text: str, keep=lambda df: df) -> tuple[list[str], np.ndarray]:
+    """The commonest words and their shares of all words; ties go to the smaller word. keep stores the counts, which are read twice."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter[bytes] = Counter()
+            for t in batch.column(0):
+                held.update(t.as_py().split())
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+
+    counts = keep(lowered(docs, text).mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     return [r["word"] for r in rows], np.array([r["n"] for r in rows]) / max(total, 1)
@@ -61,22 +77,32 @@ def pairs(docs: DataFrame, text: str, known: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(known)  # VOCABULARY words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(sent.value)}
-        size = len(number)
-        for batch in batches:
-            ids = [np.array([number.get(w, -1) for w in ws], np.int64) for ws in batch.column(0).to_pylist()]
-            gap = np.full(WINDOW, -1)
-            line = np.concatenate([x for t in ids for x in (t, gap)]) if ids else gap
-            held = []
+        number = {w.encode(): i for i, w in enumerate(sent.value)}
+        size, gap = max(len(number), 1), [-1] * WINDOW
+
+        def counted(line: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            at, held = np.array(line, np.int64), []
             for d in range(1, WINDOW + 1):
-                a, b = line[:-d], line[d:]
+                a, b = at[:-d], at[d:]
                 both = (a >= 0) & (b >= 0)
-                held += [a[both] * size + b[both], b[both] * size + a[both]]
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code // max(size, 1)), pa.array(code % max(size, 1)), pa.array(n)], names=["i", "j", "n"])
+                held.append(np.minimum(a[both], b[both]) * size + np.maximum(a[both], b[both]))
+            return np.unique(np.concatenate(held), return_counts=True)
 
-    rows = docs.select(words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("ws"))
-    return rows.mapInArrow(work, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            line: list[int] = []
+            for k, t in enumerate(batch.column(0)):
+                line += [number.get(w, -1) for w in t.as_py().split()]
+                line += gap
+                if len(line) > AT_ONCE * 16 or k == batch.num_rows - 1:
+                    code, n = counted(line)
+                    line = []
+                    yield pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], names=["i", "j", "n"])
+
+    # a pair is counted and summed by its smaller number, and then stands both ways
+    summed = lowered(docs, text).mapInArrow(work, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    way = lambda i, j, n: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), n.alias("n"))
+    both = F.when(F.col("i") == F.col("j"), F.array(way("i", "j", 2 * F.col("n")))).otherwise(F.array(way("i", "j", F.col("n")), way("j", "i", F.col("n"))))
+    return summed.select(F.inline(both))
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
@@ -106,14 +132,16 @@ def product(matrix: DataFrame, columns: np.ndarray | int, size: int) -> np.ndarr
         return pd.DataFrame({"i": at, "row": [r.tobytes() for r in out]})
 
     out = np.zeros((size, wide))
-    for r in matrix.groupBy(F.floor(F.col("i") / BLOCK).alias("block")).applyInPandas(work, "i long, row binary").toLocalIterator():
+    # rows of common words, which are the longest, are dealt over all blocks; all blocks are multiplied at once
+    blocks = matrix.groupBy((F.col("i") % F.lit(-(-size // BLOCK))).alias("block"))
+    for r in blocks.applyInPandas(work, "i long, row binary").collect():  # VOCABULARY x (WIDTH + OVER) numbers at most
         out[r["i"]] = np.frombuffer(r["row"])
     return out
 
 
 def train(docs: DataFrame, text: str = "text", keep=lambda df: df) -> Model:
-    """keep stores the matrix, which is read POWER + 2 times."""
-    known, share = vocabulary(docs, text)
+    """keep stores the counts of words and the matrix, which is read POWER + 2 times."""
+    known, share = vocabulary(docs, text, keep)
     size = len(known)
     wide = min(WIDTH + OVER, size)
     if not size:
@@ -135,9 +163,39 @@ def direction(word: str, width: int) -> np.ndarray:
     return np.random.default_rng(zlib.crc32(word.encode())).choice((-1.0, 1.0), width).astype(np.float32) / np.float32(width**0.5)
 
 
-def signs_of(word: str) -> bytes:
-    """The signs of direction(word, OWN), a bit each: the upper bits of the generator's own numbers, drawn in a third of the time."""
-    return np.packbits(np.random.PCG64(zlib.crc32(word.encode())).random_raw(OWN // 2).view("<u4") >> 31).tobytes()
+def signs_of(names: list[str]) -> np.ndarray:
+    """The signs of direction(word, OWN) of each word, a bit each: the upper bits of the generator's own numbers.
+
+    A generator's making costs ten times what it then draws, so that the states that numpy's SeedSequence gives to
+    PCG64 are worked out for all words at once, and one generator draws from each.
+    """
+    const, pool = 0x43B0D7E5, []
+    crc = np.array([zlib.crc32(w.encode()) for w in names], np.uint32)
+
+    def hashed(x: np.ndarray, factor: int) -> np.ndarray:
+        nonlocal const
+        x = x ^ np.uint32(const)
+        const = const * factor & 0xFFFFFFFF
+        x = x * np.uint32(const)
+        return x ^ (x >> np.uint32(16))
+
+    for i in range(4):
+        pool.append(hashed(crc if i == 0 else np.zeros_like(crc), 0x931E8875))
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                x = np.uint32(0xCA01F9DD) * pool[j] - np.uint32(0x4973F715) * hashed(pool[i], 0x931E8875)
+                pool[j] = x ^ (x >> np.uint32(16))
+    const = 0x8B51F9DD
+    words32 = np.stack([hashed(pool[i % 4], 0x58F38DED) for i in range(8)], axis=1)
+    drawn, generator = np.empty((len(names), OWN // 2), np.uint64), np.random.PCG64(0)
+    state = generator.state
+    for k, (a, b, c, d) in enumerate(np.ascontiguousarray(words32).view("<u8").tolist()):
+        inc = ((c << 64 | d) << 1 | 1) & _128
+        state["state"] = {"state": ((inc + (a << 64 | b)) * _STEP + inc) & _128, "inc": inc}
+        generator.state = state
+        drawn[k] = generator.random_raw(OWN // 2)
+    return np.packbits(drawn.view("<u4") >> np.uint32(31), axis=1)
 
 
 def encoder(model: Model, spark) -> Encoder:
@@ -163,9 +221,8 @@ def encoder(model: Model, spark) -> Encoder:
         split = [(t or "").lower().split() for t in texts]
         # the batch's distinct words: signs of their own directions, one row each
         place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-        for w in place:
-            if w not in own:
-                own[w] = signs_of(w)
+        new = [w for w in place if w not in own]
+        own.update(zip(new, map(bytes, signs_of(new)), strict=True))
         bits = np.frombuffer(b"".join(own[w] for w in place), np.uint8).reshape(-1, OWN // 8)
         size = np.float32(1) / np.float32(OWN**0.5)
         signs = np.where(np.unpackbits(bits, axis=1, count=OWN), size, -size)
