@@ -224,10 +224,12 @@ def encoder(model: Model, spark) -> Encoder:
         new = [w for w in place if w not in own]
         own.update(zip(new, map(bytes, signs_of(new)), strict=True))
         bits = np.frombuffer(b"".join(own[w] for w in place), np.uint8).reshape(-1, OWN // 8)
-        size = np.float32(1) / np.float32(OWN**0.5)
-        signs = np.where(np.unpackbits(bits, axis=1, count=OWN), size, -size)
+        signs = np.unpackbits(bits, axis=1, count=OWN).view(np.int8)
+        signs *= 2
+        signs -= 1
         ids = np.array([number.get(w, -1) for w in place], np.int64)
-        signs[ids >= 0] *= weight[ids[ids >= 0], None]
+        heavy = np.ones(len(ids), np.float32)
+        heavy[ids >= 0] = weight[ids[ids >= 0]]
         for k, ws in enumerate(split):
             if not ws:
                 continue
@@ -235,7 +237,7 @@ def encoder(model: Model, spark) -> Encoder:
             v = weighed[ids[at][ids[at] >= 0]].sum(axis=0)
             v = v - (v @ common) * common
             out[k, : len(v)] = v * (MIX / (np.linalg.norm(v) or 1))
-            out[k, len(v) :] = signs[at].sum(axis=0)
+            out[k, len(v) :] = heavy[at] @ signs[at].astype(np.float32)  # a text alone: the order of its sums is its own
             out[k, len(v) :] /= np.linalg.norm(out[k, len(v) :]) or 1
             out[k] /= np.linalg.norm(out[k]) or 1
         return out
